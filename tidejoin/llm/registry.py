@@ -1,11 +1,14 @@
 """Queries of this subpackage, and the SQL that gives the same rows where there is any."""
 
-from . import exact_dedup
+from . import exact_dedup, licenses, mixing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_mixing": mixing.op6_mixing,
+    "op9_licenses": licenses.op9_licenses,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op6_mixing": mixing.ORACLE,
 }
