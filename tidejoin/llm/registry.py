@@ -1,8 +1,9 @@
 """Queries of this subpackage, and the SQL that gives the same rows where there is any."""
 
-from . import exact_dedup, licenses, mixing
+from . import exact_dedup, language_id, licenses, mixing
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op9_licenses": licenses.op9_licenses,
