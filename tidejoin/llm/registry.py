@@ -1,15 +1,17 @@
 """Queries of this subpackage, and the SQL that gives the same rows where there is any."""
 
-from . import exact_dedup, language_id, licenses, mixing
+from . import exact_dedup, language_id, licenses, line_dedup, mixing
 
 QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_licenses": licenses.op9_licenses,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
 }
