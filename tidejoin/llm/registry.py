@@ -1,11 +1,12 @@
 """Queries of this subpackage, and the SQL that gives the same rows where there is any."""
 
-from . import exact_dedup, language_id, licenses, line_dedup, mixing
+from . import exact_dedup, language_id, licenses, line_dedup, mixing, toxicity
 
 QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_licenses": licenses.op9_licenses,
 }
