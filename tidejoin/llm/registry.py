@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL that gives the same rows where there is any."""
 
-from . import exact_dedup, language_id, licenses, line_dedup, mixing, toxicity
+from . import brown_lm, exact_dedup, language_id, licenses, line_dedup, mixing, toxicity
 
 QUERIES = {
     "op3_language_id": language_id.op3_language_id,
@@ -9,6 +9,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_licenses": licenses.op9_licenses,
+    "op10_brown_lm": brown_lm.op10_brown_lm,
 }
 
 ORACLES = {
