@@ -1,8 +1,9 @@
 """Queries of this subpackage, and the SQL that gives the same rows where there is any."""
 
-from . import brown_lm, exact_dedup, language_id, licenses, line_dedup, mixing, toxicity
+from . import brown_lm, exact_dedup, language_id, licenses, line_dedup, mixing, sentencepiece_dropout, toxicity
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_dropout.op1_sentencepiece,
     "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
