@@ -1,9 +1,10 @@
 """Queries of this subpackage, and the SQL that gives the same rows where there is any."""
 
-from . import brown_lm, exact_dedup, language_id, licenses, line_dedup, mixing, sentencepiece_dropout, toxicity
+from . import brown_lm, cover_tree, exact_dedup, language_id, licenses, line_dedup, mixing, sentencepiece_dropout, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_dropout.op1_sentencepiece,
+    "op2_cover_tree": cover_tree.op2_cover_tree,
     "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_cover_tree": cover_tree.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
