@@ -52,3 +52,28 @@ def utf8(column: pa.Array) -> list[bytes]:
 def remainder(column: str, by: int) -> F.Column:
     """crc32 of a column as text, modulo `by`; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % by
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: str, salts: int = 8, how: str = "inner") -> DataFrame:
+    """big joined with small, whose rows are unique in `on`; a key that many rows of big share is dealt to `salts` tasks by a hash of the column `by`."""
+    each = F.explode(F.array(*map(F.lit, range(salts)))).alias("_salt")
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return salted.join(small.select("*", each), [*on, "_salt"], how).drop("_salt")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node of its connected component) for every node of edges (u, v), by label propagation and pointer jumping.
+
+    Each round takes the smallest label of the neighbours and then the label of the label, so that chains shorten by more than half.
+    Minima are summed up before the shuffle, and labels that many nodes share are salted.
+    """
+    both = checkpointed(edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
+    while True:
+        near = salted_join(both, labels.select(F.col("node").alias("u"), "root"), ["u"], "v").groupBy(F.col("v").alias("node")).agg(F.min("root").alias("near"))
+        nearer = checkpointed(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")))
+        jumped = salted_join(nearer, nearer.select(F.col("node").alias("root"), F.col("root").alias("next")), ["root"], "node")
+        jumped = checkpointed(jumped.select("node", "old", F.least("root", "next").alias("root")))
+        labels = jumped.select("node", "root")
+        if jumped.where("root <> old").isEmpty():
+            return labels

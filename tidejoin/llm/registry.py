@@ -1,12 +1,13 @@
 """Queries of this subpackage, and the SQL that gives the same rows where there is any."""
 
-from . import brown_lm, cover_tree, exact_dedup, language_id, licenses, line_dedup, mixing, sentencepiece_dropout, toxicity
+from . import brown_lm, cover_tree, exact_dedup, language_id, licenses, line_dedup, mixing, ngram_join, sentencepiece_dropout, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_dropout.op1_sentencepiece,
     "op2_cover_tree": cover_tree.op2_cover_tree,
     "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": line_dedup.op8_line_dedup,
