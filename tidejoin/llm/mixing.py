@@ -2,7 +2,7 @@
 
 Each source's documents, shuffled by a keyed hash, lie end to end on a line of words, cut into blocks of equal length
 (a line's last one is shorter).
-The schedule's slot i falls at the fractional part of i times the golden ratio; cumulative target shares map it to a source.
+The schedule's slot i falls at the fractional part of i times the golden ratio; the sources' cumulative shares of the slots that their targets need map it to a source.
 The slots of a source are ranked, and the slot of rank r takes the source's block r modulo its number of blocks. A source's
 last slot is cut at its target; slots beyond it are passed over. Blocks are taken in order, so a document is taken in whole,
 twice, or not at all, but for one cut at the target in each source.
@@ -28,8 +28,8 @@ from .common import checkpointed, table, with_bounded
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 1024
 SEED = "mix-1"
-#: Slots beyond those that the targets need, for what the schedule deviates from the shares.
-SPARE, SPARE_SLOTS = 0.05, 64
+#: Times the slots that the targets need. Neighbouring points of n golden-ratio points are less than 2 / n apart, so twice as many give each source its own.
+SPARE = 2
 #: Cells of [0, 1) on which points and shares are joined; slots ranked together.
 CELLS, RUN = 1024, 4096
 
@@ -41,7 +41,7 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def source_targets(words: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
-    """source, n (its place), source_size, target, and [lo, hi), its part of the shares."""
+    """source, n (its place), source_size, target."""
     sources = words.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("n") - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -53,21 +53,30 @@ def source_targets(words: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     sources = sources.withColumn("level", (total - before("cap")) / (F.sum("weight").over(all_rows) - before("weight")))
     sources = sources.withColumn("level", F.max("level").over(all_rows))
     sources = sources.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
-    cut = F.coalesce(F.try_divide(F.sum("target").over(Window.orderBy("n")), F.sum("target").over(all_rows)), F.lit(0.0))
-    sources = sources.withColumn("hi", cut)
-    return sources.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("n")), F.lit(0.0))).select("source", "n", "source_size", "target", "lo", "hi")
+    return sources.select("source", "n", "source_size", "target")
 
 
-def schedule(spark: SparkSession, targets: DataFrame, n_sources: int, words: float, block_words: int = BLOCK_WORDS) -> DataFrame:
+def shares(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """targets with the slots that each source needs, and [lo, hi), its part of [0, 1) by these."""
+    words = F.round("target").cast("long")
+    blocks = F.expr(f"(source_size + {block_words - 1}) div {block_words}")
+    rest = F.ceil((words - F.col("passes") * F.col("source_size")) / block_words)
+    out = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0))
+    out = out.withColumn("blocks", blocks).withColumn("slots", F.col("passes") * F.col("blocks") + rest).drop("passes")
+    all_slots = F.sum("slots").over(Window.partitionBy())
+    out = out.withColumn("hi", F.coalesce(F.try_divide(F.sum("slots").over(Window.orderBy("n")), all_slots), F.lit(0.0)))
+    return out.withColumn("lo", F.coalesce(F.try_divide(F.col("hi") * all_slots - F.col("slots"), all_slots), F.lit(0.0)))
+
+
+def schedule(spark: SparkSession, sources: DataFrame, n_sources: int, slots: int, block_words: int = BLOCK_WORDS) -> DataFrame:
     """n, block, pass and `words`, those taken of the block, for every slot that the schedule gives to a source before its target is met."""
-    slots = int(words * (1 + SPARE) / block_words) + SPARE_SLOTS if words else 0
     golden = (5**0.5 - 1) / 2
     step = (golden * 2**20) % 1
     point = ((F.col("id") / 2**20).cast("long") * step + (F.col("id") % 2**20) * golden) % 1
-    points = spark.range(slots).withColumn("point", point).withColumn("cell", F.floor(F.col("point") * CELLS))
+    points = spark.range(SPARE * slots + 1).withColumn("point", point).withColumn("cell", F.floor(F.col("point") * CELLS))
     last = F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1))
-    shares = targets.where("hi > lo").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), last)))
-    drawn = with_bounded(points, shares, ["cell"], n_sources + CELLS, how="inner").where("point >= lo AND (point < hi OR hi >= 1)")
+    parts = sources.where("slots > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), last)))
+    drawn = with_bounded(points, parts, ["cell"], n_sources + CELLS, how="inner").where("point >= lo AND (point < hi OR hi >= 1)")
     drawn = drawn.withColumn("run", (F.col("id") / RUN).cast("long"))
     # Ranks: within runs of slots, and over the runs' totals.
     runs = drawn.groupBy("n", "run").agg(F.count("*").alias("here"))
@@ -75,7 +84,6 @@ def schedule(spark: SparkSession, targets: DataFrame, n_sources: int, words: flo
     runs = runs.select("n", "run", F.coalesce(F.sum("here").over(ahead), F.lit(0)).alias("ahead"))
     within = F.row_number().over(Window.partitionBy("n", "run").orderBy("id")) - 1
     ranked = drawn.withColumn("within", within).join(runs, ["n", "run"]).withColumn("rank", F.col("ahead") + F.col("within"))
-    ranked = ranked.withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
     ranked = ranked.withColumn("block", F.col("rank") % F.col("blocks")).withColumn("pass", F.expr("rank div blocks"))
     left = F.round("target").cast("long") - F.col("pass") * F.col("source_size") - F.col("block") * block_words
     length = F.least(F.lit(block_words), F.col("source_size") - F.col("block") * block_words)
@@ -86,11 +94,11 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = SEED, weigh
     """A row per document: doc_id, source, row, size, source_size, target (its source's), taken (its words that the mix takes, repeats counted)."""
     spark = docs.sparkSession
     words = checkpointed(sized(docs))
-    targets = checkpointed(source_targets(words, weights, share, most))
-    n_sources, all_words = targets.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    sources = checkpointed(shares(source_targets(words, weights, share, most), block_words))
+    n_sources, slots = sources.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
 
     known = words.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-")))
-    keyed = targets.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))).drop("source", "lo", "hi")
+    keyed = sources.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-")).alias("source_key"), "n", "source_size", "target")
     known = with_bounded(known, keyed, ["source_key"], n_sources).drop("source_key")
 
     # Each document's place on its source's line, in hash order.
@@ -107,17 +115,23 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = SEED, weigh
     first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
     cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last))).withColumn("begin", F.col("block") * block_words)
     cut = cut.select("row", "n", "block", "begin", F.greatest("start", "begin").alias("a"), F.least(F.col("start") + F.col("size"), F.col("begin") + block_words).alias("b"))
-    taken = schedule(spark, targets, n_sources, float(all_words), block_words).groupBy("n", "block").agg(F.collect_list("words").alias("visits"))
+    taken = schedule(spark, sources, n_sources, slots, block_words).groupBy("n", "block").agg(F.collect_list("words").alias("visits"))
     got = F.aggregate("visits", F.lit(0).cast("long"), lambda s, w: s + F.greatest(F.least(F.col("b"), F.col("begin") + w) - F.col("a"), F.lit(0)))
     per_row = cut.join(taken, ["n", "block"]).select("row", got.alias("taken")).groupBy("row").agg(F.sum("taken").alias("taken"))
     return placed.join(per_row, "row", "left").select("doc_id", "source", "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: a row for each time that a document is taken, to the nearest whole number; columns stay."""
-    marked = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
-    times = mix(marked.select(F.col("_row").alias("doc_id"), "source", "text")).where("size > 0").select(F.col("doc_id").alias("_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
-    return marked.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    """The documents as the mix takes them: a row for each time that a document is taken, to the nearest whole number; columns stay.
+
+    Rows with the same doc_id and text are told apart by nothing, so they share what they are taken together.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h")]
+    mixed = mix(docs.select(F.struct(*key).alias("doc_id"), "source", "text"))
+    times = mixed.where("size > 0").groupBy("doc_id").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")).where("_times > 0")
+    once = F.row_number().over(Window.partitionBy("_d", "_h").orderBy(F.lit(0)))
+    joined = docs.select("*", *key).join(times.select("doc_id.*", "_times"), ["_d", "_h"]).withColumn("_n", once).where("_n = 1")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
