@@ -49,3 +49,10 @@ def test_documents(spark):
     back = {r.doc_id: r.text for r in S.decode_documents(got).collect()}
     assert back == {i: t for i, t, _ in rows}
     assert S.encode_documents(docs.limit(0)).count() == 0
+
+
+@given(st.text("abehinorst ", max_size=32), st.integers(0, 2**64 - 1))
+@settings(max_examples=300, deadline=None)
+def test_both_agendas_agree(token, base):
+    for bar in (0, 2**62, 2**63):
+        assert S.segment(token, VOCABULARY.ranks, base, bar) == S._segment_long(token, VOCABULARY.ranks, base, bar)

@@ -31,8 +31,8 @@ from .common import map_slices, table
 DROPOUT = 0.1
 SEED = 20_240_607
 STREAMS = 8
-#: Segmentations that a Python worker keeps.
-KEPT = 400_000
+#: Segmentations that a Python worker keeps in each of two generations, and plain segmentations that it keeps.
+KEPT, KEPT_PLAIN = 500_000, 250_000
 TOKEN = re.compile(r" *[^ \n]+| +|\n")
 MASK = 2**64 - 1
 
@@ -44,57 +44,102 @@ def default_model() -> str:
 
 
 class Vocabulary:
-    """Pieces (with blanks for blank marks), scores, and the ids of bytes."""
+    """Pieces (with blanks for blank marks), ranks (the less, the better a merge), and ids."""
 
     def __init__(self, model: str):
         import sentencepiece
 
+        pack = lambda i: int(i).to_bytes(4, "little")
         m = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.ids, self.scores, self.bytes, self.table = {}, {}, [0] * 256, []
+        self.packed, self.ranks, self.bytes, self.table = {}, {}, [b""] * 256, []  # ids are packed to four bytes
         for i in range(m.get_piece_size()):
             piece = m.id_to_piece(i)
             if m.is_byte(i):
                 value = int(piece[3:5], 16)
-                self.bytes[value] = i
+                self.bytes[value] = pack(i)
                 self.table.append(bytes([value]))
             elif m.is_control(i) or m.is_unknown(i) or m.is_unused(i):
                 self.table.append(b"")
             else:
                 piece = piece.replace("▁", " ")
-                self.ids[piece] = i
-                self.scores[piece] = m.get_score(i)
+                self.packed[piece] = pack(i)
+                self.ranks[piece] = -m.get_score(i)
                 self.table.append(piece.encode())
+        self.mark = xxhash.xxh3_128_hexdigest(repr((self.table, sorted(self.ranks.items()))))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text; the blank that encoding puts first is taken off."""
         return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
-def segment(token: str, scores: dict[str, float], skip=None) -> list[str]:
-    """The token's pieces; skip(start, end) tells which candidates fall out."""
+def place_key(a: int, c: int) -> int:
+    """An odd number for the place of a candidate."""
+    h = (a * 0x9E3779B97F4A7C15 + c * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9) & MASK
+    h = (h ^ h >> 32) * 0xFF51AFD7ED558CCD & MASK
+    return (h ^ h >> 29) * 0xC4CEB9FE1A85EC53 & MASK | 1
+
+
+#: Tokens of up to so many characters keep their agenda in a list, which is scanned; longer ones in a heap.
+SHORT = 32
+PLACES = [[place_key(a, c) for c in range(SHORT + 1)] for a in range(SHORT + 1)]
+NONE = float("inf")
+
+
+def segment(token: str, ranks: dict[str, float], base: int = 0, bar: int = 0, path: list[int] | None = None) -> list[str]:
+    """The token's pieces; ranks: the lowest is merged first. A candidate is skipped if the high bits of base times its place's key are below bar.
+
+    path: gets the keys of the merged candidates, for tokens of up to SHORT characters.
+    """
+    if len(token) > SHORT:
+        return _segment_long(token, ranks, base, bar)
+    get = ranks.get
+    pieces = list(token)
+    starts = list(range(len(token) + 1))
+    agenda = [get(x + y, NONE) for x, y in zip(token, token[1:])]
+    while agenda:
+        rank = min(agenda)
+        if rank == NONE:
+            break
+        i = agenda.index(rank)
+        if bar and base * PLACES[starts[i]][starts[i + 2]] & MASK < bar:
+            agenda[i] = NONE
+            continue
+        if path is not None:
+            path.append(PLACES[starts[i]][starts[i + 2]])
+        merged = pieces[i] + pieces.pop(i + 1)
+        pieces[i] = merged
+        del starts[i + 1], agenda[i]
+        if i < len(agenda):
+            agenda[i] = get(merged + pieces[i + 1], NONE)
+        if i:
+            agenda[i - 1] = get(pieces[i - 1] + merged, NONE)
+    return pieces
+
+
+def _segment_long(token: str, ranks: dict[str, float], base: int, bar: int) -> list[str]:
     n = len(token)
     end = list(range(1, n + 1))  # of the piece that starts here
     before = list(range(-1, n - 1))  # start of the piece before
-    agenda = [(-scores[token[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if token[i : i + 2] in scores]
+    agenda = [(ranks[token[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if token[i : i + 2] in ranks]
     heapify(agenda)
     while agenda:
         _, a, b, c = heappop(agenda)
-        if end[a] != b or b >= n or end[b] != c:
+        if end[a] != b or end[b] != c:
             continue  # one of the two is gone
-        if skip is not None and skip(a, c):
+        if bar and base * place_key(a, c) & MASK < bar:
             continue
         end[a] = c
         end[b] = -1
         if c < n:
             before[c] = a
             piece = token[a : end[c]]
-            if piece in scores:
-                heappush(agenda, (-scores[piece], a, c, end[c]))
+            if piece in ranks:
+                heappush(agenda, (ranks[piece], a, c, end[c]))
         p = before[a]
         if p >= 0:
             piece = token[p:c]
-            if piece in scores:
-                heappush(agenda, (-scores[piece], p, a, c))
+            if piece in ranks:
+                heappush(agenda, (ranks[piece], p, a, c))
     out, at = [], 0
     while at < n:
         out.append(token[at : end[at]])
@@ -103,27 +148,43 @@ def segment(token: str, scores: dict[str, float], skip=None) -> list[str]:
 
 
 class Encoder:
+    """Encodes texts, and keeps what tokens became: where a generation is full, the one before it goes, and what is asked for again moves on."""
+
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, streams: int):
         self.vocabulary, self.seed, self.streams = vocabulary, seed, streams if dropout else 1
         self.bar = int(dropout * 2**64)
         self.kept: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
+        self.plain: dict[str, tuple[bytes, tuple[int, ...]]] = {}
         self.n = 0
 
     def _token(self, token: str, stream: int) -> bytes:
+        if not self.bar:
+            return self._numbers(segment(token, self.vocabulary.ranks))
         base = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + stream) & MASK)
-
-        def skip(a: int, c: int) -> bool:
-            h = ((base ^ (a * 0x9E3779B97F4A7C15 + c * 0xC2B2AE3D27D4EB4F)) & MASK) * 0xFF51AFD7ED558CCD & MASK
-            h = (h ^ h >> 32) * 0xC4CEB9FE1A85EC53 & MASK
-            return h ^ h >> 29 < self.bar
-
-        ids, numbers = self.vocabulary.ids, []
-        for piece in segment(token, self.vocabulary.scores, skip if self.bar else None):
-            if piece in ids:
-                numbers.append(ids[piece])
+        if len(token) <= SHORT:
+            # Where no merge of the token's plain segmentation is skipped, that is the result.
+            plain = self.plain.get(token)
+            if plain is None:
+                path: list[int] = []
+                plain = (self._numbers(segment(token, self.vocabulary.ranks, path=path)), tuple(path))
+                if len(self.plain) >= KEPT_PLAIN:
+                    self.plain = {}
+                self.plain[token] = plain
+            bar = self.bar
+            for key in plain[1]:
+                if base * key & MASK < bar:
+                    break
             else:
-                numbers += [self.vocabulary.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return np.array(numbers, np.int32).tobytes()
+                return plain[0]
+        return self._numbers(segment(token, self.vocabulary.ranks, base, self.bar))
+
+    def _numbers(self, pieces: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.vocabulary.packed.__getitem__, pieces))
+        except KeyError:  # characters go as bytes
+            packed, as_bytes = self.vocabulary.packed, self.vocabulary.bytes
+            return b"".join(packed[p] if p in packed else b"".join(as_bytes[b] for b in p.encode("utf-8", "surrogatepass")) for p in pieces)
 
     def encode(self, text: str, key: str) -> np.ndarray:
         if not text:
@@ -136,18 +197,31 @@ class Encoder:
             kept, own = self.kept[stream], words[j :: self.streams]
             found = list(map(kept.get, own))
             if None in found:
+                older = self.older[stream]
                 for i, x in enumerate(found):
                     if x is None:
                         w = own[i]
                         x = kept.get(w)
                         if x is None:
-                            x = kept[w] = self._token(w, stream)
+                            x = kept[w] = older.get(w) or self._token(w, stream)
                             self.n += 1
                         found[i] = x
             parts[j :: self.streams] = found
         if self.n > KEPT:
-            self.kept, self.n = [{} for _ in range(self.streams)], 0
-        return np.frombuffer(b"".join(parts), np.int32)
+            self.older, self.kept, self.n = self.kept, [{} for _ in range(self.streams)], 0
+        return np.frombuffer(b"".join(parts), "<i4")
+
+
+#: A worker's encoders, which outlast its tasks.
+ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder_of(vocabulary: Vocabulary, dropout: float, seed: int, streams: int) -> Encoder:
+    key = (vocabulary.mark, dropout, seed, streams)
+    if key not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[key] = Encoder(vocabulary, dropout, seed, streams)
+    return ENCODERS[key]
 
 
 SCHEMA = "doc_id long, n_pieces long, lossless boolean, ids array<int>"
@@ -156,12 +230,9 @@ SCHEMA = "doc_id long, n_pieces long, lossless boolean, ids array<int>"
 def encode_documents(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS) -> DataFrame:
     """A row per document, as SCHEMA says; lossless: whether decoding the ids gives the text."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model or default_model()))  # of a size that the file fixes
-    encoder: list[Encoder] = []
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not encoder:
-            encoder.append(Encoder(shared.value, dropout, seed, streams))
-        own = encoder[0]
+        own = encoder_of(shared.value, dropout, seed, streams)
         texts = batch.column(1).to_pylist()
         ids = [own.encode(t or "", "" if d is None else str(d)) for t, d in zip(texts, batch.column(0).to_pylist())]
         right = [own.vocabulary.decode(x) == (t or "") for x, t in zip(ids, texts)]
