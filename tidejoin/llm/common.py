@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 #: Documents that one Python step holds as objects at a time.
 SLICE = 128
@@ -17,15 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and read again from the folder that all executors share.
+def checkpointed(df: DataFrame, rows_per_file: int = 30_000) -> DataFrame:
+    """df, computed once and read again from the folder that all executors share, in as few files as its rows fill.
 
-    The session's spark.checkpoint.dir holds the files; a temporary folder does only where none is set, as in tests.
+    It is held by the executors while it is counted and written; what they lose meanwhile is computed again. The session's
+    spark.checkpoint.dir holds the files; a temporary folder does only where none is set, as in tests.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidejoin-"))
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.coalesce(max(1, -(-held.count() // rows_per_file))).checkpoint(eager=True)
+    held.unpersist()
+    return out
 
 
 def with_bounded(big: DataFrame, small: DataFrame, on: list[str], rows: int, limit: int = 20_000, how: str = "left") -> DataFrame:
@@ -71,9 +76,10 @@ def components(edges: DataFrame) -> DataFrame:
     labels = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
     while True:
         near = salted_join(both, labels.select(F.col("node").alias("u"), "root"), ["u"], "v").groupBy(F.col("v").alias("node")).agg(F.min("root").alias("near"))
-        nearer = checkpointed(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")))
+        nearer = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")).persist()
         jumped = salted_join(nearer, nearer.select(F.col("node").alias("root"), F.col("root").alias("next")), ["root"], "node")
         jumped = checkpointed(jumped.select("node", "old", F.least("root", "next").alias("root")))
+        nearer.unpersist()
         labels = jumped.select("node", "root")
         if jumped.where("root <> old").isEmpty():
             return labels

@@ -71,8 +71,8 @@ def sequences(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -
 def _ranked(suffixes: DataFrame, by: list[str]) -> DataFrame:
     """The suffixes whose `by` occurs more than once, with the place of `by` in its sorted order as rank."""
     pairs = suffixes.groupBy(*by).agg(F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    order = checkpointed(pairs.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()))
-    return checkpointed(suffixes.join(order, by).drop(*by))
+    order = checkpointed(pairs.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), 100_000)
+    return checkpointed(suffixes.join(order, by).drop(*by), 100_000)
 
 
 def suffix_levels(lines: DataFrame) -> tuple[list[DataFrame], DataFrame]:
@@ -114,7 +114,7 @@ def later_copies(lines: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with the lines of later copies deleted from their text, and n_lines, removed (places of the deleted lines) beside their own columns."""
-    copies = later_copies(checkpointed(sequences(docs, text, min_words)))
+    copies = later_copies(checkpointed(sequences(docs, text, min_words), 100_000))
     per_doc = copies.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     others = [c for c in docs.columns if c not in (text, "n_lines", "removed")]
     rows = _keyed(docs.select(F.struct(*others).alias("rest"), "doc_id", F.col(text).cast("string").alias("text")), "text").join(per_doc, KEY, "left").select("rest", "text", "runs")
