@@ -46,4 +46,4 @@ def test_grammar():
     assert score("she said what a fool") == [0.5] and score("she said. what a fool") == [1.0]
     assert score("Blaggers, and a fool") == [0.5, 1.0]
     assert score("kill the weeds") == [] and score("i kill you") == [] and score("you i will kill") == [1.5]
-    assert score("") == score(None) == [] and score("fool " * 3) == [3.0]
+    assert score("") == score(None) == [] and score("fool " * 3) == [1.0] and score("not fool. fool") == [1.0]

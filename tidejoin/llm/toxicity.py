@@ -8,7 +8,7 @@ and their number go into a logistic model.
 
 Insults are lexemes (words, or stems of 3 to 8 letters) that documents labelled toxic have and others lack, by a likelihood-ratio test over
 all words and stems of the training documents; a lexeme's weight is its log odds. Threats, targets, negations and reporting words are short fixed lists in
-four languages. Lexicon and logistic model are fitted on at most `TRAIN_ROWS` labelled documents, those with the smallest hashes of doc_id.
+four languages. Lexicon and logistic model are fitted on at most `TRAIN_ROWS` labelled documents, those with the smallest hashes of doc_id, without near copies.
 
 An Aho-Corasick automaton finds the lexemes, so only clauses that have one are read by the machine; a clause with neither an insult nor a
 threat has no accepting path.
@@ -28,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_slices, remainder, table
+from .common import checkpointed, map_slices, remainder, table, utf8
+from .ngram_join import _functions as functions_of
+from .ngram_join import minima, ngrams
 
 TRAIN_ROWS = 20_000
 #: Most lexemes that are kept, by likelihood ratio.
 LEXEMES = 2000
 STEMS = (3, 4, 5, 6, 7, 8)
-LEAST_ODDS = 3.0
+LEAST_ODDS = 4.5
+#: How many times the documents of its most frequent word a stem must have.
+STEM_GAIN = 1.1
 #: Words of each kind in English, German, French and Spanish.
 THREATS = "kill hurt destroy shoot stab murder töten umbringen schlagen tuer frapper détruire matar golpear destruir".split()
 TARGETS = "you your yours yourself du dich dein deine euch euer tu toi ton vous votre tú usted ustedes vosotros".split()
@@ -127,30 +131,31 @@ class Lexicon:
 
 
 def clause_scores(text: str | None, lexicon: Lexicon, machine: Transducer) -> list[float]:
-    """The weights of the clauses that the grammar matches."""
+    """The weights of the clauses that the grammar matches; a word that several clauses have counts in the one where it weighs most."""
     low = (text or "").lower()
     hits = lexicon.hits(low)
-    out: list[float] = []
     if not hits:
-        return out
+        return []
+    best: dict[str, tuple[float, int]] = {}
     places = sorted(hits)
     at = 0
-    for clause in CLAUSE.finditer(low):
+    for n, clause in enumerate(CLAUSE.finditer(low)):
         if at == len(places):
             break
         if clause.end() <= places[at]:
             continue
         while at < len(places) and places[at] < clause.end():
             at += 1
-        state, score = 0, 0.0
+        state = 0
         for word in WORD.finditer(low, clause.start(), clause.end()):
             symbol, weight = hits.get(word.start()) or (KINDS.get(word[0], "other"), 0.0)
             said, factor, state = machine.step(state, symbol)
             if said == "match":
-                score += factor * weight
-        if score:
-            out.append(score)
-    return out
+                best[word[0]] = max(best.get(word[0], (0.0, n)), (factor * weight, n))
+    out: dict[int, float] = {}
+    for score, n in best.values():
+        out[n] = out.get(n, 0.0) + score
+    return list(out.values())
 
 
 def features(texts: list[str | None], lexicon: Lexicon, machine: Transducer) -> np.ndarray:
@@ -163,6 +168,21 @@ def _lexemes(text: str) -> set[str]:
     return {f"={w}" for w in words} | {w[:n] for w in words for n in STEMS if len(w) > n}
 
 
+def without_copies(rows: DataFrame) -> DataFrame:
+    """text, toxic without near copies, which would lend all their words to a class: a text goes if others come before it under two or more of four minima over its word n-grams."""
+    functions = functions_of(4)
+
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = np.stack([minima(ngrams(x), *functions) for x in utf8(batch.column(1))]).astype(np.int64)
+        return pa.record_batch([batch.column(0), *(pa.array(own[:, k]) for k in range(4))], ["row", "m0", "m1", "m2", "m3"])
+
+    rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
+    keys = map_slices(rows.select("row", "text"), sign, "row long, m0 long, m1 long, m2 long, m3 long")
+    keys = checkpointed(keys.select("row", F.posexplode(F.array("m0", "m1", "m2", "m3")).alias("k", "m")))
+    firsts = keys.groupBy("k", "m").agg(F.min("row").alias("row")).groupBy("row").agg(F.count("*").alias("first"))
+    return rows.join(firsts.where("first >= 3").select("row"), "row", "left_semi").select("text", "toxic")
+
+
 def learn_lexicon(rows: DataFrame, most: int = LEXEMES) -> Lexicon:
     """rows: text, toxic."""
 
@@ -188,11 +208,18 @@ def learn_lexicon(rows: DataFrame, most: int = LEXEMES) -> Lexicon:
     rest = lambda c, part: F.when(c < part, (part - c) * F.log((part - c) * total / ((total - n) * part))).otherwise(0.0)
     ratio = 2 * (term(F.col("toxic"), toxic) + term(F.col("clean"), clean) + rest(F.col("toxic"), toxic) + rest(F.col("clean"), clean))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    counts = checkpointed(counts.select("lexeme", ratio.alias("ratio"), odds.alias("odds")))
+    counts = checkpointed(counts.select("lexeme", "toxic", ratio.alias("ratio"), odds.alias("odds")))
     bar = 2 * np.log(max(counts.count(), 1)) + 8
     kept = counts.where((F.col("ratio") > bar) & (F.col("odds") > LEAST_ODDS)).orderBy(F.desc("ratio"), "lexeme").limit(most).collect()
     weights = {r["lexeme"]: min(r["odds"], 8.0) / 8 for r in kept}
-    return Lexicon({k[1:]: v for k, v in weights.items() if k[0] == "="}, {k: v for k, v in weights.items() if k[0] != "="})
+    # A stem says more than a word only if documents have it in different words.
+    largest: Counter = Counter()
+    for r in kept:
+        if r["lexeme"][0] == "=":
+            for n in STEMS:
+                largest[r["lexeme"][1 : n + 1]] = max(largest[r["lexeme"][1 : n + 1]], r["toxic"])
+    stems = {r["lexeme"] for r in kept if r["lexeme"][0] != "=" and r["toxic"] > STEM_GAIN * largest[r["lexeme"]]}
+    return Lexicon({k[1:]: v for k, v in weights.items() if k[0] == "="}, {k: v for k, v in weights.items() if k in stems})
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -235,7 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, most: int = TRAIN_R
     rows = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = checkpointed(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     # No more than `most` rows, so the broadcast is bounded.
-    rows = checkpointed(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    rows = checkpointed(without_copies(rows))
     lexicon = learn_lexicon(rows)
     words, stems = {}, {}
     for w in lexicon.find.keys():
