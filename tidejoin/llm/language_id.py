@@ -191,7 +191,7 @@ def fit(docs: DataFrame, learn: F.Column, per_language: int = PER_LANGUAGE) -> M
             if rows:
                 yield pa.record_batch([pa.array(x) for x in zip(*rows)], ["lang", "word", "n"])
 
-    rows = checkpointed(training_rows(docs, learn, per_language))
+    rows = checkpointed(training_rows(docs, learn, per_language), 500)
     counts: dict[str, Counter] = {}
     for lang, word, n in rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.setdefault(lang, Counter())[word] = n

@@ -176,7 +176,7 @@ def without_copies(rows: DataFrame) -> DataFrame:
         own = np.stack([minima(ngrams(x), *functions) for x in utf8(batch.column(1))]).astype(np.int64)
         return pa.record_batch([batch.column(0), *(pa.array(own[:, k]) for k in range(4))], ["row", "m0", "m1", "m2", "m3"])
 
-    rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
+    rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()), 2_000)
     keys = map_slices(rows.select("row", "text"), sign, "row long, m0 long, m1 long, m2 long, m3 long")
     keys = checkpointed(keys.select("row", F.posexplode(F.array("m0", "m1", "m2", "m3")).alias("k", "m")))
     firsts = keys.groupBy("k", "m").agg(F.min("row").alias("row")).groupBy("row").agg(F.count("*").alias("first"))
@@ -263,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, most: int = TRAIN_R
     sample = checkpointed(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     # No more than `most` rows, so the broadcast is bounded.
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    rows = checkpointed(without_copies(rows))
+    rows = checkpointed(without_copies(rows), 2_000)
     lexicon = learn_lexicon(rows)
     words, stems = {}, {}
     for w in lexicon.find.keys():
