@@ -31,8 +31,10 @@ from .common import map_slices, table
 DROPOUT = 0.1
 SEED = 20_240_607
 STREAMS = 8
-#: Segmentations that a Python worker keeps in each of two generations, and plain segmentations that it keeps.
-KEPT, KEPT_PLAIN = 500_000, 250_000
+#: Segmentations that a Python worker keeps in each of two generations.
+KEPT = 500_000
+#: Characters of texts that are encoded together; a longer text is encoded alone.
+TOGETHER = 1_000_000
 TOKEN = re.compile(r" *[^ \n]+| +|\n")
 MASK = 2**64 - 1
 
@@ -65,8 +67,22 @@ class Vocabulary:
                 self.packed[piece] = pack(i)
                 self.ranks[piece] = -m.get_score(i)
                 self.table.append(piece.encode())
+        splits = [(piece[:i], piece[i:], piece) for piece in self.packed for i in range(1, len(piece))]
+        number = lambda piece: int.from_bytes(self.packed[piece], "little")
+        self.pairs = np.array([tuple(map(number, x)) for x in splits if x[0] in self.packed and x[1] in self.packed], np.int32).reshape(-1, 3)
         self.mark = xxhash.xxh3_128_hexdigest(repr((self.table, sorted(self.ranks.items()))))
 
+    def arrays(self) -> tuple[Pairs, np.ndarray, np.ndarray]:
+        """For array work: the pairs; by id, the place of the piece's score among all, then NONE; by code point, the character's id or -1."""
+        places = {r: i for i, r in enumerate(sorted(set(self.ranks.values())))}
+        ranks, characters = np.full(len(self.table) + 1, NONE, np.int32), np.full(0x110000, -1, np.int32)
+        for piece, packed in self.packed.items():
+            i = int.from_bytes(packed, "little")
+            ranks[i] = places[self.ranks[piece]]
+            if len(piece) == 1:
+                characters[ord(piece)] = i
+        return Pairs(*self.pairs.T), ranks, characters
+
     def decode(self, ids: np.ndarray) -> str:
         """The text; the blank that encoding puts first is taken off."""
         return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
@@ -79,44 +95,8 @@ def place_key(a: int, c: int) -> int:
     return (h ^ h >> 29) * 0xC4CEB9FE1A85EC53 & MASK | 1
 
 
-#: Tokens of up to so many characters keep their agenda in a list, which is scanned; longer ones in a heap.
-SHORT = 32
-PLACES = [[place_key(a, c) for c in range(SHORT + 1)] for a in range(SHORT + 1)]
-NONE = float("inf")
-
-
-def segment(token: str, ranks: dict[str, float], base: int = 0, bar: int = 0, path: list[int] | None = None) -> list[str]:
-    """The token's pieces; ranks: the lowest is merged first. A candidate is skipped if the high bits of base times its place's key are below bar.
-
-    path: gets the keys of the merged candidates, for tokens of up to SHORT characters.
-    """
-    if len(token) > SHORT:
-        return _segment_long(token, ranks, base, bar)
-    get = ranks.get
-    pieces = list(token)
-    starts = list(range(len(token) + 1))
-    agenda = [get(x + y, NONE) for x, y in zip(token, token[1:])]
-    while agenda:
-        rank = min(agenda)
-        if rank == NONE:
-            break
-        i = agenda.index(rank)
-        if bar and base * PLACES[starts[i]][starts[i + 2]] & MASK < bar:
-            agenda[i] = NONE
-            continue
-        if path is not None:
-            path.append(PLACES[starts[i]][starts[i + 2]])
-        merged = pieces[i] + pieces.pop(i + 1)
-        pieces[i] = merged
-        del starts[i + 1], agenda[i]
-        if i < len(agenda):
-            agenda[i] = get(merged + pieces[i + 1], NONE)
-        if i:
-            agenda[i - 1] = get(pieces[i - 1] + merged, NONE)
-    return pieces
-
-
-def _segment_long(token: str, ranks: dict[str, float], base: int, bar: int) -> list[str]:
+def segment(token: str, ranks: dict[str, float], base: int = 0, limit: int = -1) -> list[str]:
+    """The token's pieces; ranks: the lowest is merged first. A candidate is skipped if the low 64 bits of base times its place's key are not above limit."""
     n = len(token)
     end = list(range(1, n + 1))  # of the piece that starts here
     before = list(range(-1, n - 1))  # start of the piece before
@@ -126,7 +106,7 @@ def _segment_long(token: str, ranks: dict[str, float], base: int, bar: int) -> l
         _, a, b, c = heappop(agenda)
         if end[a] != b or end[b] != c:
             continue  # one of the two is gone
-        if bar and base * place_key(a, c) & MASK < bar:
+        if base * place_key(a, c) & MASK <= limit:
             continue
         end[a] = c
         end[b] = -1
@@ -147,69 +127,162 @@ def _segment_long(token: str, ranks: dict[str, float], base: int, bar: int) -> l
     return out
 
 
+#: Tokens of up to so many characters are segmented together, in arrays; longer ones one by one.
+SHORT = 32
+PLACES = np.array([[place_key(a, c) for c in range(SHORT + 1)] for a in range(SHORT + 1)], np.uint64)
+NONE = np.iinfo(np.int32).max
+
+
+class Pairs:
+    """The piece that two pieces make, for arrays of ids: a hash table with linear probing."""
+
+    FREE = np.uint64(MASK)
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, made: np.ndarray):
+        bits = max(8, int(4 * len(made)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), 2**bits - 1
+        self.keys, self.made = np.full(2**bits, self.FREE), np.full(2**bits, -1, np.int32)
+        keys, self.steps = self._keys(left, right), 0
+        home, todo = self._home(keys), np.arange(len(keys))
+        while len(todo):
+            at = home[todo] + self.steps & self.last
+            free = self.keys[at] == self.FREE
+            self.keys[at[free]] = keys[todo[free]]
+            placed = self.keys[at] == keys[todo]
+            self.made[at[placed]] = made[todo[placed]]
+            todo = todo[~placed]
+            self.steps += 1
+
+    @staticmethod
+    def _keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """-1 where two pieces make none."""
+        keys = self._keys(left, right)
+        at = self._home(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.made[at], np.int32(-1))
+        left_over = np.flatnonzero((found != keys) & (found != self.FREE))
+        for step in range(1, self.steps):
+            if not len(left_over):
+                break
+            at_step, wanted = at[left_over] + step & self.last, keys[left_over]
+            found = self.keys[at_step]
+            hit = found == wanted
+            out[left_over[hit]] = self.made[at_step[hit]]
+            left_over = left_over[~hit & (found != self.FREE)]
+        return out
+
+
+def segment_all(ids: np.ndarray, pairs: Pairs, ranks: np.ndarray, bases: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces of n tokens of equal length, one after the other, and each token's number of pieces; ids: those of their characters.
+
+    Each round takes the best candidate from each token's agenda, a row by start, and merges or skips it, as `segment` does.
+    """
+    n, width = ids.shape
+    ids = ids.reshape(-1).astype(np.int32)  # of the piece that starts here; -1: none does
+    after = np.arange(1, len(ids) + 1)
+    before = np.arange(-1, len(ids) - 1)
+    made = np.full(len(ids), -1, np.int32)
+    starts = np.arange(n) * width
+    before[starts] = -1
+    inner = np.arange(len(ids)).reshape(n, width)[:, :-1].reshape(-1)
+    made[inner] = pairs.find(ids[inner], ids[inner + 1])
+    ranked = ranks[made]  # the last of ranks is NONE
+    agenda = ranked.reshape(n, width)
+    live = np.arange(n)
+    while len(live):
+        a = live * width + agenda[live].argmin(axis=1)
+        open_ = ranked[a] != NONE
+        live, a = live[open_], a[open_]
+        b = after[a]
+        c = after[b]
+        row = live
+        if limit >= 0:
+            skipped = bases[row] * PLACES[a - starts[row], c - starts[row]] <= np.uint64(limit)
+            ranked[a[skipped]] = NONE
+            merged = ~skipped
+            row, a, b, c = row[merged], a[merged], b[merged], c[merged]
+        ids[a], after[a], ids[b], ranked[b] = made[a], c, -1, NONE
+        inside = c < starts[row] + width
+        ranked[a[~inside]] = NONE
+        x, y = a[inside], c[inside]
+        before[y] = x
+        p = before[a]
+        behind = p >= 0
+        x, y = np.concatenate([x, p[behind]]), np.concatenate([y, a[behind]])
+        made[x] = pairs.find(ids[x], ids[y])
+        ranked[x] = ranks[made[x]]
+    there = ids >= 0
+    return ids[there], there.reshape(n, width).sum(axis=1)
+
+
 class Encoder:
     """Encodes texts, and keeps what tokens became: where a generation is full, the one before it goes, and what is asked for again moves on."""
 
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, streams: int):
         self.vocabulary, self.seed, self.streams = vocabulary, seed, streams if dropout else 1
-        self.bar = int(dropout * 2**64)
+        self.limit = int(dropout * 2**64) - 1
+        self.pairs, self.ranks, self.characters = vocabulary.arrays()
         self.kept: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
         self.older: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
-        self.plain: dict[str, tuple[bytes, tuple[int, ...]]] = {}
         self.n = 0
 
-    def _token(self, token: str, stream: int) -> bytes:
-        if not self.bar:
-            return self._numbers(segment(token, self.vocabulary.ranks))
-        base = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + stream) & MASK)
-        if len(token) <= SHORT:
-            # Where no merge of the token's plain segmentation is skipped, that is the result.
-            plain = self.plain.get(token)
-            if plain is None:
-                path: list[int] = []
-                plain = (self._numbers(segment(token, self.vocabulary.ranks, path=path)), tuple(path))
-                if len(self.plain) >= KEPT_PLAIN:
-                    self.plain = {}
-                self.plain[token] = plain
-            bar = self.bar
-            for key in plain[1]:
-                if base * key & MASK < bar:
-                    break
-            else:
-                return plain[0]
-        return self._numbers(segment(token, self.vocabulary.ranks, base, self.bar))
+    def _tokens(self, tokens: list[str], streams: list[int]) -> list[bytes]:
+        """What each token becomes in its stream."""
+        seeds = [(self.seed * 1_000_003 + s) & MASK for s in range(self.streams)]
+        bases = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"), seeds[s]) for t, s in zip(tokens, streams)]
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        out: list[bytes | None] = [None] * len(tokens)
+        for length in np.unique(lengths[lengths <= SHORT]).tolist():
+            own = np.flatnonzero(lengths == length)
+            text = "".join(map(tokens.__getitem__, own.tolist()))
+            ids = self.characters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].reshape(-1, length)
+            own, ids = own[(known := (ids >= 0).all(axis=1))], ids[known]
+            pieces, counts = segment_all(ids, self.pairs, self.ranks, np.array([bases[i] for i in own.tolist()], np.uint64), self.limit)
+            packed, ends = pieces.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            for i, start, end in zip(own.tolist(), [0, *ends], ends):
+                out[i] = packed[start:end]
+        return [self._numbers(segment(t, self.vocabulary.ranks, base, self.limit)) if x is None else x for x, t, base in zip(out, tokens, bases)]
 
     def _numbers(self, pieces: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.vocabulary.packed.__getitem__, pieces))
-        except KeyError:  # characters go as bytes
-            packed, as_bytes = self.vocabulary.packed, self.vocabulary.bytes
-            return b"".join(packed[p] if p in packed else b"".join(as_bytes[b] for b in p.encode("utf-8", "surrogatepass")) for p in pieces)
-
-    def encode(self, text: str, key: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        words = TOKEN.findall(" " + text)
-        first = xxhash.xxh3_64_intdigest(key, self.seed & MASK)
-        parts: list[bytes | None] = [None] * len(words)
-        for j in range(min(self.streams, len(words))):
-            stream = (first + j) % self.streams
-            kept, own = self.kept[stream], words[j :: self.streams]
-            found = list(map(kept.get, own))
-            if None in found:
-                older = self.older[stream]
-                for i, x in enumerate(found):
-                    if x is None:
-                        w = own[i]
-                        x = kept.get(w)
-                        if x is None:
-                            x = kept[w] = older.get(w) or self._token(w, stream)
-                            self.n += 1
-                        found[i] = x
-            parts[j :: self.streams] = found
+        """Characters that no piece covers go as bytes."""
+        packed, as_bytes = self.vocabulary.packed, self.vocabulary.bytes
+        return b"".join(packed[p] if p in packed else b"".join(as_bytes[b] for b in p.encode("utf-8", "surrogatepass")) for p in pieces)
+
+    def encode(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
+        """The ids of each text, whose draws depend on its key."""
+        words = [TOKEN.findall(" " + t) if t else [] for t in texts]
+        firsts = [xxhash.xxh3_64_intdigest(k, self.seed & MASK) % self.streams for k in keys]
+        wanted: list[set[str]] = [set() for _ in range(self.streams)]
+        for own, first in zip(words, firsts):
+            for j in range(self.streams):
+                wanted[(first + j) % self.streams].update(own[j :: self.streams])
+        tokens, streams = [], []
+        for stream, (own, kept, older) in enumerate(zip(wanted, self.kept, self.older)):
+            new = own.difference(kept)
+            self.n += len(new)
+            for w in new:
+                if (x := older.get(w)) is None:
+                    tokens.append(w)
+                    streams.append(stream)
+                else:
+                    kept[w] = x
+        for w, stream, x in zip(tokens, streams, self._tokens(tokens, streams)):
+            self.kept[stream][w] = x
+        out = []
+        for own, first in zip(words, firsts):
+            parts: list[bytes] = [b""] * len(own)
+            for j in range(self.streams):
+                parts[j :: self.streams] = map(self.kept[(first + j) % self.streams].__getitem__, own[j :: self.streams])
+            out.append(np.frombuffer(b"".join(parts), "<i4"))
         if self.n > KEPT:
             self.older, self.kept, self.n = self.kept, [{} for _ in range(self.streams)], 0
-        return np.frombuffer(b"".join(parts), "<i4")
+        return out
 
 
 #: A worker's encoders, which outlast its tasks.
@@ -234,7 +307,10 @@ def encode_documents(docs: DataFrame, model: str | None = None, dropout: float =
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = encoder_of(shared.value, dropout, seed, streams)
         texts = batch.column(1).to_pylist()
-        ids = [own.encode(t or "", "" if d is None else str(d)) for t, d in zip(texts, batch.column(0).to_pylist())]
+        keys = ["" if d is None else str(d) for d in batch.column(0).to_pylist()]
+        part = np.cumsum([0 if t is None else len(t) for t in texts]) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        ids = [x for i, j in zip(cuts, cuts[1:]) for x in own.encode([t or "" for t in texts[i:j]], keys[i:j])]
         right = [own.vocabulary.decode(x) == (t or "") for x, t in zip(ids, texts)]
         n = np.array([len(x) for x in ids], np.int64)
         offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), mask=np.array([*(t is None for t in texts), False]))
