@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, map_slices, table, utf8
 
+#: The option that op8_line_dedup, its SQL and the pipeline use; op8_line_dedup_every_run has 1: every maximal repeated run counts.
 MIN_WORDS = 50
 BLANK = b" \t\n\x0b\x0c\r"
 #: A document: its doc_id (null as the largest long) and a hash of its text.
@@ -146,6 +147,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "text")
 
 
+def op8_line_dedup_every_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_line_dedup, but any repeated run with a line that isn't empty counts."""
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
+    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "text")
+
+
 #: Every run of lines with at least 50 words that occurs earlier too, by its shortest runs from each line on and up to each line.
 ORACLE = r"""
 WITH lines AS (
@@ -175,3 +182,6 @@ LEFT JOIN (SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.pos) AS kept
            FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS raw FROM documents) l
            ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id) k USING (doc_id)
 """
+
+#: The same with at least one word.
+ORACLE_EVERY_RUN = ORACLE.replace("s.before + 50", "s.before + 1").replace("s.ends - 50", "s.ends - 1")
