@@ -3,11 +3,12 @@
 Five transducers are composed into one machine: reported speech, negation, target, insult and threat. Each reads a clause as symbols (insult,
 threat, target, negation, reporting word, other) and hands on the symbols with what it has found out: an insult after a
 reporting word is reported, one shortly after a negation is negated, one near a target is aimed; a threat counts only if it is aimed. The last two turn
-what is left into clause matches with weights. Texts are scored by their matched clauses, never by words alone: the sum of the clauses' weights
+what is left into clause matches with weights. A target may follow: a sixth transducer reads the clause from its end and marks insults and threats
+that have one shortly after them, before the machine reads it from its start. A reporting word reaches over commas and colons. Texts are scored by their matched clauses, never by words alone: the sum of the clauses' weights
 and their number go into a logistic model.
 
 Insults are lexemes (words, or stems of 3 to 8 letters) that documents labelled toxic have and others lack, by a likelihood-ratio test over
-all words and stems of the training documents; a lexeme's weight is its log odds. Threats, targets, negations and reporting words are short fixed lists in
+all words and stems of the training documents; a lexeme's weight is its log odds, a threat word's too if it is one. Threats, targets, negations and reporting words are short fixed lists in
 four languages. Lexicon and logistic model are fitted on at most `TRAIN_ROWS` labelled documents, those with the smallest hashes of doc_id, without near copies.
 
 An Aho-Corasick automaton finds the lexemes, so only clauses that have one are read by the machine; a clause with neither an insult nor a
@@ -45,13 +46,15 @@ TARGETS = "you your yours yourself du dich dein deine euch euer tu toi ton vous
 NEGATIONS = "not no never isn aren wasn don doesn nicht kein keine nie niemals pas jamais aucun nunca jamás tampoco".split()
 REPORTS = "said says wrote writes quoted claimed alleged sagte schrieb laut angeblich dit écrit selon dijo escribió según".split()
 KINDS = {w: k for k, words in (("target", TARGETS), ("not", NEGATIONS), ("report", REPORTS)) for w in words}
-SYMBOLS = ("insult", "threat", "target", "not", "report", "other")
+SYMBOLS = ("insult", "threat", "target", "not", "report", "other", "faced insult", "faced threat")
 #: How many words a negation, and a target, reaches.
 NOT_REACH, TARGET_REACH = 3, 4
 MARKED = {"aimed": 1.5, "insult": 1.0, "reported": 0.5, "negated": 0.25}
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[^.!?;:,\n]+")
+#: What ends a sentence, and the reach of a reporting word.
+ENDS = ".!?;\n"
 
 
 class Transducer:
@@ -80,7 +83,7 @@ class Transducer:
 
 
 def _reported() -> Transducer:
-    return Transducer({0: {"report": ("other", 1.0, 1)}, 1: {"insult": ("reported", 1.0, 1), "threat": ("other", 1.0, 1)}})
+    return Transducer({0: {"report": ("other", 1.0, 1)}, 1: {"insult": ("reported", 1.0, 1), "threat": ("other", 1.0, 1), "faced insult": ("reported", 1.0, 1), "faced threat": ("other", 1.0, 1)}})
 
 
 def _counting(trigger: str, reach: int, change: dict[str, str], kept: tuple[str, ...]) -> Transducer:
@@ -92,12 +95,17 @@ def _counting(trigger: str, reach: int, change: dict[str, str], kept: tuple[str,
     return Transducer(arcs)
 
 
+def following() -> Transducer:
+    """Reads a clause from its end: what has a target within TARGET_REACH words after it faces it."""
+    return _counting("target", TARGET_REACH, {"insult": "faced insult", "threat": "faced threat"}, ())
+
+
 def grammar() -> Transducer:
     """reported speech . negation . target . insult . threat"""
-    negation = _counting("not", NOT_REACH, {"insult": "negated", "threat": "other"}, ("reported",))
+    negation = _counting("not", NOT_REACH, {"insult": "negated", "threat": "other", "faced insult": "negated", "faced threat": "other"}, ("reported",))
     target = _counting("target", TARGET_REACH, {"insult": "aimed", "threat": "aimed threat"}, ("reported", "negated"))
-    insult = Transducer({0: {k: ("match", w, 0) for k, w in MARKED.items()}})
-    threat = Transducer({0: {"aimed threat": ("match", 1.5, 0)}})
+    insult = Transducer({0: {k: ("match", w, 0) for k, w in (MARKED | {"faced insult": MARKED["aimed"]}).items()}})
+    threat = Transducer({0: {"aimed threat": ("match", 1.5, 0), "faced threat": ("match", 1.5, 0)}})
     machine = _reported()
     for then in (negation, target, insult, threat):
         machine = machine.compose(then)
@@ -111,7 +119,7 @@ class Lexicon:
         self.find = ahocorasick.Automaton()
         entries = {w: ("threat", 1.0, True) for w in THREATS} | {s: ("insult", v, False) for s, v in stems.items()}
         for w, v in words.items():
-            if w not in entries or entries[w][1] < v:
+            if w not in entries or entries[w][0] == "threat" or entries[w][1] < v:
                 entries[w] = ("insult", v, True)
         for w, entry in entries.items():
             self.find.add_word(w, (len(w), *entry))
@@ -125,20 +133,25 @@ class Lexicon:
                 continue
             if whole and end + 1 < len(low) and low[end + 1].isalpha():
                 continue
-            if at not in out or out[at][1] < weight:
+            # What labels say comes before the fixed list of threats.
+            if at not in out or (out[at][0] == "insult", out[at][1]) < (kind == "insult", weight):
                 out[at] = (kind, weight)
         return out
 
 
-def clause_scores(text: str | None, lexicon: Lexicon, machine: Transducer) -> list[float]:
-    """The weights of the clauses that the grammar matches; a word that several clauses have counts in the one where it weighs most."""
+def clause_scores(text: str | None, lexicon: Lexicon, machine: Transducer, ahead: Transducer | None = None) -> list[float]:
+    """The weights of the clauses that the grammar matches; a word that several clauses have counts in the one where it weighs most.
+
+    ahead: what following() gives; without it a target counts only if it comes first.
+    """
     low = (text or "").lower()
     hits = lexicon.hits(low)
     if not hits:
         return []
     best: dict[str, tuple[float, int]] = {}
     places = sorted(hits)
-    at = 0
+    at = read = 0
+    reported = False
     for n, clause in enumerate(CLAUSE.finditer(low)):
         if at == len(places):
             break
@@ -146,20 +159,30 @@ def clause_scores(text: str | None, lexicon: Lexicon, machine: Transducer) -> li
             continue
         while at < len(places) and places[at] < clause.end():
             at += 1
-        state = 0
-        for word in WORD.finditer(low, clause.start(), clause.end()):
-            symbol, weight = hits.get(word.start()) or (KINDS.get(word[0], "other"), 0.0)
+        # Whether the sentence had a reporting word in the clauses before: the last one read, and those without lexemes.
+        end = max(low.rfind(c, read, clause.start()) for c in ENDS)
+        reported = reported and end < 0 or any(KINDS.get(w) == "report" for w in WORD.findall(low, max(end, read), clause.start()))
+        read = clause.end()
+        words = [(w[0], *(hits.get(w.start()) or (KINDS.get(w[0], "other"), 0.0))) for w in WORD.finditer(low, clause.start(), clause.end())]
+        symbols = [symbol for _, symbol, _ in words]
+        if ahead:
+            state = 0
+            for i in range(len(symbols) - 1, -1, -1):
+                symbols[i], _, state = ahead.step(state, symbols[i])
+        state = machine.step(0, "report")[2] if reported else 0
+        for (word, kind, weight), symbol in zip(words, symbols):
+            reported = reported or kind == "report"
             said, factor, state = machine.step(state, symbol)
             if said == "match":
-                best[word[0]] = max(best.get(word[0], (0.0, n)), (factor * weight, n))
+                best[word] = max(best.get(word, (0.0, n)), (factor * weight, n))
     out: dict[int, float] = {}
     for score, n in best.values():
         out[n] = out.get(n, 0.0) + score
     return list(out.values())
 
 
-def features(texts: list[str | None], lexicon: Lexicon, machine: Transducer) -> np.ndarray:
-    scores = [clause_scores(t, lexicon, machine) for t in texts]
+def features(texts: list[str | None], lexicon: Lexicon, machine: Transducer, ahead: Transducer) -> np.ndarray:
+    scores = [clause_scores(t, lexicon, machine, ahead) for t in texts]
     return np.array([[1.0, np.log1p(sum(s)), np.log1p(len(s))] for s in scores]).reshape(-1, 3)
 
 
@@ -253,7 +276,7 @@ class ToxicityModel:
         if b is None:
             return np.zeros(len(texts))
         if not self.ready:
-            self.ready = Lexicon(words, stems), grammar()
+            self.ready = Lexicon(words, stems), grammar(), following()
         return 1 / (1 + np.exp(-features(texts, *self.ready) @ b))
 
 
@@ -274,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, most: int = TRAIN_R
 
     def see(batches):
         parts = held.parts[:2]
-        ready = Lexicon(*parts), grammar()
+        ready = Lexicon(*parts), grammar(), following()
         for batch in batches:
             x = features(batch.column(0).to_pylist(), *ready)
             yield pa.record_batch([pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column(1)], ["a", "b", "toxic"])
