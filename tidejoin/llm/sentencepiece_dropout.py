@@ -2,11 +2,13 @@
 
 A BPE vocabulary (a public model file, whose path is a parameter) is used as it is. A text, with one blank before it, is cut at the starts of blanks' runs and
 at newlines, over which no piece reaches. Within such a token, an agenda holds the pairs of adjoining pieces that make a piece, best score first, leftmost
-first among equals. Each candidate taken from the agenda is skipped if a hash of (seed, stream, token, its place) is below `dropout`; a skipped pair
+first among equals. Each candidate taken from the agenda is skipped if a hash of (seed, doc_id, the token and its place in the document, its place in the token) is below `dropout`; a skipped pair
 returns only inside other merges. So segmentations vary by merges, and every one decodes to the text. With dropout 0 the result is the model's own.
 
-Streams: occurrence i of a document's tokens draws from stream (i + a hash of seed and doc_id) modulo `streams`, so a token has up to that many
-segmentations, and tasks can keep them. Reruns agree, whatever the partitions.
+So each occurrence of a token has draws of its own. Tasks keep only what has no draws: a token's characters, its pieces at dropout 0 and the candidates that
+these merge. An occurrence that skips none of them has these pieces; all others are segmented. Reruns agree, whatever the partitions.
+
+Streams are an option: with `streams` above 0, occurrence i draws from stream (i + a hash of seed and doc_id) modulo `streams` instead, so a token has up to that many segmentations.
 
 Characters that no piece covers are encoded as bytes. Vocabularies' blank marks are read as blanks, so a mark in a text is a character like any other, and is
 encoded as bytes: decoding gives back any text.
@@ -30,9 +32,10 @@ from .common import map_slices, table
 
 DROPOUT = 0.1
 SEED = 20_240_607
-STREAMS = 8
-#: Segmentations that a Python worker keeps in each of two generations.
-KEPT = 500_000
+#: 0: each occurrence of a token has its own draws.
+STREAMS = 0
+#: Tokens, and their characters, that a Python worker keeps; beyond either it starts anew.
+KEPT, KEPT_CHARACTERS = 500_000, 8_000_000
 #: Characters of texts that are encoded together; a longer text is encoded alone.
 TOGETHER = 1_000_000
 TOKEN = re.compile(r" *[^ \n]+| +|\n")
@@ -178,10 +181,10 @@ class Pairs:
         return out
 
 
-def segment_all(ids: np.ndarray, pairs: Pairs, ranks: np.ndarray, bases: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def segment_all(ids: np.ndarray, pairs: Pairs, ranks: np.ndarray, bases: np.ndarray, limit: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the pieces of n tokens of equal length, one after the other, and each token's number of pieces; ids: those of their characters.
 
-    Each round takes the best candidate from each token's agenda, a row by start, and merges or skips it, as `segment` does.
+    Each round takes the best candidate from each token's agenda, a row by start, and merges or skips it, as `segment` does. merges gets each round's (tokens, place keys) of the candidates that are merged.
     """
     n, width = ids.shape
     ids = ids.reshape(-1).astype(np.int32)  # of the piece that starts here; -1: none does
@@ -207,6 +210,8 @@ def segment_all(ids: np.ndarray, pairs: Pairs, ranks: np.ndarray, bases: np.ndar
             ranked[a[skipped]] = NONE
             merged = ~skipped
             row, a, b, c = row[merged], a[merged], b[merged], c[merged]
+        if merges is not None:
+            merges.append((row, PLACES[a - starts[row], c - starts[row]]))
         ids[a], after[a], ids[b], ranked[b] = made[a], c, -1, NONE
         inside = c < starts[row] + width
         ranked[a[~inside]] = NONE
@@ -221,68 +226,132 @@ def segment_all(ids: np.ndarray, pairs: Pairs, ranks: np.ndarray, bases: np.ndar
     return ids[there], there.reshape(n, width).sum(axis=1)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """splitmix64 of unsigned numbers."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Pool:
+    """Spans of one growing array."""
+
+    def __init__(self, kind):
+        self.data, self.starts, self.lengths, self.size, self.n = np.zeros(1024, kind), np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0, 0
+
+    def add(self, data: np.ndarray, lengths: np.ndarray) -> None:
+        size, n = self.size + len(data), self.n + len(lengths)
+        if size > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(size, self.data.dtype)])
+        if n > len(self.starts):
+            self.starts, self.lengths = np.concatenate([self.starts, np.zeros(n, np.int64)]), np.concatenate([self.lengths, np.zeros(n, np.int64)])
+        self.data[self.size : size] = data
+        self.starts[self.n : n] = self.size + np.cumsum(lengths) - lengths
+        self.lengths[self.n : n] = lengths
+        self.size, self.n = size, n
+
+
 class Encoder:
-    """Encodes texts, and keeps what tokens became: where a generation is full, the one before it goes, and what is asked for again moves on."""
+    """Encodes texts, and keeps of each token what has no draws."""
 
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, streams: int):
-        self.vocabulary, self.seed, self.streams = vocabulary, seed, streams if dropout else 1
+        self.vocabulary, self.seed, self.streams = vocabulary, seed, streams
         self.limit = int(dropout * 2**64) - 1
         self.pairs, self.ranks, self.characters = vocabulary.arrays()
-        self.kept: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
-        self.n = 0
-
-    def _tokens(self, tokens: list[str], streams: list[int]) -> list[bytes]:
-        """What each token becomes in its stream."""
-        seeds = [(self.seed * 1_000_003 + s) & MASK for s in range(self.streams)]
-        bases = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"), seeds[s]) for t, s in zip(tokens, streams)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.tokens: list[str] = []
+        #: By token: its hash; whether arrays can segment it; its characters' ids, its pieces at dropout 0 and the keys of their merges.
+        self.hashes, self.short, self.signs, self.plain, self.merges = Pool(np.uint64), Pool(bool), Pool(np.int32), Pool(np.int32), Pool(np.uint64)
+
+    def _groups(self, which: np.ndarray):
+        """The places in `which` of its tokens that arrays can segment, by length, with their characters' ids."""
+        lengths = np.where(self.short.data[which], self.signs.lengths[which], 0)
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            at = np.flatnonzero(lengths == length)
+            yield at, self.signs.data[self.signs.starts[which[at]][:, None] + np.arange(length)]
+
+    def _learn(self, tokens: list[str]) -> None:
+        first = len(self.tokens)
+        self.numbers.update(zip(tokens, range(first, first + len(tokens))))
+        self.tokens += tokens
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        out: list[bytes | None] = [None] * len(tokens)
-        for length in np.unique(lengths[lengths <= SHORT]).tolist():
-            own = np.flatnonzero(lengths == length)
-            text = "".join(map(tokens.__getitem__, own.tolist()))
-            ids = self.characters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].reshape(-1, length)
-            own, ids = own[(known := (ids >= 0).all(axis=1))], ids[known]
-            pieces, counts = segment_all(ids, self.pairs, self.ranks, np.array([bases[i] for i in own.tolist()], np.uint64), self.limit)
-            packed, ends = pieces.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            for i, start, end in zip(own.tolist(), [0, *ends], ends):
-                out[i] = packed[start:end]
-        return [self._numbers(segment(t, self.vocabulary.ranks, base, self.limit)) if x is None else x for x, t, base in zip(out, tokens, bases)]
-
-    def _numbers(self, pieces: list[str]) -> bytes:
-        """Characters that no piece covers go as bytes."""
+        signs = self.characters[np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), "<u4")]
+        short = (lengths <= SHORT) & (np.add.reduceat(signs < 0, np.cumsum(lengths) - lengths) == 0)
+        one = np.ones(len(tokens), np.int64)
+        self.hashes.add(np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"), self.seed & MASK) for t in tokens], np.uint64), one)
+        self.short.add(short, one)
+        self.signs.add(signs, lengths)
+        pieces: list[np.ndarray] = [np.zeros(0, np.int32)] * len(tokens)
+        merges: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(tokens)
+        for at, ids in self._groups(np.arange(first, first + len(tokens))):
+            found: list = []
+            made, counts = segment_all(ids, self.pairs, self.ranks, np.zeros(len(at), np.uint64), -1, found)
+            rows, keys = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            keys = keys[np.argsort(rows, kind="stable")]
+            ends = np.cumsum(np.bincount(rows, minlength=len(at)))
+            for i, x, y in zip(at.tolist(), np.split(made, np.cumsum(counts)[:-1]), np.split(keys, ends[:-1])):
+                pieces[i], merges[i] = x, y
+        if self.limit < 0:
+            for i in np.flatnonzero(~short).tolist():
+                pieces[i] = self._alone(tokens[i], 0)
+        for pool, parts in ((self.plain, pieces), (self.merges, merges)):
+            pool.add(np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts)))
+
+    def _alone(self, token: str, base: int) -> np.ndarray:
+        """The ids of a token that is long or has characters that no piece covers; those go as bytes."""
         packed, as_bytes = self.vocabulary.packed, self.vocabulary.bytes
-        return b"".join(packed[p] if p in packed else b"".join(as_bytes[b] for b in p.encode("utf-8", "surrogatepass")) for p in pieces)
+        pieces = segment(token, self.vocabulary.ranks, base, self.limit)
+        return np.frombuffer(b"".join(packed[p] if p in packed else b"".join(as_bytes[b] for b in p.encode("utf-8", "surrogatepass")) for p in pieces), "<i4")
 
     def encode(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
         """The ids of each text, whose draws depend on its key."""
         words = [TOKEN.findall(" " + t) if t else [] for t in texts]
-        firsts = [xxhash.xxh3_64_intdigest(k, self.seed & MASK) % self.streams for k in keys]
-        wanted: list[set[str]] = [set() for _ in range(self.streams)]
-        for own, first in zip(words, firsts):
-            for j in range(self.streams):
-                wanted[(first + j) % self.streams].update(own[j :: self.streams])
-        tokens, streams = [], []
-        for stream, (own, kept, older) in enumerate(zip(wanted, self.kept, self.older)):
-            new = own.difference(kept)
-            self.n += len(new)
-            for w in new:
-                if (x := older.get(w)) is None:
-                    tokens.append(w)
-                    streams.append(stream)
-                else:
-                    kept[w] = x
-        for w, stream, x in zip(tokens, streams, self._tokens(tokens, streams)):
-            self.kept[stream][w] = x
-        out = []
-        for own, first in zip(words, firsts):
-            parts: list[bytes] = [b""] * len(own)
-            for j in range(self.streams):
-                parts[j :: self.streams] = map(self.kept[(first + j) % self.streams].__getitem__, own[j :: self.streams])
-            out.append(np.frombuffer(b"".join(parts), "<i4"))
-        if self.n > KEPT:
-            self.older, self.kept, self.n = self.kept, [{} for _ in range(self.streams)], 0
-        return out
+        if len(self.tokens) > KEPT or self.signs.size > KEPT_CHARACTERS:
+            self._forget()
+        if new := set().union(*words).difference(self.numbers):
+            self._learn(list(new))
+        of = np.fromiter((i for own in words for i in map(self.numbers.__getitem__, own)), np.int64)
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        starts, counts = self.plain.starts[of], self.plain.lengths[of]
+        source = [self.plain.data[: self.plain.size]]
+        if self.limit >= 0:
+            documents = np.array([xxhash.xxh3_64_intdigest(k, self.seed & MASK) for k in keys], np.uint64)
+            place = _spans(np.zeros(len(n), np.int64), n).astype(np.uint64)
+            draws = np.repeat(documents, n)
+            if self.streams:
+                draws, place = np.uint64(self.seed & MASK), (place + np.repeat(documents % np.uint64(self.streams), n)) % np.uint64(self.streams)
+            bases = _mixed(_mixed(draws + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) ^ self.hashes.data[of])
+            # Occurrences that skip a candidate of their pieces at dropout 0, and those of which these aren't kept.
+            tries = self.merges.lengths[of]
+            own = np.repeat(np.arange(len(of)), tries)
+            skips = bases[own] * self.merges.data[_spans(self.merges.starts[of], tries)] <= np.uint64(self.limit)
+            other = ~self.short.data[of]
+            other[own[skips]] = True
+            other = np.flatnonzero(other)
+            size = self.plain.size
+            for at, ids in self._groups(of[other]):
+                at = other[at]
+                pieces, counts[at] = segment_all(ids, self.pairs, self.ranks, bases[at], self.limit)
+                starts[at] = size + np.cumsum(counts[at]) - counts[at]
+                source.append(pieces)
+                size += len(pieces)
+            for i in other[~self.short.data[of[other]]].tolist():
+                pieces = self._alone(self.tokens[of[i]], int(bases[i]))
+                starts[i], counts[i] = size, len(pieces)
+                source.append(pieces)
+                size += len(pieces)
+        ids = np.concatenate(source)[_spans(starts, counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(n)]
+        return np.split(ids, ends[:-1]) if len(n) else []
 
 
 #: A worker's encoders, which outlast its tasks.
