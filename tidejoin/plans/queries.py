@@ -191,6 +191,12 @@ def result_lines(spark, sf):
     return pairs.select(sinks.pair_line("R", F.col("key"), F.col("seq_s")).alias("line"), sinks.value_line(F.col("key"), F.col("seq_s")).alias("short"))
 
 
+@query("SELECT 'R: ' || o_orderkey || ' ---- ' || l_linenumber AS line, o_orderkey || ' | ' || l_linenumber AS short FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def result_lines_all(spark, sf):
+    pairs = joins.join(orders(spark, sf), lines(spark, sf))
+    return pairs.select(sinks.pair_line("R", F.col("key"), F.col("seq_s")).alias("line"), sinks.value_line(F.col("key"), F.col("seq_s")).alias("short"))
+
+
 # --- geohash and scalars -------------------------------------------------------------------------------------------
 
 
