@@ -2,19 +2,22 @@
 
 P(text) = product over tokens of P(class | class before) * P(token | class). Tokens are lower-cased (A-Z) words and one end per text.
 
-Counts of all tokens of the training texts are summed up in one shuffle. The `HEAD` most frequent tokens are known to every task (a broadcast that this
-parameter bounds). The `CLUSTERED` most frequent of them get classes by exchange: each in turn moves to the class that raises the mutual
-information of neighbouring classes most, over the bigram counts of all training texts (at most CLUSTERED squared, whatever the input). The other
-head tokens are in classes by frequency, and all further ones, unseen ones too, are in one class, the tail. Class transitions are counted over all training texts
-and smoothed with the class frequencies. A token's emission is (c + 0.5) / (its class's tokens + 0.5 * (the class's distinct tokens + 1)).
+Every word with `LEAST` or more occurrences in the training texts has a class by exchange. The core, the most frequent words (their number grows with
+the vocabulary, see `core_size`), is clustered first: words start in turn in the classes, and each in turn moves to the class that raises the mutual information of adjoining
+classes most, until none moves; words outside the core and the start of a text are two fixed neighbours. Then all other words go, each for itself, to the class where the
+same gain is highest over the core's counts: a step of exchange for the whole vocabulary, from each word's counts of neighbouring classes. Rarer words and unseen ones share one class more.
+Class transitions are counted over all training texts with all words in their classes, and smoothed with the class frequencies. A token's
+emission is (c + 0.5) / (its class's tokens + 0.5 * (the class's distinct tokens + 1)).
 
-The tail's counts grow with the corpus, so they are never broadcast: a task sums up the head tokens of its texts at once and
-hands on each text's tail tokens, counted, to a join with the counts by a hash of the token. A token that many texts have is of the head, so no key of that join is hot.
+What is gathered grows with the corpus: counts and classes of all words stay in tables. The `HEAD` most frequent tokens are known to every task (a
+broadcast that this parameter bounds), all others are looked up by a join with a hash of the token. A token that many texts have is of the head, so no key of that join is hot;
+HEAD decides about the way, not about the result. The driver holds the core's bigrams and what is counted by class.
 
 The base score is that of add-half unigrams over the same counts: the sum over tokens of log10((c + 0.5) / (N + 0.5 * (V + 1))).
 
 Defined results: a null or wordless text has one token, the end; with nothing to learn from N and V are 0, so every token has probability 1 in the base and
-in the model; repeated rows get a row each; other columns aren't read.
+in the model; a very long text is one row like any other, of four bytes a token; repeated rows get a row each; ties in counts go by the token's hash, ties in gain to the first class;
+other columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ from pyspark.sql import functions as F
 from .common import SLICE, checkpointed, remainder, table, utf8
 
 HEAD = 100_000
-CLUSTERED = 1000
 CLASSES = 60
-BANDS = 8
-SWEEPS = 3
+#: Fewest occurrences of a word with a class of the exchange.
+LEAST = 2
+#: Words that a Python worker keeps.
+KEPT_WORDS = 400_000
 #: Weight of the class frequencies in a class transition.
 SMOOTH = 5.0
 #: A token that no word is, as words have no white space.
@@ -46,11 +50,17 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def _key(token: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(token) - 2**63
+    """63 bits of a hash, as a number below 0."""
+    return -1 - (xxhash.xxh3_64_intdigest(token) >> 1)
+
+
+def core_size(distinct: int) -> int:
+    """Words that are clustered first: their bigrams are a matrix on the driver, so they grow with the cube root of the vocabulary."""
+    return min(distinct, max(1000, round(6 * distinct ** (1 / 3))))
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """token (64-bit hash), word, c: of all texts; summed up in each task before the shuffle."""
+    """token (a hash), c: of all texts; summed up in each task before the shuffle."""
 
     def count(batches):
         held: Counter = Counter()
@@ -59,39 +69,65 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             words = list(held)
             for at in range(0, len(words), 50_000):
                 part = words[at : at + 50_000]
-                yield pa.record_batch([pa.array([_key(w) for w in part], pa.int64()), pa.array(part, pa.binary()), pa.array([held[w] for w in part], pa.int64())], ["token", "word", "c"])
+                yield pa.record_batch([pa.array(list(map(_key, part)), pa.int64()), pa.array(list(map(held.__getitem__, part)), pa.int64())], ["token", "c"])
             held.clear()
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 for text in utf8(batch.column(0).slice(at, SLICE)):
                     held.update(tokens(text))
-                if len(held) > 400_000:
-                    yield from out()
+                    if len(held) > KEPT_WORDS:
+                        yield from out()
         yield from out()
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "token long, word binary, c long")
-    return rows.groupBy("token").agg(F.min("word").alias("word"), F.sum("c").alias("c"))
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "token long, c long")
+    return rows.groupBy("token").agg(F.sum("c").alias("c"))
+
+
+def head_of(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and counts of the `most` most frequent tokens, ties by the token. The driver sees little more than these: the last band of counts is cut by count, and equal counts by the token's first bits."""
+    picked, left, part = F.lit(False), most, F.lit(True)
+    for by in (-F.floor(4 * F.log2("c")), -F.col("c"), F.shiftright("token", 48)):
+        sizes = counts.where(part).groupBy(by.cast("long").alias("by")).agg(F.count("*").alias("n")).orderBy("by")
+        cut = None
+        for r in sizes.toLocalIterator():
+            if r["n"] > left:
+                cut = r["by"]
+                break
+            left -= r["n"]
+        if cut is None:
+            picked, part = picked | part, F.lit(False)
+            break
+        picked, part = picked | (part & (by < cut)), part & (by == cut)
+    rows = counts.where(picked | part).toArrow() if most > 0 else None
+    token, c = (rows["token"].to_numpy(), rows["c"].to_numpy()) if rows is not None else (np.zeros(0, np.int64),) * 2
+    order = np.lexsort((token, -c))[:most]
+    return token[order], c[order]
+
 
+def _gain(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
 
-def _exchange(pairs: np.ndarray, counts: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
-    """A class for each of the clustered words: (i, j) pairs' counts as a matrix, the words most frequent first.
 
-    Words start in turn in the classes; each then moves where the mutual information of adjoining classes, sum of n log n over class
-    pairs less that over class margins, is highest.
+def exchange(pairs: np.ndarray, fixed: int = 0, classes: int = CLASSES) -> np.ndarray:
+    """A class for each of the words of a matrix of pairs' counts, the most frequent first; the last `fixed` rows have classes of their own, after those.
+
+    Words start in turn in the classes; each then moves where the mutual information of adjoining classes, the sum of n log n over class
+    pairs less that over class margins, is highest, until no word moves.
     """
-    n = len(counts)
+    n = len(pairs) - fixed
     classes = max(1, min(classes, n))
-    of = np.arange(n) % classes
-    f = lambda x: x * np.log(np.maximum(x, 1e-300))
-    left, right = pairs.sum(axis=1), pairs.sum(axis=0)
-    member = np.zeros((n, classes))
-    member[np.arange(n), of] = 1
+    of = np.concatenate([np.arange(n) % classes, np.arange(classes, classes + fixed)])
+    f = _gain
+    left, right = pairs.sum(axis=1).astype(float), pairs.sum(axis=0).astype(float)
+    member = np.zeros((len(pairs), classes + fixed))
+    member[np.arange(len(pairs)), of] = 1
     after, before = pairs @ member, pairs.T @ member  # word to class, class to word
     joint = member.T @ after
     size_l, size_r = member.T @ left, member.T @ right
-    for _ in range(sweeps):
-        moved = 0
+    moved = True
+    while moved:
+        moved = False
         for w in range(n):
             own, a, b, loop = of[w], after[w].copy(), before[w].copy(), pairs[w, w]
             a[own] -= loop
@@ -103,14 +139,17 @@ def _exchange(pairs: np.ndarray, counts: np.ndarray, classes: int, sweeps: int =
             size_l[own] -= left[w]
             size_r[own] -= right[w]
             # What each class would gain: its row and column, and the cell where they cross.
-            rows = f(joint + a[None, :]).sum(axis=1) - f(joint).sum(axis=1)
-            columns = f(joint + b[:, None]).sum(axis=0) - f(joint).sum(axis=0)
+            now = f(joint)
+            rows = (f(joint + a[None, :]) - now).sum(axis=1)
+            columns = (f(joint + b[:, None]) - now).sum(axis=0)
             cross = np.diag(joint)
             both = f(np.maximum(cross + a + b + loop, 0)) - f(cross + a) - f(cross + b) + f(cross)
             margins = f(size_l + left[w]) - f(size_l) + f(size_r + right[w]) - f(size_r)
-            best = int(np.argmax(rows + columns + both - margins))
-            if best != own:
-                moved += 1
+            gains = (rows + columns + both - margins)[:classes]
+            best = int(np.argmax(gains))
+            # A gain that rounding could have made is none, so that no word moves to and fro.
+            if best != own and gains[best] > gains[own] + 1e-9 * (1 + abs(gains[own])):
+                moved = True
                 of[w] = best
                 after[:, own] -= pairs[:, w]
                 after[:, best] += pairs[:, w]
@@ -119,166 +158,305 @@ def _exchange(pairs: np.ndarray, counts: np.ndarray, classes: int, sweeps: int =
                 a, b = after[w].copy(), before[w].copy()
                 a[best] -= loop
                 b[best] -= loop
+            best = of[w]
             joint[best] += a
             joint[:, best] += b
             joint[best, best] += loop
             size_l[best] += left[w]
             size_r[best] += right[w]
-        if not moved:
-            break
     return of
 
 
-class ClassModel:
-    """What the tasks score with: the head's words, their units or classes, and the log-probabilities."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
-        self.counts, self.total, self.distinct = counts, total, distinct
-        self.words = words
-        n = min(CLUSTERED, len(words))
-        # Units: the clustered words, frequency bands of the other head words, the tail, and the start.
-        rest = counts[n:]
-        scale = np.log(rest / max(rest[-1], 1)) / max(np.log(rest[0] / max(rest[-1], 1)), 1e-9) if len(rest) else rest
-        band = np.minimum((scale * BANDS).astype(int), BANDS - 1) if len(rest) else np.zeros(0, int)
-        self.unit = np.concatenate([np.arange(n), n + band]).astype(np.int64)
-        self.tail, self.start, self.units = n + BANDS, n + BANDS + 1, n + BANDS + 2
-        self.clustered = n
-        self.index: dict[bytes, int] | None = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "index": None}
-
-    def head(self, words: list[bytes]) -> np.ndarray:
-        """Each token's place in the head, or -1."""
-        if self.index is None:
-            self.index = {w: i for i, w in enumerate(self.words)}
-        found = self.index
-        return np.fromiter((found.get(w, -1) for w in words), np.int64, len(words))
-
-    def units_of(self, places: np.ndarray) -> np.ndarray:
-        return np.where(places >= 0, self.unit[places] if len(self.unit) else 0, self.tail)
-
-    def learn(self, pairs: np.ndarray) -> None:
-        """pairs: counts of adjoining units, over all training texts."""
-        n = self.clustered
-        of = _exchange(pairs[:n, :n].astype(float), self.counts[:n].astype(float), CLASSES) if n else np.zeros(0, int)
-        classes = int(of.max()) + 1 if n else 0
-        #: Class of each unit.
-        self.of = np.concatenate([of, np.arange(classes, classes + BANDS + 2)])
-        k = classes + BANDS + 2
-        self.tail_class = classes + BANDS
-        size, kinds = np.zeros(k), np.zeros(k)
-        own = self.of[self.unit] if len(self.unit) else np.zeros(0, int)
-        np.add.at(size, own, self.counts)
-        np.add.at(kinds, own, 1)
-        size[self.tail_class] = self.total - size.sum()
-        kinds[self.tail_class] = self.distinct - len(self.words)
-        moves = np.zeros((k, k))
-        np.add.at(moves, (np.repeat(self.of, self.units), np.tile(self.of, self.units)), pairs.ravel())
-        prior = (size + 0.5) / (size + 0.5).sum() if self.total else np.ones(k)
-        self.move = np.log10((moves + SMOOTH * prior) / (moves.sum(axis=1, keepdims=True) + SMOOTH)) if self.total else np.zeros((k, k))
-        self.mass = size + 0.5 * (kinds + 1)
-        self.emit = np.log10((self.counts + 0.5) / self.mass[own]) if len(own) else np.zeros(0)
-        self.tail_mass = float(self.mass[self.tail_class]) if self.total else 0.5
-        self.base_mass = self.total + 0.5 * (self.distinct + 1)
-        self.base = np.log10((self.counts + 0.5) / self.base_mass)
-
-
-def head_of(counts: DataFrame, most: int = HEAD) -> list:
-    """The rows of the most frequent tokens, as many whole quarter octaves of counts as have `most` tokens or fewer."""
-    band = F.floor(4 * F.log2("c"))
-    least, n = None, 0
-    for r in counts.groupBy(band.alias("band")).agg(F.count("*").alias("n")).orderBy(F.desc("band")).collect():
-        n += r["n"]
-        if n > most:
-            break
-        least = r["band"]
-    if least is None:
-        return []
-    return sorted(counts.where(band >= least).collect(), key=lambda r: (-r["c"], r["token"]))
+def best_classes(word: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray, joint: np.ndarray, classes: int) -> np.ndarray:
+    """For words 0, 1, ..., the class where the gain is highest. word, before, after, n: how often a word stands between two classes; after may be len(joint), for none. joint: the core's counts."""
+    words, k = int(word.max()) + 1 if len(word) else 0, len(joint)
+    b, a = np.zeros((words, k)), np.zeros((words, k + 1))
+    np.add.at(b, (word, before), n)
+    np.add.at(a, (word, after), n)
+    f, a = _gain, a[:, :k]
+    gain = np.zeros((words, classes))
+    for side, table in ((a, joint[:classes]), (b, joint[:, :classes].T)):
+        own, unit = np.nonzero(side)
+        for at in range(0, len(own), 50_000):
+            i, u = own[at : at + 50_000], unit[at : at + 50_000]
+            cells = table[:, u].T
+            np.add.at(gain, i, f(cells + side[i, u][:, None]) - f(cells))
+    cross = np.diag(joint)[None, :classes]
+    x, y = a[:, :classes], b[:, :classes]
+    gain += f(cross + x + y) - f(cross + x) - f(cross + y) + f(cross)
+    for side, size in ((a, joint.sum(axis=1)), (b, joint.sum(axis=0))):
+        gain -= f(size[None, :classes] + side.sum(axis=1)[:, None]) - f(size)[None, :classes]
+    return gain.argmax(axis=1)
+
+
+class Cells:
+    """Counts of numbers, as arrays that are summed up now and then."""
+
+    def __init__(self):
+        self.keys, self.counts, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        self.keys.append(keys)
+        self.counts.append(np.ones(len(keys), np.int64) if counts is None else counts)
+        self.size += len(keys)
+        if self.size > 2_000_000:
+            self.add_up()
+            self.size = 0
+
+    def add_up(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, inverse = np.unique(np.concatenate([*self.keys, np.zeros(0, np.int64)]).astype(np.int64), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([*self.counts, np.zeros(0, np.int64)]), len(keys)).astype(np.int64)
+        self.keys, self.counts = [keys], [counts]
+        return keys, counts
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' codes, one after the other, and their lengths."""
+    parts = [np.frombuffer(x.as_buffer(), "<i4") for x in column]
+    return np.concatenate([*parts, np.zeros(0, np.int32)]), np.array([len(x) for x in parts], np.int64)
+
+
+def _previous(units: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
+    """Each unit's neighbour before it; `start` at the start of a text."""
+    out = np.concatenate([[start], units[:-1]]).astype(np.int64)[: len(units)]
+    out[(np.cumsum(n) - n)[n > 0]] = start
+    return out
+
+
+CODED = "row long, doc_id long, held_out boolean, learn boolean, n_tokens long, codes binary, tails array<long>"
+
+
+def coded(docs: DataFrame, learn: F.Column, held_out: F.Column, head: np.ndarray) -> DataFrame:
+    """The texts' tokens as places in the head (four bytes each; -1: none), and the other tokens' hashes in order."""
+    shared = docs.sparkSession.sparkContext.broadcast(head)
+
+    def code(batches):
+        places = dict(zip(shared.value.tolist(), range(len(shared.value))))
+        own: dict[bytes, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                if len(own) > KEPT_WORDS:
+                    own.clear()
+                texts = [tokens(x) for x in utf8(part.column(4))]
+                words = [w for ws in texts for w in ws]
+                found = list(map(own.get, words))
+                if None in found:
+                    for w in {w for w, v in zip(words, found) if v is None}:
+                        key = _key(w)
+                        own[w] = places.get(key, key)
+                    found = list(map(own.__getitem__, words))
+                found = np.array(found, np.int64)
+                n = np.array([len(ws) for ws in texts], np.int64)
+                ends = np.cumsum(n)
+                codes = np.maximum(found, -1).astype("<i4").tobytes()
+                tails = np.concatenate([[0], np.cumsum(found < 0)])[np.concatenate([[0], ends])].astype(np.int32)
+                yield pa.record_batch(
+                    [*(part.column(i) for i in range(4)), pa.array(n), pa.array([codes[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary()), pa.ListArray.from_arrays(pa.array(tails), pa.array(found[found < 0]))],
+                    [x.split()[0] for x in CODED.split(", ")],
+                )
 
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(code, CODED)
 
-def fit(training: DataFrame, counts: DataFrame, most: int = HEAD) -> ClassModel:
-    """The model of the training documents; counts is what count_tokens gives for them, kept."""
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = head_of(counts, most)
-    model = ClassModel([bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.int64), total, distinct)
-    shared = training.sparkSession.sparkContext.broadcast(model)
+
+def core_pairs(training: DataFrame, n: int) -> np.ndarray:
+    """Counts of adjoining units: the core's words, all others (n), and the start (n + 1)."""
 
     def pairs(batches):
-        model, n = shared.value, shared.value.units
-        seen = np.zeros(n * n, np.int64)
+        cells = Cells()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                texts = [tokens(x) for x in utf8(batch.column(0).slice(at, SLICE))]
-                units = model.units_of(model.head([w for ws in texts for w in ws]))
-                before = np.concatenate([[model.start], units[:-1]])
-                ends = np.cumsum([len(ws) for ws in texts])[:-1]
-                before[ends] = model.start
-                cells, times = np.unique(before * n + units, return_counts=True)
-                seen[cells] += times
-        cells = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(cells), pa.array(seen[cells])], ["cell", "n"])
+                codes, lengths = _codes(batch.column(0).slice(at, SLICE))
+                units = np.where((codes >= 0) & (codes < n), codes, n).astype(np.int64)
+                cells.add(_previous(units, lengths, n + 1) * (n + 2) + units)
+        keys, counts = cells.add_up()
+        yield pa.record_batch([pa.array(keys), pa.array(counts)], ["cell", "n"])
 
-    cells = training.select(F.col("text").cast("string").alias("text")).mapInArrow(pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    matrix = np.zeros(model.units**2, np.int64)
-    # At most units squared rows, a number that the parameters fix.
-    for r in cells.toLocalIterator():
-        matrix[r["cell"]] = r["n"]
-    model.learn(matrix.reshape(model.units, model.units))
-    return model
+    out = np.zeros((n + 2) ** 2, np.float32 if n > 4000 else np.float64)
+    rows = training.select("codes").mapInArrow(pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return out.reshape(n + 2, n + 2)
 
 
-SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tails array<struct<token: long, n: int>>"
+def neighbours(training: DataFrame, core: np.ndarray, k: int) -> DataFrame:
+    """code (of a word of the head outside the core, else -1), token (of a word outside the head, else 0), seen (cell, n): how often words outside the core stand between two classes.
 
+    core: the core's classes; k: others; k + 1: the start; k + 2: nothing, after the end. A cell is before * (k + 3) + after.
+    """
+    width = k + 3
 
-def score(docs: DataFrame, learn: F.Column, held_out: F.Column, most: int = HEAD) -> DataFrame:
-    """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity. learn: which rows may be learned from."""
-    training = docs.where(learn)
-    counts = checkpointed(count_tokens(training), 200_000)
-    model = fit(training, counts, most)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    def between(batches):
+        heads = Cells()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                codes, lengths = _codes(part.column(0))
+                if not len(codes):
+                    continue
+                inside = (codes >= 0) & (codes < len(core))
+                units = np.where(inside, core[np.where(inside, codes, 0)] if len(core) else k, k).astype(np.int64)
+                after = np.append(units[1:], k + 2)
+                after[np.cumsum(lengths) - 1] = k + 2
+                cells = _previous(units, lengths, k + 1) * width + after
+                head = codes >= len(core)
+                heads.add(codes[head].astype(np.int64) * width**2 + cells[head])
+                tails = part.column(1).flatten()
+                yield pa.record_batch([pa.array(np.full(len(tails), -1, np.int32)), tails, pa.array(cells[codes < 0].astype(np.int32)), pa.array(np.ones(len(tails), np.int64))], ["code", "token", "cell", "n"])
+        keys, counts = heads.add_up()
+        for at in range(0, len(keys), 100_000):
+            own, n = keys[at : at + 100_000], counts[at : at + 100_000]
+            yield pa.record_batch([pa.array((own // width**2).astype(np.int32)), pa.array(np.zeros(len(own), np.int64)), pa.array((own % width**2).astype(np.int32)), pa.array(n)], ["code", "token", "cell", "n"])
+
+    rows = training.select("codes", "tails").mapInArrow(between, "code int, token long, cell int, n long")
+    rows = rows.groupBy("code", "token", "cell").agg(F.sum("n").alias("n"))
+    return rows.groupBy("code", "token").agg(F.sum("n").alias("c"), F.collect_list(F.struct("cell", "n")).alias("seen"))
+
+
+def classed(words: DataFrame, joint: np.ndarray, k: int, least: int) -> DataFrame:
+    """code, token, c, class of what `neighbours` gives; k is the class of rare words."""
+    shared = words.sparkSession.sparkContext.broadcast(joint)
+
+    def choose(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                often = np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False) >= least)
+                out = np.full(part.num_rows, k, np.int32)
+                if len(often):
+                    seen = part.column(3).take(pa.array(often))
+                    word = np.repeat(np.arange(len(often)), seen.value_lengths().to_numpy(zero_copy_only=False))
+                    cell, n = (seen.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                    out[often] = best_classes(word, cell // (k + 3), cell % (k + 3), n, shared.value, k)
+                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(out)], ["code", "token", "c", "class"])
+
+    return words.mapInArrow(choose, "code int, token long, c long, class int")
+
+
+class ClassModel:
+    """What the tasks score with: of each token of the head its count and class, of each class its mass and transitions."""
 
-    def head(batches):
+    def __init__(self, counts: np.ndarray, classes: np.ndarray, size: np.ndarray, kinds: np.ndarray, total: int, distinct: int):
+        #: k classes by exchange, that of rare words, and the start.
+        self.counts, self.classes, self.total, self.distinct = counts, classes, total, distinct
+        self.size, self.mass = size, size + 0.5 * (kinds + 1)
+        self.rare, self.start = len(size) - 2, len(size) - 1
+        self.base_mass = total + 0.5 * (distinct + 1)
+        self.move = np.zeros((len(size), len(size)))
+
+    def emit(self, c: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / self.mass[classes])
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / self.base_mass)
+
+    def learn(self, moves: np.ndarray) -> None:
+        """moves: counts of adjoining classes, over all training texts."""
+        prior = (self.size + 0.5) / (self.size + 0.5).sum()
+        self.move = np.log10((moves + SMOOTH * prior) / (moves.sum(axis=1, keepdims=True) + SMOOTH))
+
+
+FILLED = "doc_id long, held_out boolean, learn boolean, n_tokens long, n_known long, base double, emitted double, classes binary"
+
+
+def filled(texts: DataFrame, words: DataFrame, model: ClassModel) -> DataFrame:
+    """The texts' classes (two bytes each), with the sums that don't depend on transitions."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    tails = texts.select("row", F.posexplode("tails").alias("i", "token")).join(words.select("token", "c", "class"), "token", "left")
+    tails = tails.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(model.rare)).alias("class")))).alias("tails"))
+
+    def fill(batches):
         model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                texts = [tokens(x) for x in utf8(part.column(3))]
-                n = np.array([len(ws) for ws in texts])
-                own = np.repeat(np.arange(len(texts)), n)
-                words = [w for ws in texts for w in ws]
-                places = model.head(words)
-                units = model.units_of(places)
-                classes = model.of[units]
-                before = np.concatenate([[model.of[model.start]], classes[:-1]])
-                before[np.cumsum(n)[:-1]] = model.of[model.start]
-                known = places >= 0
-                sums = lambda x: np.bincount(own, x, len(texts))
-                emitted = np.zeros(len(words))
-                based = np.zeros(len(words))
-                emitted[known], based[known] = model.emit[places[known]], model.base[places[known]]
-                scores = sums(model.move[before, classes] + emitted)
-                rest = [Counter() for _ in texts]
-                for i in np.flatnonzero(~known):
-                    rest[own[i]][words[i]] += 1
-                tails = [[{"token": _key(w), "n": k} for w, k in c.items()] for c in rest]
+                codes, n = _codes(part.column(4))
+                late = part.column(5).flatten()
+                c, classes = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+                head = codes >= 0
+                c[head], classes[head] = model.counts[codes[head]], model.classes[codes[head]]
+                c[~head], classes[~head] = late.field(1).to_numpy(zero_copy_only=False), late.field(2).to_numpy(zero_copy_only=False)
+                own = np.repeat(np.arange(len(n)), n)
+                sums = lambda x: np.bincount(own, x, len(n))
+                data, ends = classes.astype("<i2").tobytes(), np.cumsum(n)
                 yield pa.record_batch(
-                    [*(part.column(i) for i in range(3)), pa.array(n), pa.array(sums(known).astype(np.int64)), pa.array(sums(based)), pa.array(scores), pa.array(tails, pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32())])))],
-                    [x.split()[0] for x in SCHEMA.split(", ")[:8]],
+                    [*(part.column(i) for i in range(4)), pa.array(sums(c > 0).astype(np.int64)), pa.array(sums(model.base(c))), pa.array(sums(model.emit(c, classes))), pa.array([data[2 * (e - k) : 2 * e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary())],
+                    [x.split()[0] for x in FILLED.split(", ")],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    firsts = checkpointed(rows.mapInArrow(head, SCHEMA))
-    tails = firsts.select("row", F.explode("tails").alias("t")).select("row", "t.token", "t.n")
-    tails = tails.join(counts.select("token", "c"), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    log = lambda mass: F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.lit(float(mass))))
-    late = tails.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("late_known"), log(model.base_mass).alias("late_base"), log(model.tail_mass).alias("late_score"))
-    full = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    out = firsts.drop("tails").join(late, "row", "left").withColumn("score", full("score", "late_score"))
+    rows = texts.drop("tails").join(tails, "row", "left").select("doc_id", "held_out", "learn", "n_tokens", "codes", "tails")
+    return rows.mapInArrow(fill, FILLED)
+
+
+def _classes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.frombuffer(x.as_buffer(), "<i2") for x in column]
+    return np.concatenate([*parts, np.zeros(0, np.int16)]).astype(np.int64), np.array([len(x) for x in parts], np.int64)
+
+
+def transitions(training: DataFrame, width: int, start: int) -> np.ndarray:
+    """Counts of adjoining classes."""
+
+    def pairs(batches):
+        seen = np.zeros(width * width, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                classes, n = _classes(batch.column(0).slice(at, SLICE))
+                seen += np.bincount(_previous(classes, n, start) * width + classes, minlength=width * width)
+        cells = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(cells), pa.array(seen[cells])], ["cell", "n"])
+
+    out = np.zeros(width * width)
+    rows = training.select("classes").mapInArrow(pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return out.reshape(width, width)
+
+
+def score(docs: DataFrame, learn: F.Column, held_out: F.Column, most: int = HEAD, classes: int = CLASSES, least: int = LEAST, core: int | None = None) -> DataFrame:
+    """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity. learn: which rows may be learned from."""
+    counts = checkpointed(count_tokens(docs.where(learn)), 1_000_000)
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n = min(core or core_size(distinct), distinct)
+    head, head_counts = head_of(counts, max(most, n))
+    texts = checkpointed(coded(docs, learn, held_out, head), 5_000)
+    training = texts.where("learn")
+    if not total:
+        return texts.select("doc_id", "held_out", "n_tokens", F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"), F.lit(1.0).alias("perplexity"))
+
+    # Classes: of the core, then of all other words.
+    pairs = core_pairs(training, n)
+    of = exchange(pairs, 2, classes)
+    k = int(of[-2])  # the class of other words, after those of the exchange
+    member = np.zeros((n + 2, k + 2))
+    member[np.arange(n + 2), of] = 1
+    words = checkpointed(classed(neighbours(training, of[:n].astype(np.int64), k), member.T @ pairs @ member, k, least), 1_000_000)
+    own = np.full(len(head), k, np.int64)
+    own[:n] = of[:n]
+    late = words.where("code >= 0").select("code", "class").toArrow()  # no more rows than the head has
+    own[late["code"].to_numpy()] = late["class"].to_numpy()
+    words = words.where("code < 0")
+    size, kinds = np.bincount(own, head_counts, k + 2), np.bincount(own, minlength=k + 2).astype(float)
+    for r in words.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        size[r["class"]] += r["c"]
+        kinds[r["class"]] += r["n"]
+    model = ClassModel(head_counts, own, size, kinds, total, distinct)
+
+    # Transitions, then scores.
+    rows = checkpointed(filled(texts, words, model), 5_000)
+    model.learn(transitions(rows.where("learn"), k + 2, model.start))
+    move, start = model.move, model.start
+
+    def finish(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                seen, lengths = _classes(part.column(5))
+                moved = np.bincount(np.repeat(np.arange(len(lengths)), lengths), move[_previous(seen, lengths, start), seen], len(lengths))
+                yield pa.record_batch([*(part.column(i) for i in range(5)), pa.array(moved + part.column(6).to_numpy())], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    out = rows.select("doc_id", "held_out", "n_tokens", "n_known", "base", "classes", "emitted").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(
-        "doc_id", "held_out", "n_tokens", full("n_known", "late_known").alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"),
-        full("base", "late_base").alias("base_score"), "score", F.pow(F.lit(10.0), F.least(-F.col("score") / F.col("n_tokens"), F.lit(300.0))).alias("perplexity"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), F.least(-F.col("score") / F.col("n_tokens"), F.lit(300.0))).alias("perplexity"),
     )
 
 

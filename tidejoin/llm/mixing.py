@@ -6,20 +6,23 @@ The schedule's slot i falls at the fractional part of i times the golden ratio;
 The slots of a source are ranked, and the slot of rank r takes the source's block r modulo its number of blocks. A source's
 last slot is cut at its target; slots beyond it are passed over. Blocks are taken in order, so a document is taken in whole,
 twice, or not at all, but for one cut at the target in each source.
+A document's first_slot and last_slot are the first and the last slot that takes words of it: read by slot, the mix has every source near its share from the start on.
 
 Targets: sources in code point order (null last) weigh `weights`, repeating. They share `share` times all words. A target stops
 at `most` times its source's words, and the excess goes to the others by weight, until none is above. That is
 least(most * words, level * weight) for one level, which a window over the sources, sorted by the level at which each is full, finds.
 
-Prefix sums over a source's documents and slots are made in two steps, within hash prefixes (or runs of slots) and over
+Prefix sums over a source's documents and slots are made in two steps, within hash prefixes (as many as the rows call for; or runs of slots) and over
 their totals, so that no task ever holds a source. The only rows that meet in one task are one per source.
 
-Defined results: a null or wordless text has size 0 and is taken 0 times; a null doc_id hashes as the empty text; repeated rows are
-documents of their own; a source without words has target 0; an empty table gives an empty result. Other columns aren't read.
+Defined results: a null or wordless text has size 0 and is taken 0 times, with null slots; a document without doc_id is shuffled by its text; repeated rows are
+documents of their own; a very long text is cut over many blocks like any other; a source without words has target 0; an empty table gives an empty result. Other columns aren't read, and pass through `mixed_documents` whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,16 +31,24 @@ from .common import checkpointed, table, with_bounded
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 1024
 SEED = "mix-1"
+GOLDEN = (5**0.5 - 1) / 2
 #: Times the slots that the targets need. Neighbouring points of n golden-ratio points are less than 2 / n apart, so twice as many give each source its own.
 SPARE = 2
 #: Cells of [0, 1) on which points and shares are joined; slots ranked together.
 CELLS, RUN = 1024, 4096
 
 
-def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, source, size in words, and a row number that tells repeated rows apart."""
-    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row"))
+#: Rows of a source and a hash prefix that are ranked together, about.
+PREFIX_ROWS = 50_000
+
+
+def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size in words, the shuffling hash, and a row number (the documents' own, if they have one) that tells repeated rows apart."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5(text)), F.lit(f":{seed}")))
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row")
+    return docs.select("doc_id", "source", size.alias("size"), order.alias("order"), row)
 
 
 def source_targets(words: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
@@ -69,10 +80,9 @@ def shares(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def schedule(spark: SparkSession, sources: DataFrame, n_sources: int, slots: int, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """n, block, pass and `words`, those taken of the block, for every slot that the schedule gives to a source before its target is met."""
-    golden = (5**0.5 - 1) / 2
-    step = (golden * 2**20) % 1
-    point = ((F.col("id") / 2**20).cast("long") * step + (F.col("id") % 2**20) * golden) % 1
+    """slot, n, block, pass and `words`, those taken of the block, for every slot that the schedule gives to a source before its target is met."""
+    step = GOLDEN * 2**20 % 1
+    point = ((F.col("id") / 2**20).cast("long") * step + (F.col("id") % 2**20) * GOLDEN) % 1
     points = spark.range(SPARE * slots + 1).withColumn("point", point).withColumn("cell", F.floor(F.col("point") * CELLS))
     last = F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1))
     parts = sources.where("slots > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), last)))
@@ -87,62 +97,65 @@ def schedule(spark: SparkSession, sources: DataFrame, n_sources: int, slots: int
     ranked = ranked.withColumn("block", F.col("rank") % F.col("blocks")).withColumn("pass", F.expr("rank div blocks"))
     left = F.round("target").cast("long") - F.col("pass") * F.col("source_size") - F.col("block") * block_words
     length = F.least(F.lit(block_words), F.col("source_size") - F.col("block") * block_words)
-    return ranked.withColumn("words", F.least(left, length)).where("words > 0").select("n", "block", "pass", "words")
+    return ranked.withColumn("words", F.least(left, length)).where("words > 0").select(F.col("id").alias("slot"), "n", "block", "pass", "words")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
-    """A row per document: doc_id, source, row, size, source_size, target (its source's), taken (its words that the mix takes, repeats counted)."""
+    """A row per document: doc_id, source, row, size, source_size, target (its source's), taken (its words that the mix takes, repeats counted), first_slot, last_slot (null if none)."""
     spark = docs.sparkSession
-    words = checkpointed(sized(docs))
+    words = checkpointed(sized(docs.select("doc_id", "source", "text", *(["row"] if "row" in docs.columns else [])), seed))
     sources = checkpointed(shares(source_targets(words, weights, share, most), block_words))
     n_sources, slots = sources.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
+    digits = max(3, math.ceil(math.log(max(1, words.count() / PREFIX_ROWS), 16)))
 
     known = words.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-")))
     keyed = sources.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-")).alias("source_key"), "n", "source_size", "target")
     known = with_bounded(known, keyed, ["source_key"], n_sources).drop("source_key")
 
-    # Each document's place on its source's line, in hash order.
-    hashed = known.withColumn("order", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))))
-    hashed = hashed.withColumn("prefix", F.substring("order", 1, 3))
+    # Each document's place on its source's line, in hash order. Those without words need none.
+    hashed = known.where("size > 0").withColumn("prefix", F.substring("order", 1, digits))
     totals = hashed.groupBy("n", "prefix").agg(F.sum("size").alias("here"))
     ahead = Window.partitionBy("n").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("n", "prefix", F.coalesce(F.sum("here").over(ahead), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("n", "prefix").orderBy("order", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = hashed.withColumn("end", F.sum("size").over(within)).join(totals, ["n", "prefix"])
-    placed = placed.select("doc_id", "source", "row", "size", "n", "source_size", "target", (F.col("ahead") + F.col("end") - F.col("size")).alias("start"))
+    placed = placed.select("row", "size", "n", (F.col("ahead") + F.col("end") - F.col("size")).alias("start"))
 
-    # The blocks that each document touches, joined with how often, and how far, the schedule takes them.
+    # The blocks that each document touches, joined with the slots that take them, and how far these do.
     first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
-    cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last))).withColumn("begin", F.col("block") * block_words)
+    cut = placed.withColumn("block", F.explode(F.sequence(first, last))).withColumn("begin", F.col("block") * block_words)
     cut = cut.select("row", "n", "block", "begin", F.greatest("start", "begin").alias("a"), F.least(F.col("start") + F.col("size"), F.col("begin") + block_words).alias("b"))
-    taken = schedule(spark, sources, n_sources, slots, block_words).groupBy("n", "block").agg(F.collect_list("words").alias("visits"))
-    got = F.aggregate("visits", F.lit(0).cast("long"), lambda s, w: s + F.greatest(F.least(F.col("b"), F.col("begin") + w) - F.col("a"), F.lit(0)))
-    per_row = cut.join(taken, ["n", "block"]).select("row", got.alias("taken")).groupBy("row").agg(F.sum("taken").alias("taken"))
-    return placed.join(per_row, "row", "left").select("doc_id", "source", "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = schedule(spark, sources, n_sources, slots, block_words).groupBy("n", "block").agg(F.collect_list(F.struct("slot", "words")).alias("visits"))
+    seen = F.filter("visits", lambda v: F.col("begin") + v["words"] > F.col("a"))
+    got = F.aggregate("seen", F.lit(0).cast("long"), lambda s, v: s + F.least(F.col("b"), F.col("begin") + v["words"]) - F.col("a"))
+    visited = cut.join(taken, ["n", "block"]).withColumn("seen", seen).where(F.size("seen") > 0)
+    visited = visited.select("row", got.alias("taken"), F.array_min("seen.slot").alias("first_slot"), F.array_max("seen.slot").alias("last_slot"))
+    per_row = visited.groupBy("row").agg(F.sum("taken").alias("taken"), F.min("first_slot").alias("first_slot"), F.max("last_slot").alias("last_slot"))
+    return known.join(per_row, "row", "left").select("doc_id", "source", "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: a row for each time that a document is taken, to the nearest whole number; columns stay.
-
-    Rows with the same doc_id and text are told apart by nothing, so they share what they are taken together.
-    """
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h")]
-    mixed = mix(docs.select(F.struct(*key).alias("doc_id"), "source", "text"))
-    times = mixed.where("size > 0").groupBy("doc_id").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")).where("_times > 0")
-    once = F.row_number().over(Window.partitionBy("_d", "_h").orderBy(F.lit(0)))
-    joined = docs.select("*", *key).join(times.select("doc_id.*", "_times"), ["_d", "_h"]).withColumn("_n", once).where("_n = 1")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    """The documents as the mix takes them: a row for each time that a document is taken, to the nearest whole number, in the schedule's order (a first time by its first slot, a second by its last); columns stay."""
+    held = checkpointed(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), 5_000)
+    mixed = checkpointed(mix(held.select("doc.doc_id", "doc.source", "doc.text", "row")).where("taken > 0"), 1_000_000)
+    slots = F.slice(F.array("first_slot", "last_slot"), 1, F.round(F.col("taken") / F.col("size")).cast("int"))
+    times = mixed.select("row", F.explode(slots).alias("slot"))
+    # Slots are even numbers of what is to be written, so parts of equal length of them are parts of the order.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    end = mixed.agg(F.coalesce(F.max("last_slot"), F.lit(0))).first()[0] + 1
+    dealt = held.join(times, "row").withColumn("part", F.floor(F.col("slot") * parts / end).cast("int"))
+    return dealt.repartitionById(parts, "part").sortWithinPartitions("slot", "row").select("doc.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
-#: The same mix where each source's slots suffice: passes over the source's line until its target.
-ORACLE = r"""
+#: The same mix, slot by slot.
+ORACLE = rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '') || ':mix-1') AS h
+         md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':{SEED}') AS h, row_number() OVER () AS row
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n
@@ -153,13 +166,23 @@ levels AS (
             / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0))::DOUBLE AS level
   FROM weighed
   WINDOW f AS (ORDER BY cap::DOUBLE / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-targets AS (SELECT source, source_size, least(cap::DOUBLE, max(level) OVER () * weight) AS target FROM levels),
+targets AS (SELECT source, n, source_size, least(cap::DOUBLE, max(level) OVER () * weight) AS target FROM levels),
+counted AS (SELECT *, round(target)::BIGINT AS words, (source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS blocks, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS passes FROM targets),
+needed AS (SELECT *, (passes * blocks + ceil((words - passes * source_size) / {BLOCK_WORDS}::DOUBLE))::BIGINT AS slots FROM counted),
+summed AS (SELECT *, sum(slots) OVER ()::DOUBLE AS all_slots, (sum(slots) OVER (ORDER BY n))::DOUBLE / (sum(slots) OVER ())::DOUBLE AS hi FROM needed),
+parts AS (SELECT *, (hi * all_slots - slots) / all_slots AS lo FROM summed WHERE slots > 0),
+points AS (SELECT id, ((id // 1048576)::DOUBLE * '{GOLDEN * 2**20 % 1!r}'::DOUBLE + (id % 1048576)::DOUBLE * '{GOLDEN!r}'::DOUBLE) % 1.0::DOUBLE AS point
+           FROM (SELECT unnest(range({SPARE} * (SELECT sum(slots) FROM needed)::BIGINT + 1)) AS id)),
+ranked AS (SELECT p.*, id, row_number() OVER (PARTITION BY n ORDER BY id) - 1 AS rank FROM points JOIN parts p ON point >= lo AND (point < hi OR hi >= 1)),
+slots AS (
+  SELECT n, id AS slot, rank % blocks AS block, least(words - rank // blocks * source_size - rank % blocks * {BLOCK_WORDS}, {BLOCK_WORDS}, source_size - rank % blocks * {BLOCK_WORDS}) AS words FROM ranked),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
+  SELECT s.doc_id, s.row, s.size, t.n, t.source_size, t.target,
          sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - s.size AS start
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0
-            ELSE words // source_size * size + greatest(0, least(size, words % source_size - start)) END::BIGINT AS taken
-FROM placed
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+visits AS (
+  SELECT p.row, s.slot, least(p.start + p.size, s.block * {BLOCK_WORDS} + s.words) - greatest(p.start, s.block * {BLOCK_WORDS}) AS got
+  FROM placed p JOIN slots s ON p.n = s.n AND p.size > 0 AND s.words > 0 AND s.block BETWEEN p.start // {BLOCK_WORDS} AND (p.start + p.size - 1) // {BLOCK_WORDS}),
+taken AS (SELECT row, sum(got)::BIGINT AS taken, min(slot) AS first_slot, max(slot) AS last_slot FROM visits WHERE got > 0 GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, last_slot FROM placed LEFT JOIN taken USING (row)
 """
