@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, with_bounded
+from .common import checkpointed, table, whole_rows, with_bounded
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 1024
@@ -136,7 +136,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = SEED, weigh
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: a row for each time that a document is taken, to the nearest whole number, in the schedule's order (a first time by its first slot, a second by its last); columns stay."""
-    held = checkpointed(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), 5_000)
+    held = checkpointed(docs.select(whole_rows(docs), F.monotonically_increasing_id().alias("row")), 5_000)
     mixed = checkpointed(mix(held.select("doc.doc_id", "doc.source", "doc.text", "row")).where("taken > 0"), 1_000_000)
     slots = F.slice(F.array("first_slot", "last_slot"), 1, F.round(F.col("taken") / F.col("size")).cast("int"))
     times = mixed.select("row", F.explode(slots).alias("slot"))
