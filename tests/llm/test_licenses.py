@@ -32,10 +32,79 @@ def test_expressions():
     assert label(TEXTS[10]) == ("bsd,gpl,mit", True)
     assert label(TEXTS[11]) == ("gpl", False)
     assert label(TEXTS[12]) == ("", None)
+    tag = lambda t: label(f"SPDX-License-Identifier: {t}")
+    assert tag("MIT WITH Commons-Clause") == ("commons-clause,mit", False) and tag("MIT WITH no-such-exception") == ("mit,no-such-exception", False)
+    assert tag("Apache-2.0 WITH LLVM-exception") == ("apache", True) and tag("GPL-2.0-or-later OR MIT") == ("gpl,mit", True)
+    assert tag("MITRE-Research") == ("mitre-research", False) and tag("BSD-Protection") == ("bsd-protection", False) and tag("LGPL-2.1+") == ("lgpl", False)
     assert label(TEXTS[8]) == ("agpl,apache,gpl,mit", False)
     assert L.evaluate(L.parse("MIT AND GPL-2.0 OR Apache-2.0")) == ({"mit", "gpl", "apache"}, True)
     assert L.parse("(MIT") is None and L.parse("MIT)") is None and L.parse("MIT GPL") is None and L.parse("") is None
 
 
+def answer(text):
+    """By recursive descent: families, and whether permissive ones alone can meet it."""
+    words = re.findall(r"[()]|[^\s()]+", text)
+
+    def choice():
+        names, met = both()
+        while words and words[0] == "OR":
+            words.pop(0)
+            more, other = both()
+            names, met = names | more, met or other
+        return names, met
+
+    def both():
+        names, met = one()
+        while words and words[0] == "AND":
+            words.pop(0)
+            more, other = one()
+            names, met = names | more, met and other
+        return names, met
+
+    def one():
+        word = words.pop(0)
+        if word == "(":
+            names, met = choice()
+            words.pop(0)
+        else:
+            names, met = {L.licence(word)[0]}, L.licence(word)[1]
+        while words and words[0] == "WITH":
+            words.pop(0)
+            addition = words.pop(0).lower()
+            names, met = (names, met) if addition in L.LOOSER else (names | {addition}, False)
+        return names, met
+
+    return choice()
+
+
+def test_expressions_against_recursive_descent():
+    import random
+
+    rng = random.Random(6)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.3:
+            word = rng.choice(["MIT", "GPL-2.0-only", "Apache-2.0", "BSD-3-Clause", "X-1", "CC-BY-NC-4.0", "LGPL-2.1+"])
+            return word + rng.choice(["", "", " WITH LLVM-exception", " WITH Commons-Clause"])
+        inner = f"{some(depth - 1)} {rng.choice(['AND', 'OR'])} {some(depth - 1)}"
+        return f"({inner})" if rng.random() < 0.5 else inner
+
+    for _ in range(300):
+        text = some(4)
+        assert L.evaluate(L.parse(text)) == answer(text) and L.tag_expression(text) == " ".join(L.TOKEN.findall(text))
+
+
+def test_labels_of_phrases_against_brute_force():
+    import random
+
+    rng, find = random.Random(7), L.automaton()
+    phrases = {**L.BASE, **L.NOTICES}
+    for _ in range(200):
+        parts = [rng.choice([*phrases, "some words", "general public", "a license"]) for _ in range(8)]
+        text = " zzz ".join(parts) if rng.random() < 0.5 else " ".join(parts)
+        line = f" {' '.join(re.findall(r'[a-z0-9]+', text))} "
+        assert L.scan(text.encode(), find)[5] == ",".join(sorted({label for p, label in phrases.items() if f" {p} " in line}))
+
+
 def test_empty_table(spark):
     assert L.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -3,14 +3,15 @@
 A text's words are runs of a-z (A-Z lower-cased), 0-9 and non-ASCII bytes. One automaton holds every phrase, as words with a
 blank on either side, so a hit is a place where the phrase's words stand consecutively. An identifier tag's expression, read from
 the text as it is, is parsed by precedence (with, and, or; parentheses) and evaluated for the licences that it names
-and for whether it can be met by permissive ones alone: `or` needs one side, `and` both, `with` an exception that may only loosen.
+and for whether it can be met by permissive ones alone: `or` needs one side, `and` both; `with` keeps its left side's answer if its right side is a known exception that grants more, and
+is not permissive if that restricts (it then has a label too) or is unknown. Identifiers are matched whole, a name with a version and perhaps +, -only or -or-later; one that isn't known is a label of its own and not permissive.
 Notice phrases that stand within `NEAR` words, joined by or/and, are evaluated as one expression too.
 
 Labels: the family of each phrase found (base ones among them) and of each identifier in a tag's expression. Score: evidence that the text carries
 licence terms, 1 - product of (1 - weight) over the findings; a tag weighs more than a phrase.
 
 Defined results: a null text is the empty text, with no words, no labels (empty strings), null places and score 0. A tag with
-a malformed expression counts as a finding, with the identifiers read so far as labels and permissive null. Repeated rows
+a malformed expression counts as a finding, with the identifiers read so far as labels and permissive null. A very long text is scanned whole. Repeated rows
 get a row each; other columns aren't read.
 """
 
@@ -27,30 +28,116 @@ from .common import map_slices, table, utf8
 
 #: The phrases and labels that every scan reports.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Phrases of this method: notices of further licences, and more exact forms of the base ones.
+#: Phrases of this method, notices of further licences and more exact forms of the base ones.
 NOTICES = {
     "gnu general public license": "gpl",
+    "gnu gpl": "gpl",
     "lesser general public license": "lgpl",
+    "library general public license": "lgpl",
     "affero general public license": "agpl",
     "mozilla public license": "mpl",
     "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "common public license": "cpl",
+    "common development and distribution license": "cddl",
+    "microsoft public license": "ms-pl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "elastic license": "elastic",
+    "open software license": "osl",
+    "academic free license": "afl",
+    "artistic license": "artistic",
+    "apache software license": "apache",
     "bsd license": "bsd",
     "isc license": "isc",
+    "zlib license": "zlib",
+    "postgresql license": "postgresql",
+    "python software foundation license": "python",
+    "universal permissive license": "upl",
+    "blue oak model license": "blueoak",
     "boost software license": "bsl",
+    "sil open font license": "ofl",
+    "open database license": "odbl",
     "the unlicense": "unlicense",
+    "this is free and unencumbered software released into the public domain": "unlicense",
     "licensed under cc by nc": "cc-by-nc",
-    "creative commons attribution noncommercial": "cc-by-nc",
-    "licensed under cc by 4 0": "cc-by",
+    "licensed under cc by nd": "cc-by-nd",
     "licensed under cc by sa": "cc-by-sa",
+    "licensed under cc by 4 0": "cc-by",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution sharealike": "cc-by-sa",
     "cc0 1 0 universal": "cc0",
     "permission is hereby granted free of charge": "mit",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
     "redistribution and use in source and binary forms": "bsd",
+    "commons clause": "commons-clause",
     "all rights reserved": "proprietary",
 }
 TAG = "spdx license identifier"
-PERMISSIVE = {"mit", "apache", "bsd", "isc", "bsl", "unlicense", "cc0", "cc-by", "zlib"}
-#: Identifier prefixes, longest first, and the family that each means.
-FAMILIES = {"cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by": "cc-by", "cc0": "cc0", "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "apache": "apache", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "isc": "isc", "bsl": "bsl", "unlicense": "unlicense", "zlib": "zlib"}
+#: By family, names of identifiers and their versions ("-": none). A family's own name is one of its identifiers.
+PERMISSIVE_NAMES = {
+    "mit": "MIT - 0 CMU Modern-Variant advertising feh Wu open-group|MITNFA -|X11 -",
+    "apache": "Apache 1.0 1.1 2.0",
+    "bsd": "0BSD -|BSD 1-Clause 2-Clause 2-Clause-Patent 2-Clause-Views 3-Clause 3-Clause-Clear 3-Clause-LBNL 4-Clause Source-Code",
+    "isc": "ISC - Veillard",
+    "bsl": "BSL 1.0",
+    "zlib": "Zlib - acknowledgement",
+    "unlicense": "Unlicense -",
+    "cc0": "CC0 1.0",
+    "cc-by": "CC-BY 1.0 2.0 2.5 3.0 4.0",
+    "afl": "AFL 1.1 1.2 2.0 2.1 3.0",
+    "artistic": "Artistic 1.0 2.0",
+    "python": "PSF 2.0|Python 2.0 2.0.1",
+    "postgresql": "PostgreSQL -",
+    "ncsa": "NCSA -",
+    "upl": "UPL 1.0",
+    "blueoak": "BlueOak 1.0.0",
+    "wtfpl": "WTFPL -",
+    "ms-pl": "MS-PL -",
+    "ecl": "ECL 1.0 2.0",
+    "zpl": "ZPL 1.1 2.0 2.1",
+    "php": "PHP 3.0 3.01",
+}
+OTHER_NAMES = {
+    "gpl": "GPL 1.0 2.0 3.0",
+    "lgpl": "LGPL 2.0 2.1 3.0",
+    "agpl": "AGPL 1.0 3.0",
+    "mpl": "MPL 1.0 1.1 2.0",
+    "epl": "EPL 1.0 2.0",
+    "eupl": "EUPL 1.0 1.1 1.2",
+    "cpl": "CPL 1.0",
+    "cddl": "CDDL 1.0 1.1",
+    "osl": "OSL 1.0 2.0 2.1 3.0",
+    "ofl": "OFL 1.0 1.1",
+    "odbl": "ODbL 1.0",
+    "ms-rl": "MS-RL -",
+    "cc-by-sa": "CC-BY-SA 1.0 2.0 2.5 3.0 4.0",
+    "cc-by-nc": "CC-BY-NC 1.0 2.0 2.5 3.0 4.0|CC-BY-NC-SA 1.0 2.0 2.5 3.0 4.0|CC-BY-NC-ND 1.0 2.0 2.5 3.0 4.0",
+    "cc-by-nd": "CC-BY-ND 1.0 2.0 2.5 3.0 4.0",
+    "busl": "BUSL 1.1",
+    "sspl": "SSPL 1.0",
+    "elastic": "Elastic 2.0",
+    "proprietary": "LicenseRef Proprietary",
+}
+#: Exceptions that grant more than the licence before them, and additions that grant less.
+LOOSER = "classpath-exception-2.0 llvm-exception gcc-exception-2.0 gcc-exception-3.1 autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception font-exception-2.0 libtool-exception linux-syscall-note openjdk-assembly-exception-1.0 qt-gpl-exception-1.0 swift-exception u-boot-exception-2.0 wxwindows-exception-3.1".split()
+STRICTER = "commons-clause".split()
+
+
+def _identifiers() -> dict[str, tuple[str, bool]]:
+    """Lower-case identifiers with their families and whether these are permissive."""
+    out = {}
+    for names, permissive in ((OTHER_NAMES, False), (PERMISSIVE_NAMES, True)):
+        for family, text in names.items():
+            out[family] = family, permissive
+            for part in text.split("|"):
+                name, *versions = part.lower().split()
+                out |= {name if v == "-" else f"{name}-{v}": (family, permissive) for v in versions}
+    return out
+
+
+IDENTIFIERS = _identifiers()
 TAG_WEIGHT, PHRASE_WEIGHT = 0.95, 0.8
 NEAR = 6
 
@@ -61,9 +148,10 @@ RANK = {"or": 1, "and": 2, "with": 3}
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 
 
-def family(identifier: str) -> str:
-    low = identifier.lower()
-    return next((v for k, v in FAMILIES.items() if low.startswith(k)), low)
+def licence(identifier: str) -> tuple[str, bool]:
+    """The family of an identifier, and whether it is permissive."""
+    low = identifier.lower().removesuffix("+").removesuffix("-only").removesuffix("-or-later")
+    return IDENTIFIERS.get(low, (identifier.lower(), False))
 
 
 def parse(expression: str) -> list[str] | None:
@@ -104,14 +192,19 @@ def parse(expression: str) -> list[str] | None:
 
 def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
     """The families that the expression names, and whether permissive licences alone can meet it."""
-    stack: list[tuple[set[str], bool]] = []
+    stack: list[tuple[set[str], bool, str]] = []
     for token in postfix:
-        if token in RANK:
-            (b, met_b), (a, met_a) = stack.pop(), stack.pop()
-            stack.append((a, met_a) if token == "with" else (a | b, met_a or met_b if token == "or" else met_a and met_b))
+        if token == "with":
+            (_, _, addition), (a, met, _) = stack.pop(), stack.pop()
+            looser = addition.lower() in LOOSER
+            stack.append((a if looser else a | {addition.lower()}, met and looser, ""))
+        elif token in RANK:
+            (b, met_b, _), (a, met_a, _) = stack.pop(), stack.pop()
+            stack.append((a | b, met_a or met_b if token == "or" else met_a and met_b, ""))
         else:
-            stack.append(({family(token)}, family(token) in PERMISSIVE))
-    return stack[-1]
+            family, permissive = licence(token)
+            stack.append(({family}, permissive, token))
+    return stack[-1][:2]
 
 
 def tag_expression(line: str) -> str:
@@ -192,7 +285,7 @@ def scan(text: bytes, find) -> tuple:
                 labels |= names
                 permissive.append(met)
             else:
-                labels |= {family(x) for x in TOKEN.findall(expression) if x.lower() not in RANK and x not in "()"}
+                labels |= {licence(x)[0] for x in TOKEN.findall(expression) if x.lower() not in RANK and x not in "()"}
     starts = [w for w, _ in base]
     return (
         len(words), len(base), min(starts, default=None), max(starts, default=None),
