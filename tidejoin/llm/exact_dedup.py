@@ -4,12 +4,12 @@ Each document becomes a content key (SHA-256 of its text without white space). K
 first bits; a bucket holds a cuckoo filter of the live keys' fingerprints and, as the content to verify against, the
 keys themselves. A key that the filter doesn't know is new, without a look at the stored keys. A hit is verified
 against the bucket's keys, so a false positive never merges different texts. Where a filter overflows, it is built
-anew, twice as large, from the stored keys. Copies are summed up per key and salt before the shuffle, so that a key that a third
-of all documents share reaches its bucket as `salts` rows.
+anew, twice as large, from the stored keys; where buckets fill up, the index is dealt to more of them, from the stored keys too. Copies are summed up per key and salt before the shuffle, so that a key that a third
+of all documents share reaches its bucket as `salts` rows. The documents of each key are a table beside the index, never in a bucket.
 
 Defined results: a null text is the empty text; empty texts equal one another; of equal texts, the one with most code
-points stays, then the smallest doc_id (null last), rows alike in both are one and the same choice; an empty table gives
-an empty result. Columns besides doc_id and text aren't read.
+points stays, then the smallest doc_id (null last), rows alike in both are one and the same choice; a very long text is one digest, of all of it; an empty table gives
+an empty result; deleting what the index doesn't have changes nothing. Columns besides doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_slices, table, utf8
+from .common import checkpointed, map_slices, salted_join, table, utf8
 
 SPACE = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
 SLOTS = 4
 KICKS = 200
 KEYS_PER_BUCKET = 1000
-STATE = "bucket int, digest binary, points int, keep_id long, size long, filter binary"
+STATE = "bucket int, digest binary, size long, filter binary"
+MEMBERS = "digest binary, points int, doc_id long, size long"
 
 
 class CuckooFilter:
@@ -113,79 +114,86 @@ def _bucket(buckets: int) -> F.Column:
     return (F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("long") % buckets).cast("int")
 
 
-def _better(points: int, keep: int | None, points2: int, keep2: int | None) -> bool:
-    """Whether the second is kept rather than the first."""
-    return (-points2, keep2 is None, keep2 or 0) < (-points, keep is None, keep or 0)
-
-
 def _step(state: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
     """A bucket's state after the batch: rows with size > 0 insert, those with size < 0 delete."""
-    keys: dict[bytes, list] = {}
-    filters = [x for x in state["filter"] if x is not None] if len(state) else []
     bucket = int((state if len(state) else batch)["bucket"].iloc[0])
-    for digest, points, keep, size in state[["digest", "points", "keep_id", "size"]].itertuples(index=False):
-        if digest is not None:
-            keys[bytes(digest)] = [int(points), None if pd.isna(keep) else int(keep), int(size)]
-    known = CuckooFilter.read(filters[0]) if filters else CuckooFilter()
-    for digest, points, keep, size in batch[["digest", "points", "keep_id", "size"]].itertuples(index=False):
-        digest, keep = bytes(digest), None if pd.isna(keep) else int(keep)
-        entry = keys.get(digest) if digest in known else None
-        if entry is None:
-            if size > 0:
-                keys[digest] = [int(points), keep, int(size)]
-                if not known.insert(digest):
-                    known = CuckooFilter.grown(list(keys), 2 * len(known.table))
-        elif size > 0:
-            if _better(entry[0], entry[1], int(points), keep):
-                entry[:2] = int(points), keep
-            entry[2] += int(size)
-        else:
-            entry[2] += int(size)
-            if entry[2] <= 0:
+    keys = {bytes(d): int(n) for d, n in state[["digest", "size"]].itertuples(index=False) if d is not None}
+    filters = [x for x in state["filter"] if x is not None] if len(state) else []
+    # A bucket that was split has keys and no filter yet.
+    known = CuckooFilter.read(filters[0]) if filters else CuckooFilter.grown(list(keys), 64)
+    for digest, size in batch[["digest", "size"]].itertuples(index=False):
+        digest = bytes(digest)
+        if digest in known and digest in keys:
+            keys[digest] += int(size)
+            if keys[digest] <= 0:
                 del keys[digest]
                 known.delete(digest)
-    rows = [(bucket, k, e[0], e[1], e[2], None) for k, e in keys.items()] + [(bucket, None, None, None, None, bytes(known))]
-    out = pd.DataFrame(rows, columns=["bucket", "digest", "points", "keep_id", "size", "filter"])
-    return out.astype({"points": "Int32", "keep_id": "Int64", "size": "Int64"})
+        elif size > 0:
+            keys[digest] = int(size)
+            if not known.insert(digest):
+                known = CuckooFilter.grown(list(keys), 2 * len(known.table))
+    rows = [(bucket, k, n, None) for k, n in keys.items()] + [(bucket, None, None, bytes(known))]
+    return pd.DataFrame(rows, columns=["bucket", "digest", "size", "filter"]).astype({"size": "Int64"})
 
 
 class CuckooIndex:
-    """Live content keys in buckets; `state` has a row for each key (its copies, and which document stays) and one for each bucket's filter."""
-
-    def __init__(self, spark: SparkSession, buckets: int, state: DataFrame | None = None):
-        self.spark, self.buckets = spark, buckets
-        self.state = state if state is not None else spark.createDataFrame([], STATE)
-
-    def _apply(self, batch: DataFrame, fresh: bool = False) -> CuckooIndex:
-        batch = batch.withColumn("bucket", _bucket(self.buckets)).select("bucket", "digest", "points", "keep_id", "size")
-        if fresh:
-            empty = pd.DataFrame(columns=["bucket", "digest", "points", "keep_id", "size", "filter"])
+    """Live content keys in buckets; `state` has a row for each key (its copies) and one for each bucket's filter. `members` has the documents of each key, from which the next best one
+    takes the place of one that is deleted. Buckets are split when they come to hold twice `keys_per_bucket` keys on average."""
+
+    def __init__(self, spark: SparkSession, buckets: int = 1, keys_per_bucket: int = KEYS_PER_BUCKET, state: DataFrame | None = None, members: DataFrame | None = None):
+        self.spark, self.buckets, self.keys_per_bucket = spark, buckets, keys_per_bucket
+        self.state, self.members = state, members if members is not None else spark.createDataFrame([], MEMBERS)
+
+    def _apply(self, batch: DataFrame, members: DataFrame) -> CuckooIndex:
+        """batch: digest, size; a hot key's few rows are its sums by salt."""
+        batch = batch.withColumn("bucket", _bucket(self.buckets)).select("bucket", "digest", "size")
+        if self.state is None:
+            empty = pd.DataFrame(columns=["bucket", "digest", "size", "filter"])
             out = batch.groupBy("bucket").applyInPandas(lambda rows: _step(empty, rows), STATE)
         else:
             out = self.state.groupBy("bucket").cogroup(batch.groupBy("bucket")).applyInPandas(_step, STATE)
-        return CuckooIndex(self.spark, self.buckets, checkpointed(out))
+        return CuckooIndex(self.spark, self.buckets, self.keys_per_bucket, checkpointed(out), checkpointed(members, 200_000))
+
+    def _split(self) -> CuckooIndex:
+        """The index in as many buckets as its keys call for; filters of new buckets are made from the stored keys at the next step."""
+        live = self.state.where("digest IS NOT NULL").count()
+        if live <= 2 * self.keys_per_bucket * self.buckets:
+            return self
+        buckets = -(-live // self.keys_per_bucket)
+        keys = self.state.where("digest IS NOT NULL").select(_bucket(buckets).alias("bucket"), "digest", "size", "filter")
+        return CuckooIndex(self.spark, buckets, self.keys_per_bucket, keys, self.members)
 
     def insert(self, keys: DataFrame, salts: int = 8) -> CuckooIndex:
         """The index with the documents of `keys` (from `content_keys`) in it."""
-        best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))).alias("best")
-        salted = keys.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(best, F.count("*").alias("size"))
-        return self._apply(salted.select("digest", (-F.col("best.p")).alias("points"), F.col("best.d").alias("keep_id"), "size"), fresh=self.state.limit(1).isEmpty())
+        fresh = keys.groupBy("digest", "points", "doc_id").agg(F.count("*").alias("size"))
+        members = self.members.unionByName(fresh).groupBy("digest", "points", "doc_id").agg(F.sum("size").alias("size")) if self.state is not None else fresh
+        salted = keys.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.count("*").alias("size"))
+        return self._apply(salted.select("digest", "size"), members)._split()
 
     def delete(self, keys: DataFrame) -> CuckooIndex:
-        """The index without one copy for each row of `keys`; a key whose last copy goes leaves the filter too. The document named as kept stays named."""
-        gone = keys.groupBy("digest").agg((-F.count("*")).alias("size"))
-        return self._apply(gone.select("digest", F.lit(0).alias("points"), F.lit(None).cast("long").alias("keep_id"), "size"))
+        """The index without one copy for each row of `keys` that it has; a key whose last copy goes leaves the filter too, and where the document that stayed goes, the next best stays."""
+        if self.state is None:
+            return self
+        asked = keys.groupBy("digest", "points", "doc_id").agg(F.count("*").alias("less"))
+        same = F.col("m.digest").eqNullSafe(F.col("a.digest")) & F.col("m.points").eqNullSafe(F.col("a.points")) & F.col("m.doc_id").eqNullSafe(F.col("a.doc_id"))
+        left = self.members.alias("m").join(asked.alias("a"), same, "left").select("m.*", F.least("size", F.coalesce("less", F.lit(0))).alias("less"))
+        left = checkpointed(left, 200_000)
+        gone = left.where("less > 0").groupBy("digest").agg((-F.sum("less")).alias("size"))
+        return self._apply(gone, left.where("size > less").select("digest", "points", "doc_id", (F.col("size") - F.col("less")).alias("size")))
 
     def live(self) -> DataFrame:
-        return self.state.where(F.col("digest").isNotNull()).select("digest", "points", "keep_id", F.col("size").alias("group_size"))
+        """digest, points, keep_id (the document that stays), group_size of each key of the index."""
+        best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))).alias("best")
+        kept = self.members.groupBy("digest").agg(best).select("digest", (-F.col("best.p")).alias("points"), F.col("best.d").alias("keep_id"))
+        return self.state.where("digest IS NOT NULL").select("digest", F.col("size").alias("group_size")).join(kept, "digest").select("digest", "points", "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, keys_per_bucket: int = KEYS_PER_BUCKET) -> DataFrame:
     """A row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     keys = checkpointed(content_keys(docs).withColumn("row", F.monotonically_increasing_id()))
-    index = CuckooIndex(docs.sparkSession, max(1, -(-keys.count() // keys_per_bucket))).insert(keys)
+    index = CuckooIndex(docs.sparkSession, max(1, -(-keys.count() // keys_per_bucket)), keys_per_bucket).insert(keys)
     # Of repeated rows with the kept doc_id and as many code points, the first is the one that stays.
-    held = keys.join(index.live().withColumnRenamed("points", "most"), "digest")
+    held = salted_join(keys, index.live().withColumnRenamed("points", "most"), ["digest"], "row")
     twice = (
         held.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("most")))
         .groupBy("digest")
