@@ -3,23 +3,24 @@
 A text's words are its runs of letters, lower-cased; a model sees each word between boundary marks, so a text's score is a sum
 over its words. For each language, modified counts of all n-grams up to `ORDER` characters give an interpolated
 Kneser-Ney model: raw counts at the highest order, continuation counts (different left neighbours) below, one absolute discount for each order,
-and a uniform distribution beneath the unigrams. An n-gram is a 64-bit hash; each order has one sorted array of the hashes
+and beneath the unigrams a uniform distribution over the characters that any language has and one unseen. An n-gram is a 64-bit hash; each order has one sorted array of the hashes
 that any language has seen, beside a matrix of log-probabilities and back-off weights, a column for each language.
 
 The language with the lowest cross-entropy, normalised by the number of predicted characters, is chosen. The posterior (from the entropies' differences,
-scaled by a temperature) is the score. A text is rejected if its entropy is above what `REJECT` of the calibration texts (training documents that the
-counts leave out) of the chosen language have; `reject=True` makes such texts `und`, and the column `accepted` tells them otherwise.
+scaled by a temperature) is the score. The temperature is fitted to the calibration texts (training documents that the counts leave out), by their likelihood with smoothed targets.
+A text is rejected if its entropy is above what a share `REJECT` of texts of the chosen language have, by a log-normal fit to its calibration texts; `reject=True` makes such texts `und`, and the column `accepted` tells them otherwise.
 
-The models are fitted on at most `PER_LANGUAGE` labelled documents of each language, those with the smallest hashes of their texts; whole texts are counted.
+The models are fitted on at most `PER_LANGUAGE` different labelled texts of each language, those with the smallest hashes; whole texts are counted.
 
 Defined results: a null text, or one without letters, is `und` with score 0; with nothing to learn from, every text is `und`; ties go to the smaller
-language name; repeated rows get a row each; rows without lang aren't learned from; other columns aren't read.
+language name; repeated rows get a row each; a very long text is scored whole, word by word; rows without lang aren't learned from; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ from .common import checkpointed, map_slices, remainder, table
 ORDER = 5
 PER_LANGUAGE = 500
 DISCOUNT = 0.75
-TEMPERATURE = 0.02
+#: Temperatures to choose from, in bits a character.
+TEMPERATURES = np.geomspace(0.005, 2.0, 60)
 REJECT = 0.999
 #: Words whose log-probabilities a Python worker keeps.
 KEPT_WORDS = 300_000
@@ -75,7 +77,7 @@ class Models:
         self.logs: list[np.ndarray] = []
         self.context_keys: list[np.ndarray] = []
         self.backs: list[np.ndarray] = []
-        self.calibration = np.full(k, np.inf)
+        self.calibration, self.temperature = np.full(k, np.inf), float(TEMPERATURES[-1])
         per = []
         for lang in self.langs:
             words = list(counts[lang])
@@ -93,7 +95,7 @@ class Models:
             self.logs.append(direct)
             self.context_keys.append(contexts)
             self.backs.append(back)
-        self.symbols = np.array([len(p[1][0]) + 1 for p in per], np.float64)
+        self.symbols = len(self.keys[0]) + 1
 
     @staticmethod
     def _estimate(chars, places, times) -> dict[int, tuple]:
@@ -117,13 +119,35 @@ class Models:
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """log2 probability of each word under each language."""
         chars, places = _code_points(words)
-        p = np.tile(1 / self.symbols, (len(places), 1))
+        logs = np.log2(np.maximum(self.probabilities(chars, places), 1e-12))
+        n = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        return np.add.reduceat(logs, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
+
+    def probabilities(self, chars: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Of the character at each place, after those before it, under each language."""
+        p = np.full((len(places), len(self.langs)), 1 / self.symbols)
         for n in range(1, ORDER + 1):
             back = self._look(self.context_keys[n - 1], self.backs[n - 1], _grams(chars, places, n - 1, 1), 1.0)
             p = self._look(self.keys[n - 1], self.logs[n - 1], _grams(chars, places, n), 0.0) + back * p
-        logs = np.log2(np.maximum(p, 1e-12))
-        n = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        return np.add.reduceat(logs, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
+        return p
+
+    def calibrate(self, langs: list[str], bits: np.ndarray) -> None:
+        """Temperature and rejection from texts of known languages and their entropies."""
+        true = np.array([self.langs.index(x) for x in langs], np.int64)
+        n, k = bits.shape
+        if not n:
+            return
+        for j in range(k):
+            if (true == j).any():
+                own = np.log(np.maximum(bits[true == j, j], 1e-6))
+                self.calibration[j] = np.exp(own.mean() + NormalDist().inv_cdf(REJECT) * own.std(ddof=1 if len(own) > 1 else 0))
+        target = np.full((n, k), 1 / (n + k))
+        target[np.arange(n), true] = (n + 1) / (n + k)
+        loss = []
+        for t in TEMPERATURES:
+            x = -bits / t
+            loss.append(-(target * (x - np.logaddexp.reduce(x, axis=1, keepdims=True))).sum())
+        self.temperature = float(TEMPERATURES[int(np.argmin(loss))])
 
     @staticmethod
     def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, absent: float) -> np.ndarray:
@@ -167,13 +191,14 @@ def training_rows(docs: DataFrame, learn: F.Column, per_language: int = PER_LANG
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = F.xxhash64("text").alias("order")
     # A threshold keeps what is shuffled to about the bound; ranks then make it exact.
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     near = F.lit(False)
     for lang, n in counts.items():
         part = min(1.0, 2 * per_language / n + 50 / n)
         near = near | ((F.col("lang") == lang) & (F.xxhash64("text") <= F.lit(int(-(2**63) + part * (2**64 - 1)) if part < 1 else 2**63 - 1)))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    return rows.where(near).select("lang", "text", "doc_id", order).withColumn("n", first).where(F.col("n") <= per_language).select("lang", "text", "order")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    texts = rows.where(near).groupBy("lang", order).agg(F.min("text").alias("text"))
+    return texts.withColumn("n", first).where(F.col("n") <= per_language).select("lang", "text", "order")
 
 
 def fit(docs: DataFrame, learn: F.Column, per_language: int = PER_LANGUAGE) -> Models:
@@ -199,10 +224,8 @@ def fit(docs: DataFrame, learn: F.Column, per_language: int = PER_LANGUAGE) -> M
     if models.langs:
         held = [(r["lang"], r["text"]) for r in rows.where("order % 10 = 0").toLocalIterator()]
         bits, chars = Scorer(models).entropies([t for _, t in held])
-        for j, lang in enumerate(models.langs):
-            own = [b for (x, _), b, c in zip(held, bits[:, j], chars) if x == lang and c]
-            if own:
-                models.calibration[j] = 1.05 * np.quantile(own, REJECT)
+        some = chars > 0
+        models.calibrate([x for (x, _), c in zip(held, some) if c and x in models.langs], bits[[c and x in models.langs for (x, _), c in zip(held, some)]])
     return models
 
 
@@ -224,7 +247,7 @@ def identify(docs: DataFrame, learn: F.Column, held_out: F.Column, reject: bool
             bits, chars = scorer[0].entropies(batch.column(2).to_pylist())
             best = bits.argmin(axis=1)
             lowest = bits[np.arange(n), best]
-            weight = np.exp(-(bits - lowest[:, None]) / TEMPERATURE)
+            weight = np.exp(-(bits - lowest[:, None]) / models.temperature)
             score = np.where(chars > 0, 1 / weight.sum(axis=1), 0.0)
             accepted = (chars > 0) & (lowest <= models.calibration[best])
             lang = [models.langs[j] if c and (a or not reject) else "und" for j, c, a in zip(best, chars, accepted)]
