@@ -2,7 +2,7 @@
 
 A BPE vocabulary (a public model file, whose path is a parameter) is used as it is. A text, with one blank before it, is cut at the starts of blanks' runs and
 at newlines, over which no piece reaches. Within such a token, an agenda holds the pairs of adjoining pieces that make a piece, best score first, leftmost
-first among equals. Each candidate taken from the agenda is skipped if a hash of (seed, doc_id, the token and its place in the document, its place in the token) is below `dropout`; a skipped pair
+first among equals. Each candidate taken from the agenda is skipped if a hash of (seed, doc_id, the token and its place in the document, the places in the token of both pieces) is below `dropout`; a skipped pair
 returns only inside other merges. So segmentations vary by merges, and every one decodes to the text. With dropout 0 the result is the model's own.
 
 So each occurrence of a token has draws of its own. Tasks keep only what has no draws: a token's characters, its pieces at dropout 0 and the candidates that
@@ -14,7 +14,7 @@ Characters that no piece covers are encoded as bytes. Vocabularies' blank marks
 encoded as bytes: decoding gives back any text.
 
 Defined results: a null text has null ids and 0 pieces, an empty text has no pieces, and both count as lossless; a null doc_id draws as the empty
-text; repeated rows get a row each, and the same ids; other columns aren't read.
+text; repeated rows get a row each, and the same ids; a very long text is encoded alone, in whole; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -91,9 +91,9 @@ class Vocabulary:
         return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
-def place_key(a: int, c: int) -> int:
-    """An odd number for the place of a candidate."""
-    h = (a * 0x9E3779B97F4A7C15 + c * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9) & MASK
+def place_key(a: int, b: int, c: int) -> int:
+    """An odd number for a candidate: the merge of the piece from a to b with that from b to c."""
+    h = (a * 0x9E3779B97F4A7C15 + b * 0x9FB21C651E98DF25 + c * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9) & MASK
     h = (h ^ h >> 32) * 0xFF51AFD7ED558CCD & MASK
     return (h ^ h >> 29) * 0xC4CEB9FE1A85EC53 & MASK | 1
 
@@ -109,7 +109,7 @@ def segment(token: str, ranks: dict[str, float], base: int = 0, limit: int = -1)
         _, a, b, c = heappop(agenda)
         if end[a] != b or end[b] != c:
             continue  # one of the two is gone
-        if base * place_key(a, c) & MASK <= limit:
+        if base * place_key(a, b, c) & MASK <= limit:
             continue
         end[a] = c
         end[b] = -1
@@ -132,7 +132,7 @@ def segment(token: str, ranks: dict[str, float], base: int = 0, limit: int = -1)
 
 #: Tokens of up to so many characters are segmented together, in arrays; longer ones one by one.
 SHORT = 32
-PLACES = np.array([[place_key(a, c) for c in range(SHORT + 1)] for a in range(SHORT + 1)], np.uint64)
+PLACES = np.array([[[place_key(a, b, c) for c in range(SHORT + 1)] for b in range(SHORT + 1)] for a in range(SHORT + 1)], np.uint64)
 NONE = np.iinfo(np.int32).max
 
 
@@ -206,12 +206,12 @@ def segment_all(ids: np.ndarray, pairs: Pairs, ranks: np.ndarray, bases: np.ndar
         c = after[b]
         row = live
         if limit >= 0:
-            skipped = bases[row] * PLACES[a - starts[row], c - starts[row]] <= np.uint64(limit)
+            skipped = bases[row] * PLACES[a - starts[row], b - starts[row], c - starts[row]] <= np.uint64(limit)
             ranked[a[skipped]] = NONE
             merged = ~skipped
             row, a, b, c = row[merged], a[merged], b[merged], c[merged]
         if merges is not None:
-            merges.append((row, PLACES[a - starts[row], c - starts[row]]))
+            merges.append((row, PLACES[a - starts[row], b - starts[row], c - starts[row]]))
         ids[a], after[a], ids[b], ranked[b] = made[a], c, -1, NONE
         inside = c < starts[row] + width
         ranked[a[~inside]] = NONE
