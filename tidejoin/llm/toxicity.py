@@ -15,7 +15,8 @@ An Aho-Corasick automaton finds the lexemes, so only clauses that have one are r
 threat has no accepting path.
 
 Defined results: a null text is the empty text; a text without matched clauses gets the score that the model gives to that, empty texts
-too; without labelled rows all scores are 0; if several rows of labels have one doc_id, the largest label counts; repeated rows get a row each; other columns aren't read.
+too; without labelled rows all scores are 0; labels above 0 are toxic, and with one kind of label only all texts get its smoothed rate; if several rows of labels have one doc_id, the largest label counts;
+where too few documents are labelled for the test, no lexeme is learned, and texts are told apart by threats only; a very long text is scored whole, clause by clause; repeated rows get a row each; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -40,11 +41,22 @@ STEMS = (3, 4, 5, 6, 7, 8)
 LEAST_ODDS = 4.5
 #: How many times the documents of its most frequent word a stem must have.
 STEM_GAIN = 1.1
-#: Words of each kind in English, German, French and Spanish.
-THREATS = "kill hurt destroy shoot stab murder töten umbringen schlagen tuer frapper détruire matar golpear destruir".split()
-TARGETS = "you your yours yourself du dich dein deine euch euer tu toi ton vous votre tú usted ustedes vosotros".split()
-NEGATIONS = "not no never isn aren wasn don doesn nicht kein keine nie niemals pas jamais aucun nunca jamás tampoco".split()
-REPORTS = "said says wrote writes quoted claimed alleged sagte schrieb laut angeblich dit écrit selon dijo escribió según".split()
+#: Words of each kind in English, German, French and Spanish, in their usual forms.
+THREATS = (
+    "kill kills killing killed hurt hurts hurting destroy destroys destroying shoot shoots shooting stab stabs stabbing murder murders murdering strangle strangling slaughter "
+    "töten töte tötet umbringen bringe schlagen schlage erschießen erstechen verletzen verprügeln ermorden tuer tue tuerai frapper frapperai détruire assassiner étrangler égorger "
+    "matar mato mataré golpear golpearé destruir asesinar apuñalar estrangular"
+).split()
+TARGETS = (
+    "you your yours yourself yourselves ya du dich dir dein deine deinen deiner deinem euch euer eure ihr tu te toi ton ta tes vous votre vos tú ti tu usted ustedes vosotros vosotras os vuestro vuestra"
+).split()
+NEGATIONS = (
+    "not no never nor cannot isn aren wasn weren don doesn didn won wouldn shouldn couldn hasn haven nicht kein keine keinen nie niemals weder pas jamais aucun aucune ni nunca jamás tampoco ningún ninguna sin"
+).split()
+REPORTS = (
+    "said says saying wrote writes quoted quotes claimed claims alleged alleges reported reports told tells replied sagte sagt schrieb schreibt zitiert laut angeblich behauptete meldete "
+    "dit écrit affirmé selon prétend cite dijo dice escribió afirmó según citó"
+).split()
 KINDS = {w: k for k, words in (("target", TARGETS), ("not", NEGATIONS), ("report", REPORTS)) for w in words}
 SYMBOLS = ("insult", "threat", "target", "not", "report", "other", "faced insult", "faced threat")
 #: How many words a negation, and a target, reaches.
@@ -282,7 +294,7 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, most: int = TRAIN_ROWS) -> ToxicityModel:
     """learn: which rows of labels may be learned from; toxic null never is."""
-    rows = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sample = checkpointed(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     # No more than `most` rows, so the broadcast is bounded.
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
@@ -308,6 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, most: int = TRAIN_R
     n = np.array([r["n"] for r in seen])
     x = np.repeat(np.array([[1.0, r["a"], r["b"]] for r in seen]), n, axis=0)
     y = np.repeat(np.array([float(r["toxic"]) for r in seen]), n)
+    if y.min() == y.max():  # one class says nothing of clauses
+        return ToxicityModel(words, stems, np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0, 0.0]))
     return ToxicityModel(words, stems, logistic(x, y))
 
 
