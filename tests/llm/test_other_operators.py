@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
 import pytest
@@ -45,22 +45,38 @@ def test_cuckoo_filter():
 
 
 def test_index_inserts_and_deletes(spark):
-    docs = spark.createDataFrame([(i, f"t{i // 2}") for i in range(400)], "doc_id long, text string")
-    keys = D.content_keys(docs)
-    index = D.CuckooIndex(spark, 3).insert(keys)
-    assert index.live().count() == 200 and index.live().agg(F.sum("group_size")).first()[0] == 400
-    index = index.delete(keys.where("doc_id % 2 = 0 OR doc_id < 100"))
-    live = index.live().toPandas()
-    assert len(live) == 150 and set(live["group_size"]) == {1}
-    back = index.insert(keys.where("doc_id < 100"))
-    assert back.live().count() == 200
+    """Against a plain list of the live documents; buckets are split on the way."""
+    docs = spark.createDataFrame([(i, f"t{i // 2}" + " " * (i % 3)) for i in range(400)], "doc_id long, text string")
+    keys = D.content_keys(docs).persist()
+
+    def check(index, ids):
+        want = defaultdict(list)
+        for i in ids:
+            want[f"t{i // 2}"].append((-len(f"t{i // 2}" + " " * (i % 3)), i))
+        got = {r.digest: r for r in index.live().collect()}
+        assert len(got) == len(want)
+        for text, group in want.items():
+            r = got[hashlib.sha256(text.encode()).digest()]
+            assert (r.group_size, r.keep_id, -r.points) == (len(group), min(group)[1], min(group)[0])
+
+    index = D.CuckooIndex(spark, 1, keys_per_bucket=30).insert(keys.where("doc_id < 100"))
+    check(index, range(100))
+    index = index.insert(keys.where("doc_id >= 100"))
+    assert index.buckets > 3
+    check(index, range(400))
+    # The document that stays goes, and the next best stays; what the index lacks changes nothing.
+    gone = keys.where("doc_id % 3 = 0 OR doc_id < 50")
+    index = index.delete(gone).delete(gone)
+    check(index, [i for i in range(400) if i % 3 and i >= 50])
+    check(index.insert(keys.where("doc_id < 50")), [i for i in range(400) if i < 50 or i % 3])
 
 
 def test_step_verifies_hits():
-    state = D._step(pd.DataFrame(columns=["bucket", "digest", "points", "keep_id", "size", "filter"]), pd.DataFrame([(0, b"a" * 32, 1, 1, 1)], columns=["bucket", "digest", "points", "keep_id", "size"]))
+    empty, columns = pd.DataFrame(columns=["bucket", "digest", "size", "filter"]), ["bucket", "digest", "size"]
+    state = D._step(empty, pd.DataFrame([(0, b"a" * 32, 1)], columns=columns))
     # The same fingerprint and place, but other content: a new key.
     other = b"a" * 31 + b"b"
-    state = D._step(state, pd.DataFrame([(0, other, 1, 2, 1)], columns=["bucket", "digest", "points", "keep_id", "size"]))
+    state = D._step(state, pd.DataFrame([(0, other, 1)], columns=columns))
     assert set(state["digest"].dropna()) == {b"a" * 32, other}
 
 
@@ -92,7 +108,17 @@ def test_mixing(spark, block_words):
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 1
         assert all(r.source_size == size[s] for r in got if r.source == s)
     again = M.mix(docs.repartition(3), block_words=block_words).collect()
-    key = lambda r: (str(r.doc_id), str(r.source), r["size"], r.taken)
+    key = lambda r: (str(r.doc_id), str(r.source), r["size"], r.taken, str(r.first_slot), str(r.last_slot))
+    assert all((r.first_slot is None) == (r.taken == 0) for r in got)
+    # Read in the schedule's order, every source is near its share all along.
+    if block_words == 7:
+        rows, total = sorted((r.first_slot, str(r.source), min(r.taken, r["size"])) for r in got if r.taken), sum(target.values())
+        seen = defaultdict(int)
+        for i, (_, source, words) in enumerate(rows):
+            seen[source] += words
+            so_far = sum(seen.values())
+            if so_far < total / 4:
+                assert all(abs(seen[str(s)] - so_far * target[s] / total) < 90 for s in names)
     assert sorted(map(key, again)) == sorted(map(key, got))
     assert M.mix(docs.limit(0)).count() == 0 and [r.taken for r in M.mix(docs.where("doc_id = 500")).collect()] == [0]
 
@@ -103,7 +129,7 @@ def test_line_dedup_odd_rows(spark):
     rows = [(2, f"a\n{long}\nb"), (1, f"c\n{long} \n\nd"), (3, None), (4, ""), (5, f"{short}\n{short}"), (6, f"q\n{short}\n{short}\nr"), (7, f"{short}"), (None, long), (8, long), (8, long)]
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, d string, n_lines int")
     got = {}
-    for r in R.line_dedup(docs).collect():
+    for r in R.line_dedup(docs, min_words=50).collect():
         got.setdefault(r.doc_id, []).append((r.text, r.removed, r.d))
     assert got[1] == [(rows[1][1], [], "clash")] and got[2] == [("a\nb", [1], "clash")]
     assert got[3] == [(None, [], "clash")] and got[4] == [("", [], "clash")] and got[7] == [(short, [], "clash")]
@@ -131,12 +157,49 @@ def test_language_id(spark):
 
 
 def test_models_sum_to_one():
-    from collections import Counter
-
-    models = L.Models({"x": Counter({"abab": 3, "abc": 2, "cab": 1}), "y": Counter({"zz": 4})})
-    # After a context that was seen, the alphabet's probabilities sum to one less the uniform share of the one unseen symbol.
-    alphabet = [*"abc", ""]
-    total = sum(2 ** (models.log_probabilities([f"ab{c}"])[0, 0] - models.log_probabilities(["ab"])[0, 0]) for c in alphabet[:3])
-    assert 0 < total
+    """After any context, seen or not, the alphabet of all languages and one unseen character have all of the probability."""
+    import numpy as np
+
+    models = L.Models({"x": Counter({"abab": 3, "abc": 2, "cab": 1}), "y": Counter({"zz": 4, "zab": 1})})
+    alphabet = [*"abcz", L.EDGE, "q"]
+    assert models.symbols == len(alphabet)
+    for context in ("ab", "a", "zz", "", "cabab", "qq", "zq"):
+        total = 0
+        for c in alphabet:
+            chars = np.frombuffer((L.EDGE * (L.ORDER - 1) + context + c).encode("utf-32-le"), np.uint32)
+            total = total + models.probabilities(chars, np.array([len(chars) - 1]))[0]
+        assert total == pytest.approx(1)
     p = {w: 2 ** models.log_probabilities([w])[0, 0] for w in ("abab", "abc", "cab", "zz")}
     assert p["abab"] > p["abc"] > p["zz"] and p["cab"] > p["zz"]
+
+
+def test_calibration():
+    """The temperature makes scores as sure as the texts allow; the share that is rejected is near the one asked for."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    true = rng.integers(0, 2, 2000)
+    bits = 3 + rng.normal(0, 0.1, (2000, 2))
+    bits[np.arange(2000), true] -= 0.1
+    models = L.Models({"a": Counter({"a": 1}), "b": Counter({"b": 1})})
+    models.calibrate([["a", "b"][t] for t in true], bits)
+    p = 1 / (1 + np.exp((bits[:, 0] - bits[:, 1]) / models.temperature))
+    sure = p > 0.8
+    assert abs((true[sure] == 0).mean() - p[sure].mean()) < 0.05
+    own = bits[true == 0, 0]
+    assert (own > models.calibration[0]).mean() < 0.005
+
+
+def test_language_of_held_out_documents(spark):
+    """All held-out documents of sf0.01 with their language, and few rejected."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    part = L.remainder("doc_id", 4)
+    got = L.identify(docs, part != 2, part == 2).where("held_out AND lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL").collect()
+    assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.99
+    assert sum(not r.accepted for r in got) / len(got) < 0.05
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 2 else "b", " ".join(f"w{k % 5000} wo" for k in range(60_000)) + f" {i}", "x") for i in range(4)], "doc_id long, source string, text string, lang string")
+    assert {r.lang_pred for r in L.identify(docs, F.lit(True), F.lit(False)).collect()} == {"x"}
+    assert R.line_dedup(docs).count() == 4 and sum(r.taken for r in M.mix(docs).collect()) > 400_000

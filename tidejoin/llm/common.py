@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -18,21 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir of the session; only a local session, as in tests, may lack it and gets one of its own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidejoin-"))
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame, rows_per_file: int = 30_000) -> DataFrame:
     """df, computed once and read again from the folder that all executors share, in as few files as its rows fill.
 
-    It is held by the executors while it is counted and written; what they lose meanwhile is computed again. The session's
-    spark.checkpoint.dir holds the files; a temporary folder does only where none is set, as in tests.
+    It is held by the executors while it is counted and written; what they lose meanwhile is computed again.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidejoin-"))
+    shared_folder(df.sparkSession)
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = held.coalesce(max(1, -(-held.count() // rows_per_file))).checkpoint(eager=True)
     held.unpersist()
     return out
 
 
+def whole_rows(docs: DataFrame, name: str = "doc") -> Column:
+    """All columns as one struct, so that no name of theirs meets one of an operator's."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name)
+
+
 def with_bounded(big: DataFrame, small: DataFrame, on: list[str], rows: int, limit: int = 20_000, how: str = "left") -> DataFrame:
     """big joined with small: by broadcast only if small was counted and has no more than `limit` rows, else by a shuffle that AQE splits where keys are hot."""
     return big.join(F.broadcast(small) if rows <= limit else small, on, how)

@@ -14,8 +14,8 @@ in (doc_id, line) order is kept, and the lines of the later copies are deleted.
 
 Defined results: lines are parted by newlines; empty lines have no words and go only inside a deleted run. A null text has no lines and
 stays null. Rows with the same doc_id and text are one document to the operator, so each keeps what the others keep. A null doc_id
-comes after all others. A text all of whose lines go becomes empty. Extra columns pass through untouched, but for
-columns named n_lines or removed, which the report replaces.
+comes after all others. A text all of whose lines go becomes empty. A very long text is a row for each line, until it is cut. Extra columns pass through untouched; `line_dedup`
+puts its report in place of columns named n_lines or removed, `cut_lines` and the pipeline keep these too.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_slices, table, utf8
+from .common import checkpointed, map_slices, salted_join, table, utf8, whole_rows
 
-#: The option that op8_line_dedup, its SQL and the pipeline use; op8_line_dedup_every_run has 1: every maximal repeated run counts.
-MIN_WORDS = 50
+#: Fewest words of a repeated run: with 1 every maximal repeated run counts that has a line that isn't empty.
+MIN_WORDS = 1
 BLANK = b" \t\n\x0b\x0c\r"
 #: A document: its doc_id (null as the largest long) and a hash of its text.
 KEY = ["d", "h"]
@@ -70,10 +70,10 @@ def sequences(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -
 
 
 def _ranked(suffixes: DataFrame, by: list[str]) -> DataFrame:
-    """The suffixes whose `by` occurs more than once, with the place of `by` in its sorted order as rank."""
+    """The suffixes whose `by` occurs more than once, with the place of `by` in its sorted order as rank. Salted by document, as a line (the empty one, say) may be in all of them."""
     pairs = suffixes.groupBy(*by).agg(F.count("*").alias("copies")).where("copies > 1").drop("copies")
     order = checkpointed(pairs.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), 100_000)
-    return checkpointed(suffixes.join(order, by).drop(*by), 100_000)
+    return checkpointed(salted_join(suffixes, order, by, "h", salts=4).drop(*by), 100_000)
 
 
 def suffix_levels(lines: DataFrame) -> tuple[list[DataFrame], DataFrame]:
@@ -113,13 +113,13 @@ def later_copies(lines: DataFrame) -> DataFrame:
     return salted.join(firsts, [*name, "salt"]).where(F.struct(*KEY, "at") > F.col("first")).select(*KEY, "at", "n")
 
 
-def line_dedup(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with the lines of later copies deleted from their text, and n_lines, removed (places of the deleted lines) beside their own columns."""
+def cut_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """doc (a struct of the document's columns as they were), text (without the lines of later copies), n_lines, removed (places of the deleted lines)."""
     copies = later_copies(checkpointed(sequences(docs, text, min_words), 100_000))
     per_doc = copies.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    others = [c for c in docs.columns if c not in (text, "n_lines", "removed")]
-    rows = _keyed(docs.select(F.struct(*others).alias("rest"), "doc_id", F.col(text).cast("string").alias("text")), "text").join(per_doc, KEY, "left").select("rest", "text", "runs")
-    schema = f"rest {rows.schema['rest'].dataType.simpleString()}, text string, n_lines int, removed array<int>"
+    whole = docs.select(whole_rows(docs), F.col("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = _keyed(whole, "text").join(per_doc, KEY, "left").select("doc", "text", "runs")
+    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, text string, n_lines int, removed array<int>"
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, counts, removed = [], [], []
@@ -134,27 +134,48 @@ def line_dedup(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
             texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else whole)
             counts.append(len(lines))
             removed.append(gone)
-        return pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32()))], ["rest", "text", "n_lines", "removed"])
+        return pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32()))], ["doc", "text", "n_lines", "removed"])
+
+    return map_slices(rows, cut, schema)
+
+
+def own_columns(docs: DataFrame, **instead: Column) -> list[Column]:
+    """The columns of docs out of the struct `doc`, but for those given."""
+    return [instead.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
+
+
+def line_dedup(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents with the lines of later copies deleted from their text, and n_lines, removed (places of the deleted lines) after their own columns."""
+    out = cut_lines(docs, text, min_words)
+    return out.select(*own_columns(docs.drop("n_lines", "removed"), **{text: F.col("text")}), "n_lines", "removed")
 
-    out = map_slices(rows, cut, schema)
-    own = [F.col("text").alias(text) if c == text else F.col("rest")[c].alias(c) for c in docs.columns if c == text or c in others]
-    return out.select(*own, "n_lines", "removed")
+
+def without_line_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents without later copies of lines; those of which nothing but white space is left go. Columns stay; n_chars counts anew."""
+    out = cut_lines(docs, "text", min_words).where(F.col("text").isNull() | (F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.col("text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return out.select(*own_columns(docs, **changed))
+
+
+def _report(spark: SparkSession, sf_dir: str, min_words: int) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=min_words)
+    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "text")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (places of the deleted lines), text that stays."""
-    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "text")
+    return _report(spark, sf_dir, MIN_WORDS)
 
 
-def op8_line_dedup_every_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op8_line_dedup, but any repeated run with a line that isn't empty counts."""
-    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
-    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "text")
+def op8_line_dedup_50_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_line_dedup, but only repeated runs with 50 words or more count."""
+    return _report(spark, sf_dir, 50)
 
 
 #: Every run of lines with at least 50 words that occurs earlier too, by its shortest runs from each line on and up to each line.
-ORACLE = r"""
+ORACLE_50_WORDS = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos,
          rtrim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
@@ -184,4 +205,4 @@ LEFT JOIN (SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.pos) AS kept
 """
 
 #: The same with at least one word.
-ORACLE_EVERY_RUN = ORACLE.replace("s.before + 50", "s.before + 1").replace("s.ends - 50", "s.ends - 1")
+ORACLE = ORACLE_50_WORDS.replace("s.before + 50", "s.before + 1").replace("s.ends - 50", "s.ends - 1")

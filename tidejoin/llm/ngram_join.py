@@ -12,7 +12,8 @@ verified links are the classes.
 Results: class_id is the smallest doc_id of the class; n_links is the number of other documents with a similarity of at least the threshold, those with the same set among them.
 
 Defined results: words are parted by white space; a text of fewer than n words has one n-gram, all its words; a null or wordless text has none and is a class of its own;
-rows with the same doc_id and text count as documents each; a null doc_id counts as the largest; an empty table gives an empty result. Other columns aren't read.
+rows with the same doc_id and text count as documents each; a null doc_id counts as the largest; a very long text is one set, read whole; an empty table gives an empty result.
+Other columns aren't read, and pass through `without_near_duplicates` whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, map_slices, salted_join, table, utf8
+from .common import checkpointed, components, map_slices, salted_join, table, utf8, whole_rows
 
 N = 5
 THRESHOLD = 0.8
@@ -92,9 +93,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return map_slices(_keyed(docs).select("d", "h", "text"), sign, "d long, h long, key binary, bands array<long>")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, what: str = "text") -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), (text if what == "text" else F.col(what)).alias(what))
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
@@ -189,7 +190,9 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = placed.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     tiles = tiles.withColumn("group", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(-1 - F.col("root")))
-    tiles = tiles.select("node", "copies", "root", "block", "i", "j", "group", "d", "h").join(_keyed(docs), ["d", "h"]).drop("d", "h")
+    tiles = tiles.select("node", "copies", "root", "block", "i", "j", "group", "d", "h")
+    # A row for each doc_id and text; repeats go before the shuffle.
+    tiles = tiles.join(_keyed(docs).groupBy("d", "h").agg(F.first("text").alias("text")), ["d", "h"]).drop("d", "h")
     checked = checkpointed(tiles.groupBy("group", "i", "j").applyInPandas(lambda rows: _verify(rows, n, threshold), "node long, links long, to long"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(checked.select(F.col("node").alias("u"), F.col("to").alias("v")))
@@ -203,11 +206,13 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents of which each is its class's first; columns stay."""
-    kept = near_duplicates(docs).where("first").select(F.col("d").alias("_d"), F.col("h").alias("_h"))
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_h", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
-    once = F.row_number().over(Window.partitionBy("_d", "_h").orderBy(F.lit(0)))
-    return keyed.join(kept, ["_d", "_h"], "left_semi").withColumn("_n", once).where("_n = 1").select(docs.columns)
+    """The documents of which each is its class's first; columns stay. Of rows with the same doc_id and text, the one with the smallest hash of all columns does."""
+    kept = near_duplicates(docs.select("doc_id", "text")).where("first").select("d", "h")
+    comparable = [F.col(f"doc.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    keyed = _keyed(docs.select("doc_id", "text", whole_rows(docs)), "doc").withColumn("order", F.xxhash64(*comparable))
+    once = F.row_number().over(Window.partitionBy("d", "h").orderBy("order"))
+    # Repeated rows go before the shuffle, by the window's limit.
+    return keyed.withColumn("n", once).where("n = 1").join(kept, ["d", "h"], "left_semi").select("doc.*")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

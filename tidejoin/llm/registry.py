@@ -11,7 +11,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": line_dedup.op8_line_dedup,
-    "op8_line_dedup_every_run": line_dedup.op8_line_dedup_every_run,
+    "op8_line_dedup_50_words": line_dedup.op8_line_dedup_50_words,
     "op9_licenses": licenses.op9_licenses,
     "op10_brown_lm": brown_lm.op10_brown_lm,
 }
@@ -21,5 +21,5 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
-    "op8_line_dedup_every_run": line_dedup.ORACLE_EVERY_RUN,
+    "op8_line_dedup_50_words": line_dedup.ORACLE_50_WORDS,
 }
