@@ -3,20 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and returns what the next one gets; all but the last return the columns of documents. `run` writes each stage's rows as
 Parquet in the folder that all executors share, and reads them again.
 
-Defined results: what the stages' operators define. A document whose lines all were copies stays, without text, until the mix, which takes only documents with
-words. A document that the mix takes twice has two rows from there on. Empty tables pass through all stages.
+Defined results: what the stages' operators define. A document of which line dedup leaves nothing but white space goes with it; one that was empty before stays until the mix,
+which takes only documents with words. A document that the mix takes twice has two rows from there on, and rows come in the order of the mix. Empty tables pass through all stages. A third stage
+finds fewer near copies than the table has, as line dedup has taken those apart that share whole lines.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidejoin.llm import line_dedup, mixing, ngram_join, sentencepiece_dropout, toxicity
-from tidejoin.llm.common import remainder, table
+from tidejoin.llm.common import remainder, shared_folder, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +25,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(docs).select(docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return line_dedup.without_line_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, for the documents of sf_dir."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidejoin-"))
-    folder = f"{context.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
