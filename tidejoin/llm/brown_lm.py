@@ -16,7 +16,7 @@ HEAD decides about the way, not about the result. The driver holds the core's bi
 The base score is that of add-half unigrams over the same counts: the sum over tokens of log10((c + 0.5) / (N + 0.5 * (V + 1))).
 
 Defined results: a null or wordless text has one token, the end; with nothing to learn from N and V are 0, so every token has probability 1 in the base and
-in the model; a very long text is one row like any other, of four bytes a token; repeated rows get a row each; ties in counts go by the token's hash, ties in gain to the first class;
+in the model; a very long text is one row like any other, of two bytes a token; repeated rows get a row each; ties in counts go by the token's hash, ties in gain to the first class;
 other columns aren't read.
 """
 
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import SLICE, checkpointed, remainder, table, utf8
 
-HEAD = 100_000
+#: So many places, and NONE for no place, are two bytes.
+HEAD, NONE = 65_000, 65_535
 CLASSES = 60
 #: Fewest occurrences of a word with a class of the exchange.
 LEAST = 2
@@ -56,7 +57,7 @@ def _key(token: bytes) -> int:
 
 def core_size(distinct: int) -> int:
     """Words that are clustered first: their bigrams are a matrix on the driver, so they grow with the cube root of the vocabulary."""
-    return min(distinct, max(1000, round(6 * distinct ** (1 / 3))))
+    return min(distinct, HEAD, max(1000, round(6 * distinct ** (1 / 3))))
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -211,9 +212,11 @@ class Cells:
 
 
 def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' codes, one after the other, and their lengths."""
-    parts = [np.frombuffer(x.as_buffer(), "<i4") for x in column]
-    return np.concatenate([*parts, np.zeros(0, np.int32)]), np.array([len(x) for x in parts], np.int64)
+    """All texts' codes, one after the other (-1: none), and their lengths."""
+    parts = [np.frombuffer(x.as_buffer(), "<u2") for x in column]
+    codes = np.concatenate([*parts, np.zeros(0, np.uint16)]).astype(np.int32)
+    codes[codes == NONE] = -1
+    return codes, np.array([len(x) for x in parts], np.int64)
 
 
 def _previous(units: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
@@ -227,7 +230,7 @@ CODED = "row long, doc_id long, held_out boolean, learn boolean, n_tokens long,
 
 
 def coded(docs: DataFrame, learn: F.Column, held_out: F.Column, head: np.ndarray) -> DataFrame:
-    """The texts' tokens as places in the head (four bytes each; -1: none), and the other tokens' hashes in order."""
+    """The texts' tokens as places in the head (two bytes each), and the other tokens' hashes in order."""
     shared = docs.sparkSession.sparkContext.broadcast(head)
 
     def code(batches):
@@ -249,10 +252,10 @@ def coded(docs: DataFrame, learn: F.Column, held_out: F.Column, head: np.ndarray
                 found = np.array(found, np.int64)
                 n = np.array([len(ws) for ws in texts], np.int64)
                 ends = np.cumsum(n)
-                codes = np.maximum(found, -1).astype("<i4").tobytes()
+                codes = np.where(found < 0, NONE, found).astype("<u2").tobytes()
                 tails = np.concatenate([[0], np.cumsum(found < 0)])[np.concatenate([[0], ends])].astype(np.int32)
                 yield pa.record_batch(
-                    [*(part.column(i) for i in range(4)), pa.array(n), pa.array([codes[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary()), pa.ListArray.from_arrays(pa.array(tails), pa.array(found[found < 0]))],
+                    [*(part.column(i) for i in range(4)), pa.array(n), pa.array([codes[2 * (e - k) : 2 * e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary()), pa.ListArray.from_arrays(pa.array(tails), pa.array(found[found < 0]))],
                     [x.split()[0] for x in CODED.split(", ")],
                 )
 
@@ -286,31 +289,39 @@ def neighbours(training: DataFrame, core: np.ndarray, k: int) -> DataFrame:
     """
     width = k + 3
 
-    def between(batches):
-        heads = Cells()
+    def cells_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        codes, lengths = _codes(part.column(0))
+        inside = (codes >= 0) & (codes < len(core))
+        units = np.where(inside, core[np.where(inside, codes, 0)] if len(core) else k, k).astype(np.int64)
+        after = np.append(units[1:], k + 2)[: len(units)]
+        after[np.cumsum(lengths)[lengths > 0] - 1] = k + 2
+        return codes, _previous(units, lengths, k + 1) * width + after
+
+    def in_head(batches):
+        found = Cells()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                codes, lengths = _codes(part.column(0))
-                if not len(codes):
-                    continue
-                inside = (codes >= 0) & (codes < len(core))
-                units = np.where(inside, core[np.where(inside, codes, 0)] if len(core) else k, k).astype(np.int64)
-                after = np.append(units[1:], k + 2)
-                after[np.cumsum(lengths) - 1] = k + 2
-                cells = _previous(units, lengths, k + 1) * width + after
-                head = codes >= len(core)
-                heads.add(codes[head].astype(np.int64) * width**2 + cells[head])
-                tails = part.column(1).flatten()
-                yield pa.record_batch([pa.array(np.full(len(tails), -1, np.int32)), tails, pa.array(cells[codes < 0].astype(np.int32)), pa.array(np.ones(len(tails), np.int64))], ["code", "token", "cell", "n"])
-        keys, counts = heads.add_up()
+                codes, cells = cells_of(batch.slice(at, SLICE))
+                own = codes >= len(core)
+                found.add(codes[own].astype(np.int64) * width**2 + cells[own])
+        keys, counts = found.add_up()
         for at in range(0, len(keys), 100_000):
             own, n = keys[at : at + 100_000], counts[at : at + 100_000]
-            yield pa.record_batch([pa.array((own // width**2).astype(np.int32)), pa.array(np.zeros(len(own), np.int64)), pa.array((own % width**2).astype(np.int32)), pa.array(n)], ["code", "token", "cell", "n"])
+            yield pa.record_batch([pa.array((own // width**2).astype(np.int32)), pa.array((own % width**2).astype(np.int32)), pa.array(n)], ["code", "cell", "n"])
+
+    def beyond(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                codes, cells = cells_of(part)
+                yield pa.record_batch([part.column(1).flatten(), pa.array(cells[codes < 0].astype(np.int32))], ["token", "cell"])
 
-    rows = training.select("codes", "tails").mapInArrow(between, "code int, token long, cell int, n long")
-    rows = rows.groupBy("code", "token", "cell").agg(F.sum("n").alias("n"))
-    return rows.groupBy("code", "token").agg(F.sum("n").alias("c"), F.collect_list(F.struct("cell", "n")).alias("seen"))
+    often = training.select("codes").mapInArrow(in_head, "code int, cell int, n long").groupBy("code", "cell").agg(F.sum("n").alias("n"))
+    often = often.groupBy("code").agg(F.sum("n").alias("c"), F.collect_list(F.struct("cell", "n")).alias("seen"))
+    # A word beyond the head is rare enough to list its places one by one.
+    rare = training.select("codes", "tails").mapInArrow(beyond, "token long, cell int").groupBy("token").agg(F.count("*").alias("c"), F.collect_list(F.struct("cell", F.lit(1).cast("long").alias("n"))).alias("seen"))
+    columns = lambda code, token: (code.alias("code"), token.alias("token"), "c", "seen")
+    return often.select(*columns(F.col("code"), F.lit(0).cast("long"))).unionByName(rare.select(*columns(F.lit(-1), F.col("token"))))
 
 
 def classed(words: DataFrame, joint: np.ndarray, k: int, least: int) -> DataFrame:
@@ -416,7 +427,7 @@ def score(docs: DataFrame, learn: F.Column, held_out: F.Column, most: int = HEAD
     counts = checkpointed(count_tokens(docs.where(learn)), 1_000_000)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n = min(core or core_size(distinct), distinct)
-    head, head_counts = head_of(counts, max(most, n))
+    head, head_counts = head_of(counts, min(max(most, n), HEAD))
     texts = checkpointed(coded(docs, learn, held_out, head), 5_000)
     training = texts.where("learn")
     if not total:
