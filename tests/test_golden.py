@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidejoin.functions import geo, scalars
 from tidejoin.operators import joins, metrics, migration, monitor, ordered, placement
 from tidejoin.plans import options
+from tidejoin.plans import queries as q
 from tidejoin.sources import records, sinks
 from tidejoin.streaming.engine import Engine
 
@@ -173,7 +174,7 @@ def test_ordered_index(spark):
     assert ordered.size(index).first()[0] == 3 and ordered.size(index, 4, 9).first()[0] == 2
     assert by_key(ordered.get(index, ask(5, 4)), "values") == {5: ["a", "c"], 4: None}
     assert by_key(ordered.floor(index, ask(4, 2, 9, 500)), "found") == {4: 3, 2: None, 9: 9, 500: 9}
-    assert by_key(ordered.ceiling(index, ask(6, 10, -300), 5.0), "found") == {6: 9, 10: None, -300: 3}
+    assert by_key(ordered.ceiling(index, ask(6, 10, -300)), "found") == {6: 9, 10: None, -300: 3}
     assert by_key(ordered.rank(index, ask(5, 3, 100)), "rank") == {5: 1, 3: 0, 100: 3}
     places = spark.createDataFrame([(0,), (3,)], "rank long")
     assert {r["rank"]: r.key for r in ordered.select(index, places).collect()} == {0: 3, 3: None}
@@ -227,7 +228,7 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_options(spark):
     o = options.parse(["-op", ">=", "-win", "-wr", "1.5", "--s", "grouped", "-js", "s3"])
-    assert (o.join_field_r, o.join_field_s, o.window, options.settings(o)["name"]) == (0, 2, (1.5, 2.0), "bistream-grouped")
+    assert (o.join_field_r, o.join_field_s, o.window, options.settings(o)["name"]) == (0, 2, (1.5, 2.0), "tidejoin-grouped")
     for bad in (["-op", "~"], ["-t", "0.5"], ["-pr", "0"], ["-jr", "x"], ["-il", "9", "-iu", "3"], ["-rm", "9"]):
         with pytest.raises(ValueError):
             options.parse(bad)
@@ -250,3 +251,32 @@ def test_engine_moves_keys_and_retries(spark):
     got = sorted((r.seq_r, r.seq_s) for r in engine.results().collect())
     assert got == sorted((a[2], b[2]) for a in rows for b in rows if a[0] == "R" and b[0] == "S" and a[1] == b[1])
     assert engine.routes().count() > 0
+
+
+def test_ordered_index_of_other_keys(spark):
+    """Text, timestamps, and doubles that lie close together."""
+    for keys, low, high in ((["b", "d", "f"], "c", "e"), ([0.1, 0.2, 0.3], 0.25, 0.26)):
+        index = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], ["key", "value"])
+        ask = spark.createDataFrame([(low,), (high,)], ["key"])
+        want = sorted(keys)
+        assert {r.key: r.found for r in ordered.floor(index, ask).collect()} == {x: max(k for k in want if k <= x) for x in (low, high)}
+        assert {r.key: r.found for r in ordered.ceiling(index, ask).collect()} == {x: min(k for k in want if k >= x) for x in (low, high)}
+        assert {r.key: r["rank"] for r in ordered.rank(index, ask).collect()} == {x: sum(k < x for k in want) for x in (low, high)}
+
+
+def test_generator(spark):
+    """Both relations, about half each; a rate that fluctuates by batches; what was emitted, by relation."""
+    r = q.QUERIES["random_source"](spark, "").first()
+    assert r.n == 2000 and 850 < r.r_like < 1150 and r.in_range and r.lengths
+    rows = spark.range(1000).withColumnRenamed("id", "seq")
+    by_batch = {r.b: r.n for r in records.fluctuating(rows, "seq", 100).groupBy(F.expr("seq div 100").alias("b")).agg(F.count("*").alias("n")).collect()}
+    assert len(set(by_batch.values())) > 3 and all(0 < n <= 100 for n in by_batch.values())
+    assert records.fluctuating(rows, "seq", 100).count() == sum(by_batch.values())
+    made = spark.createDataFrame([("R", 0), ("R", 400_000), ("S", 1_500_000), ("R", 1_600_000)], "relation string, us long").select("relation", F.timestamp_micros("us").alias("ts"))
+    assert sorted((r.relation, r.at.second, r.n) for r in records.emitted(made).collect()) == [("R", 0, 2), ("R", 1, 1), ("S", 1, 1)]
+
+
+def test_a_placed_join_has_one_exchange_a_side(spark):
+    rows = spark.range(1000).select(F.col("id").alias("seq"), (F.col("id") % 50).alias("key"))
+    plan = joins.placed(rows, rows, "grouped", 8, m=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 == plan.count("shufflepartitionidpassthrough")

@@ -5,6 +5,7 @@ A relation here is a DataFrame with `key`, and, where a window or duplicates mat
 
 from __future__ import annotations
 
+import math
 import operator
 
 from pyspark.sql import Column, DataFrame
@@ -43,26 +44,36 @@ def windowed(r: DataFrame, s: DataFrame, window_r: float, window_s: float) -> Da
     """Equal keys within the window. Time is cut into steps as long as the window: R keeps its own step and S goes to its neighbours too, so a key with a long history isn't paired with all of it."""
     step = max(1, int(max(window_r, window_s) * 1000)) * 1000
     at = F.floor(F.unix_micros("ts") / F.lit(step)).cast("bigint")
-    left = _sided(r.withColumn("_step", at), "r", ("key", "_step"))
-    right = _sided(s.withColumn("_step", F.explode(F.sequence(at - 1, at + 1))), "s", ("key", "_step"))
-    return left.join(right, ["key", "_step"]).where(in_window(F.col("ts_r"), F.col("ts_s"), window_r, window_s)).drop("_step")
+    own = lambda rows, side: F.struct(*(F.col(f"`{c}`").alias(f"{c}_{side}") for c in rows.columns if c != "key")).alias(side)
+    left = r.select("key", at.alias("step"), own(r, "r"))
+    right = s.select("key", F.explode(F.sequence(at - 1, at + 1)).alias("step"), own(s, "s"))
+    return left.join(right, ["key", "step"]).where(in_window(F.col("r.ts_r"), F.col("s.ts_s"), window_r, window_s)).select("key", "r.*", "s.*")
 
 
-def theta(r: DataFrame, s: DataFrame, op: str, tiles: int = 4) -> DataFrame:
-    """Pairs whose keys compare so. Both sides are dealt over a square of tiles, R by rows and S by columns, so that a pair meets on one tile and the work is spread evenly whatever the keys."""
+#: Pairs that one tile of a comparison join looks at, and most rows of tiles.
+TILE_PAIRS, TILES = 10_000_000, 512
+
+
+def theta(r: DataFrame, s: DataFrame, op: str, tiles: int | None = None) -> DataFrame:
+    """Pairs whose keys compare so. Both sides are dealt over a square of tiles, R by rows and S by columns, so that a pair meets on one tile and the work is spread evenly whatever the keys.
+
+    tiles: rows of the square; by default as many as the counted sizes call for.
+    """
     if op == "=":
         left, right = _sided(r, "r"), _sided(s, "s")
         return left.join(right, F.col("key_r") == F.col("key_s"))
-    row = F.pmod(F.xxhash64(*r.columns), F.lit(tiles))
-    column = F.pmod(F.xxhash64(*s.columns), F.lit(tiles))
+    tiles = tiles or max(1, min(TILES, math.ceil(math.sqrt(r.count() * s.count() / TILE_PAIRS))))
+    whole = lambda rows, side: F.struct(*(F.col(f"`{c}`").alias(f"{c}_{side}") for c in rows.columns)).alias(side)
+    own = lambda rows: F.pmod(F.xxhash64(*rows.columns), F.lit(tiles)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    left = _sided(r.withColumn("_i", row.cast("int")).withColumn("_j", every), "r", ("_i", "_j"))
-    right = _sided(s.withColumn("_j", column.cast("int")).withColumn("_i", every), "s", ("_i", "_j"))
-    return left.join(right, ["_i", "_j"]).where(OPERATORS[op](F.col("key_r"), F.col("key_s"))).drop("_i", "_j")
+    left = r.select(whole(r, "r"), own(r).alias("i"), every.alias("j"))
+    right = s.select(whole(s, "s"), own(s).alias("j"), every.alias("i"))
+    return left.join(right, ["i", "j"]).where(OPERATORS[op](F.col("r.key_r"), F.col("s.key_s"))).select("r.*", "s.*")
 
 
 def placed(r: DataFrame, s: DataFrame, strategy: str = "hash", n: int = 8, m: int = 2, row_id: str = "seq", routes: DataFrame | None = None, small: int = 100_000) -> DataFrame:
-    """The equi-join with `inst`, the instance on which a pair meets; R is stored and S probes.
+    """The equi-join with `inst`, the instance on which a pair meets; R is stored and S probes. Both sides are dealt so that each instance's rows are in the partition of
+    its number, and the join takes them there: one exchange a side. So the placement is what balances the tasks; n is the number of tasks.
 
     random: R's rows lie anywhere and S visits all instances. Where S has no more than `small` rows, that is a broadcast join.
     """
@@ -81,7 +92,8 @@ def placed(r: DataFrame, s: DataFrame, strategy: str = "hash", n: int = 8, m: in
         stored, probes = (P.by_routes(x, "key", routes, n).drop("target") for x in (r, s))
     else:
         raise ValueError(f"no strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
-    return _sided(stored, "r", ("key", "inst")).join(_sided(probes, "s", ("key", "inst")), ["key", "inst"])
+    left, right = _sided(P.deal(stored, n), "r", ("key", "inst")), _sided(P.deal(probes, n), "s", ("key", "inst"))
+    return left.join(right, ["key", "inst"])
 
 
 def join(r: DataFrame, s: DataFrame, op: str = "=", window: tuple[float, float] | None = None, strategy: str = "hash", dedup: bool = False, ids: tuple[str, ...] = ("seq_r", "seq_s"), **options) -> DataFrame:

@@ -1,14 +1,16 @@
 """An ordered index's vocabulary over a DataFrame of (key, value): a key may have many values. Changes give a new DataFrame.
 
-Lookups of a few constants are plain filters and aggregates. Lookups of many probes work in slices of the key range: a window within each slice,
-and one over the slices' own rows, so no task holds all keys.
+Lookups of a few constants are plain filters and aggregates. Lookups of many probes work in slices of the key order, cut where the keys are, so keys of any type and
+distribution give even slices: a window within each slice, and one over the slices' own rows, of which there are as many as shuffle partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidejoin.operators.shared import ranged
+
 
 def put(index: DataFrame, more: DataFrame) -> DataFrame:
     return index.unionByName(more)
@@ -47,15 +49,11 @@ def ends(index: DataFrame) -> DataFrame:
     return index.agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"))
 
 
-def _sliced(key: Column, width: float) -> Column:
-    return F.floor(key / F.lit(width)).cast("bigint")
-
-
-def _nearest(index: DataFrame, probes: DataFrame, width: float, down: bool) -> DataFrame:
+def _nearest(index: DataFrame, probes: DataFrame, down: bool) -> DataFrame:
     """probe, found: each probe's nearest key, itself included."""
     keys = index.select(F.col("key").alias("at"), F.col("key").alias("k")).distinct()
     both = keys.select("at", "k", F.lit(0).alias("kind")).unionByName(probes.select(F.col("key").alias("at"), F.lit(None).cast(index.schema["key"].dataType).alias("k"), F.lit(1).alias("kind")))
-    both = both.withColumn("slice", _sliced(F.col("at"), width))
+    both = ranged(both, F.col("at"))
     order = (F.col("at"), F.col("kind")) if down else (F.desc("at"), F.col("kind"))
     near = F.last("k", ignorenulls=True).over(Window.partitionBy("slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     slices = both.groupBy("slice").agg((F.max("k") if down else F.min("k")).alias("end"))
@@ -65,19 +63,19 @@ def _nearest(index: DataFrame, probes: DataFrame, width: float, down: bool) -> D
     return out.select(F.col("at").alias("key"), F.coalesce("near", "beyond").alias("found"))
 
 
-def floor(index: DataFrame, probes: DataFrame, width: float = 100.0) -> DataFrame:
+def floor(index: DataFrame, probes: DataFrame) -> DataFrame:
     """key (of the probe), found: the largest key that isn't above it."""
-    return _nearest(index, probes, width, True)
+    return _nearest(index, probes, True)
 
 
-def ceiling(index: DataFrame, probes: DataFrame, width: float = 100.0) -> DataFrame:
+def ceiling(index: DataFrame, probes: DataFrame) -> DataFrame:
     """key (of the probe), found: the smallest key that isn't below it."""
-    return _nearest(index, probes, width, False)
+    return _nearest(index, probes, False)
 
 
-def ranks(index: DataFrame, width: float = 100.0) -> DataFrame:
+def ranks(index: DataFrame) -> DataFrame:
     """key, rank: how many keys are below it."""
-    keys = index.select("key").distinct().withColumn("slice", _sliced(F.col("key"), width))
+    keys = ranged(index.select("key").distinct(), F.col("key"))
     counts = keys.groupBy("slice").agg(F.count("*").alias("here"))
     below = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("slice", F.coalesce(F.sum("here").over(below), F.lit(0)).alias("below"))
@@ -85,15 +83,15 @@ def ranks(index: DataFrame, width: float = 100.0) -> DataFrame:
     return keys.withColumn("within", within).join(counts, "slice").select("key", (F.col("below") + F.col("within")).cast("bigint").alias("rank"))
 
 
-def select(index: DataFrame, places: DataFrame, width: float = 100.0) -> DataFrame:
+def select(index: DataFrame, places: DataFrame) -> DataFrame:
     """rank, key: the keys of the given ranks, from 0; null beyond the last."""
-    return places.select("rank").join(ranks(index, width), "rank", "left").select("rank", "key")
+    return places.select("rank").join(ranks(index), "rank", "left").select("rank", "key")
 
 
-def rank(index: DataFrame, probes: DataFrame, width: float = 100.0) -> DataFrame:
+def rank(index: DataFrame, probes: DataFrame) -> DataFrame:
     """key (of the probe), rank: how many keys are below it."""
-    at = ranks(index, width)
-    above = ceiling(index, probes, width).withColumnRenamed("key", "probe").join(at, F.col("found") == F.col("key"), "left")
+    at = ranks(index)
+    above = ceiling(index, probes).withColumnRenamed("key", "probe").join(at, F.col("found") == F.col("key"), "left")
     return above.join(F.broadcast(index.agg(F.countDistinct("key").alias("n")))).select(F.col("probe").alias("key"), F.coalesce("rank", "n").cast("bigint").alias("rank"))
 
 

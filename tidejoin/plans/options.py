@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     add("-jr", default=None, metavar="FIELD", help="join field of R (its first)")
     add("-js", default=None, metavar="FIELD", help="join field of S (its first)")
     add("-op", default="=", help="comparison: = != > >= < <=")
-    add("--name", default="bistream", help="application name; the strategy is added to it")
+    add("--name", default="tidejoin", help="application name; the strategy is added to it")
     add("--local", action="store_true", help="run in one process")
     add("-lrt", type=int, default=5, help="seconds that a local run lasts")
     add("--debug", action="store_true")

@@ -19,7 +19,6 @@ from tidejoin.streaming.engine import Engine
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 N = 8
-START, DAYS = "TIMESTAMP '2024-01-01 00:00:00'", 30
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -102,6 +101,24 @@ def join_skewed_counts(spark, sf):
     return r.join(s, "key").select("key", (F.col("n") * F.col("m")).alias("pairs"), (F.col("t") * F.col("m")).alias("total"))
 
 
+def _skewed_join(strategy: str) -> None:
+    @query("""
+SELECT key::BIGINT AS key, count(*) AS pairs, sum(o_orderkey)::BIGINT AS total
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 9 THEN 7 ELSE o_orderkey % 997 END AS key FROM orders)
+JOIN (SELECT CASE WHEN s_suppkey % 10 < 9 THEN 7 ELSE s_suppkey % 997 END AS key FROM supplier) USING (key) GROUP BY key""", name=f"join_skewed_{strategy}")
+    def run(spark, sf):
+        """Every pair of a join nine tenths of whose rows have one key, made under the strategy, counted by key."""
+        r = table(spark, sf, "orders").select(skewed(F.col("o_orderkey")).alias("key"), F.col("o_orderkey").alias("seq"))
+        s = table(spark, sf, "supplier").select(skewed(F.col("s_suppkey")).alias("key"), F.col("s_suppkey").alias("seq"))
+        routes = {"routes": spark.createDataFrame([("R", 7, 5)], "relation string, key long, target int")} if strategy == "routed" else {}
+        pairs = joins.placed(r, s, strategy, N, m=4, **routes)
+        return pairs.groupBy("key").agg(F.count("*").alias("pairs"), F.sum("seq_r").alias("total"))
+
+
+for _strategy in joins.STRATEGIES:
+    _skewed_join(_strategy)
+
+
 def _lat(c: str) -> Column:
     return (F.col(c) * 7919 % 180000) / F.lit(1e3) - 90
 
@@ -185,9 +202,9 @@ def filter_key_set(spark, sf):
     return joins.has_key(rows, keys).select(F.col("key").alias("l_orderkey"), "l_linenumber")
 
 
-@query("SELECT 'R: ' || o_orderkey || ' ---- ' || l_linenumber AS line, o_orderkey || ' | ' || l_linenumber AS short FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 100 = 0")
+@query("SELECT 'R: ' || o_orderkey || ' ---- ' || l_linenumber AS line, o_orderkey || ' | ' || l_linenumber AS short FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def result_lines(spark, sf):
-    pairs = joins.join(orders(spark, sf).where("key % 100 = 0"), lines(spark, sf))
+    pairs = joins.join(orders(spark, sf), lines(spark, sf))
     return pairs.select(sinks.pair_line("R", F.col("key"), F.col("seq_s")).alias("line"), sinks.value_line(F.col("key"), F.col("seq_s")).alias("short"))
 
 
@@ -243,14 +260,14 @@ def schema_field_idx(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", scalars.field_index_column(F.lit("s1, s2, s3, s4"), field).alias("place"))
 
 
-@query("SELECT 2000::BIGINT AS n, 1000::BIGINT AS r_like, true AS in_range, true AS lengths")
+@query()
 def random_source(spark, sf):
-    """The generator's ranges and lengths; both relations, half each to within a tenth, are reported as 1000."""
+    """What the generator makes, by its ranges and lengths; no SQL gives its draws."""
     rows = records.random_tuples(spark, 2000)
     r = F.count_if(F.col("relation") == "R")
     fits = (F.col("payload.f1") >= 0) & (F.col("payload.f1") < 20000) & (F.col("payload.f2") >= 0) & (F.col("payload.f2") < 20000)
     length = F.length("payload.f3") == F.when(F.col("relation") == "R", 20).otherwise(15)
-    return rows.agg(F.count("*").alias("n"), F.when(r.between(900, 1100), F.lit(1000)).otherwise(r).cast("bigint").alias("r_like"), F.bool_and(fits).alias("in_range"), F.bool_and(length).alias("lengths"))
+    return rows.agg(F.count("*").alias("n"), r.alias("r_like"), F.bool_and(fits).alias("in_range"), F.bool_and(length).alias("lengths"))
 
 
 # --- placement, load, migration ------------------------------------------------------------------------------------
@@ -261,6 +278,34 @@ def placement_hash(spark, sf):
     return placement.by_hash(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", N)
 
 
+SKEWED = "CASE WHEN o_orderkey % 10 < 9 THEN 7 ELSE o_orderkey % 997 END"
+
+
+@query(f"SELECT {HOME.format(f'({SKEWED})')} AS task, count(*) AS n FROM orders GROUP BY 1")
+def placement_tasks_hash(spark, sf):
+    """Rows of each task after the rows of a skewed key are dealt by hash: one task has nine tenths."""
+    rows = placement.by_hash(table(spark, sf, "orders").select(skewed(F.col("o_orderkey")).alias("key")), "key", N)
+    return placement.deal(rows, N).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CASE WHEN o_orderkey % 10 = 0 THEN (o_orderkey % {N})::INT ELSE {HOME.format('o_orderkey')} END AS task, count(*) AS n FROM orders GROUP BY 1")
+def placement_tasks_routed(spark, sf):
+    """Rows of each task after dealing by routes."""
+    rows = placement.by_routes(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", some_routes(spark, sf), N)
+    return placement.deal(rows, N).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH sizes AS (SELECT {HASH.format(f'({SKEWED})')} % 2 AS g, count(*) AS n FROM orders GROUP BY 1)
+SELECT g::INT AS g, n, true AS even FROM sizes""")
+def placement_tasks_grouped(spark, sf):
+    """Rows of each group of four tasks after dealing by groups, and whether its largest task has at most a tenth more than a quarter: the skewed key's rows are spread."""
+    rows = table(spark, sf, "orders").select(skewed(F.col("o_orderkey")).alias("key"), "o_orderkey")
+    tasks = placement.deal(placement.store_grouped(rows, "key", "o_orderkey", N, 4), N).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    g = F.floor(F.col("task") / 4).cast("int").alias("g")
+    return tasks.groupBy(g).agg(F.sum("n").alias("n"), F.max("n").alias("most")).select("g", "n", (F.col("most") <= F.col("n") / 4 * 1.1 + 20).alias("even"))
+
+
 @query(f"""
 WITH g AS (SELECT l_orderkey, l_linenumber, ({HASH.format('l_orderkey')} % 3 * 3)::INT AS first FROM lineitem)
 SELECT l_orderkey, l_linenumber, unnest(range(first, least(first + 3, {N})))::INT AS inst FROM g""")
@@ -309,13 +354,15 @@ def load_both_monitors(spark, sf):
 
 
 @query(f"""
-WITH seen AS (SELECT {HOME.format('user_id')} AS inst, date_diff('day', {START}, date_trunc('day', ts)) AS day, count(*) FILTER (event_type = 'click') AS s, count(*) FILTER (event_type = 'purchase') AS p FROM events GROUP BY 1, 2),
-grid AS (SELECT inst, d.day, coalesce(s, 0)::BIGINT AS s, coalesce(p, 0)::BIGINT AS p FROM (SELECT DISTINCT inst FROM seen WHERE s + p > 0) i CROSS JOIN (SELECT unnest(range({DAYS})) AS day) d LEFT JOIN seen USING (inst, day))
+WITH seen AS (SELECT {HOME.format('user_id')} AS inst, date_trunc('day', ts)::DATE AS day, count(*) FILTER (event_type = 'click') AS s, count(*) FILTER (event_type = 'purchase') AS p FROM events GROUP BY 1, 2),
+grid AS (SELECT inst, d.day, coalesce(s, 0)::BIGINT AS s, coalesce(p, 0)::BIGINT AS p FROM (SELECT DISTINCT inst FROM seen WHERE s + p > 0) i CROSS JOIN (SELECT unnest(generate_series((SELECT min(day) FROM seen WHERE s + p > 0), (SELECT max(day) FROM seen WHERE s + p > 0), INTERVAL 1 DAY))::DATE AS day) d LEFT JOIN seen USING (inst, day))
 SELECT inst, sum(s)::BIGINT AS stored, list_reduce(list_prepend(0::BIGINT, list(p ORDER BY day)), lambda acc, x: acc // 2 + x)::BIGINT AS probes FROM grid GROUP BY inst""")
 def load_decay(spark, sf):
     r, s = (placement.by_hash(events(spark, sf, x), "key", N) for x in ("click", "purchase"))
-    starts = F.expr(f"transform(sequence(0, {DAYS - 1}), d -> {START} + make_dt_interval(d))").cast("array<timestamp>")
-    return monitor.decayed(monitor.load_log(r, s, 86400), starts)
+    log = monitor.load_log(r, s, 86400)
+    first, last = log.agg(F.min("at"), F.max("at")).first()
+    starts = F.expr("sequence({0}, {1}, INTERVAL 1 DAY)".format(*(f"timestamp_micros({round(t.timestamp() * 1e6) if t else 0})" for t in (first, last))))
+    return monitor.decayed(log, starts)
 
 
 @query(f"""
@@ -409,12 +456,12 @@ def profile_per_joiner(spark, sf):
 
 
 @query(f"""
-WITH p AS ({PROFILE}), m AS (SELECT moment // 24 AS moment, inst, sum(tuples)::BIGINT AS tuples, sum(tuples * 10)::BIGINT AS duration, sum(stored)::BIGINT AS results FROM p GROUP BY 1, 2)
+WITH p AS ({PROFILE}), m AS (SELECT moment // 24 AS moment, inst, sum(tuples)::BIGINT AS tuples, sum(tuples * 10)::BIGINT AS duration, sum(stored)::BIGINT AS results, sum(latency) AS latency FROM p GROUP BY 1, 2)
 SELECT moment, sum(tuples)::BIGINT AS tuples, sum(duration)::BIGINT AS duration, sum(results)::BIGINT AS results,
-       CASE WHEN sum(duration) = 0 THEN 0 ELSE sum(tuples) / sum(duration)::DOUBLE END * 1000 * {N} AS throughput FROM m GROUP BY moment HAVING count(DISTINCT inst) = {N}""")
+       CASE WHEN sum(duration) = 0 THEN 0 ELSE sum(tuples) / sum(duration)::DOUBLE END * 1000 * {N} AS throughput, round(CASE WHEN sum(tuples) = 0 THEN 0 ELSE sum(latency) / sum(tuples) END, 4) AS mean_latency FROM m GROUP BY moment HAVING count(DISTINCT inst) = {N}""")
 def metrics_aligned(spark, sf):
-    days = _profile(spark, sf).groupBy(F.floor(F.col("moment") / 24).cast("bigint").alias("moment"), "inst").agg(F.sum("tuples").alias("tuples"), F.sum(F.col("tuples") * 10).alias("duration"), F.sum("stored").alias("results"))
-    return metrics.aligned(days.withColumn("latency", F.lit(0.0)), N).select("moment", "tuples", "duration", "results", "throughput")
+    days = _profile(spark, sf).groupBy(F.floor(F.col("moment") / 24).cast("bigint").alias("moment"), "inst").agg(F.sum("tuples").alias("tuples"), F.sum(F.col("tuples") * 10).alias("duration"), F.sum("stored").alias("results"), F.sum("latency").alias("latency"))
+    return metrics.aligned(days, N).select("moment", "tuples", "duration", "results", "throughput", F.round("mean_latency", 4).alias("mean_latency"))
 
 
 @query("SELECT printf('@ [%d sec], %.2f, %.8f', event_id, value, value / 7) AS line FROM events")
@@ -458,9 +505,9 @@ def index_contains(spark, sf):
     return ordered.contains(index(spark, sf), probes(spark, sf))
 
 
-@query(f"WITH {INDEX} SELECT key, value FROM i WHERE key NOT IN (SELECT key FROM q)")
+@query(f"WITH {INDEX} SELECT key, value FROM i WHERE key NOT IN (SELECT key FROM q WHERE key % 3 = 0)")
 def index_remove(spark, sf):
-    return ordered.remove(index(spark, sf), probes(spark, sf)).select("key", "value")
+    return ordered.remove(index(spark, sf), probes(spark, sf).where("key % 3 = 0")).select("key", "value")
 
 
 @query(f"WITH {INDEX} SELECT key, value FROM i UNION ALL SELECT key, value FROM i WHERE value % 3 = 1")
@@ -514,9 +561,17 @@ def index_size(spark, sf):
 # --- streams -------------------------------------------------------------------------------------------------------
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    rows = streams.read_files(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+#: Micro-batches of a stream of events, and how far a tuple may be behind the newest: far less than the events' span, so state crosses batches and is evicted.
+BATCHES, DELAY = 4, "1 hour"
+
+
+def event_files(spark: SparkSession, sf: str) -> str:
+    """The events in files by time: a file a micro-batch."""
+    return streams.in_files(events_raw(spark, sf), "ts", BATCHES)
+
+
+def event_stream(spark: SparkSession, sf: str, folder: str | None = None) -> DataFrame:
+    return streams.read_files(spark, folder or event_files(spark, sf), events_raw(spark, sf).schema)
 
 
 def _kind(rows: DataFrame, kind: str) -> DataFrame:
@@ -525,13 +580,15 @@ def _kind(rows: DataFrame, kind: str) -> DataFrame:
 
 @query(WINDOW_SQL)
 def stream_join_window(spark, sf):
-    r, s = (_kind(event_stream(spark, sf), x) for x in ("click", "purchase"))
-    return streams.run_available(streams.windowed(r, s, *WINDOW, "31 days").select("key", "seq_r", "seq_s"))
+    folder = event_files(spark, sf)
+    r, s = (_kind(event_stream(spark, sf, folder), x) for x in ("click", "purchase"))
+    return streams.run_available(streams.windowed(r, s, *WINDOW, DELAY).select("key", "seq_r", "seq_s"))
 
 
 @query(FULL_SQL)
 def stream_join_full(spark, sf):
-    r, s = (_kind(event_stream(spark, sf), x) for x in ("click", "purchase"))
+    folder = event_files(spark, sf)
+    r, s = (_kind(event_stream(spark, sf, folder), x) for x in ("click", "purchase"))
     return streams.run_available(streams.full_history(r, s).select("key", "seq_r", "seq_s"))
 
 
@@ -550,6 +607,21 @@ def stream_join_foreachbatch(spark, sf):
     return engine.results().select(F.col("key_r").alias("key"), "seq_r", "seq_s")
 
 
+@query("""
+WITH late AS (SELECT event_id, user_id, event_type, ts, event_id % 5 = 0 AS held FROM events WHERE event_type IN ('click', 'purchase')),
+bar AS (SELECT max(ts) - INTERVAL 5 DAY AS ts FROM late WHERE NOT held),
+seen AS (SELECT * FROM late WHERE NOT held OR ts >= (SELECT ts FROM bar))
+SELECT r.event_id AS seq_r, s.event_id AS seq_s FROM seen r JOIN seen s ON r.user_id = s.user_id
+AND s.ts BETWEEN r.ts - INTERVAL 1 HOUR AND r.ts + INTERVAL 2 HOUR WHERE r.event_type = 'click' AND s.event_type = 'purchase'""")
+def stream_join_late(spark, sf):
+    """A fifth of the events come in a last batch; those five days or more behind the newest are too late, and stored rows of that age are evicted."""
+    engine = Engine(spark, window=WINDOW, lateness=5 * 86400.0, compact=1, n=4)
+    rows = _both(events_raw(spark, sf))
+    for batch, part in enumerate((rows.where("seq % 5 <> 0"), rows.where("seq % 5 = 0"))):
+        engine.step(part, batch)
+    return engine.results().select("seq_r", "seq_s")
+
+
 def events_raw(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -557,13 +629,13 @@ def events_raw(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT r.event_id AS seq_r, s.event_id AS seq_s FROM events r JOIN events s ON r.user_id > s.user_id
 AND s.ts BETWEEN r.ts - INTERVAL 1 HOUR AND r.ts + INTERVAL 2 HOUR WHERE r.event_type = 'click' AND s.event_type = 'purchase'""")
 def stream_join_theta(spark, sf):
-    engine = Engine(spark, op=">", window=WINDOW)
+    engine = Engine(spark, op=">", window=WINDOW, lateness=3600.0, compact=2)
     return engine.run(_both(event_stream(spark, sf))).select("seq_r", "seq_s")
 
 
 @query("SELECT event_id, user_id FROM events")
 def stream_dedup(spark, sf):
     """Each event comes twice."""
-    rows = event_stream(spark, sf)
-    twice = rows.select("event_id", "user_id", "ts").unionAll(event_stream(spark, sf).select("event_id", "user_id", "ts"))
-    return streams.run_available(streams.deduplicated(twice, ["event_id"], "ts", "31 days").select("event_id", "user_id"))
+    folder = event_files(spark, sf)
+    rows, again = (event_stream(spark, sf, folder).select("event_id", "user_id", "ts") for _ in range(2))
+    return streams.run_available(streams.deduplicated(rows.unionAll(again), ["event_id"], "ts", DELAY).select("event_id", "user_id"))

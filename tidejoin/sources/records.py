@@ -97,3 +97,18 @@ def emit_settings(per_second: int) -> tuple[int, int]:
 def rate_stream(spark: SparkSession, per_second: int) -> DataFrame:
     """ts and a running number, `per_second` rows a second."""
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("timestamp").alias("ts"), F.col("value").alias("seq"))
+
+
+def rate_factor(batch: Column, seed: int = 43) -> Column:
+    """A factor in [0, 1) that is fixed for a batch: what a fluctuating rate lets through of it."""
+    return F.pmod(F.xxhash64(batch, F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+
+
+def fluctuating(rows: DataFrame, seq: str, per_batch: int, seed: int = 43) -> DataFrame:
+    """Of each per_batch rows by number, the first ones, as many as the batch's factor says."""
+    return rows.where(F.col(seq) % per_batch < rate_factor(F.floor(F.col(seq) / per_batch), seed) * per_batch)
+
+
+def emitted(rows: DataFrame, ts: str = "ts", seconds: int = 1) -> DataFrame:
+    """relation, at, n: how many tuples each relation's source has emitted, by time."""
+    return rows.groupBy("relation", F.window(ts, f"{seconds} seconds")["start"].alias("at")).agg(F.count("*").alias("n"))

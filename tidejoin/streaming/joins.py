@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidejoin.operators.joins import _sided, in_window
+from tidejoin.operators.shared import shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidejoin-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+def in_files(rows: DataFrame, ts: str, files: int) -> str:
+    """A folder with the rows in so many files by time, each written after those before it, so that a file source takes them in that order."""
+    folder = shared_folder(rows.sparkSession, "files")
+    first, last = rows.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    step = ((last or 0) - (first or 0)) // files + 1
+    for i in range(files):
+        at = F.unix_micros(ts) - F.lit(first or 0)
+        rows.where((at >= i * step) & (at < (i + 1) * step)).coalesce(1).write.mode("append").parquet(folder)
+    return folder
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
