@@ -316,7 +316,8 @@ def neighbours(training: DataFrame, core: np.ndarray, k: int) -> DataFrame:
                 codes, cells = cells_of(part)
                 yield pa.record_batch([part.column(1).flatten(), pa.array(cells[codes < 0].astype(np.int32))], ["token", "cell"])
 
-    often = training.select("codes").mapInArrow(in_head, "code int, cell int, n long").groupBy("code", "cell").agg(F.sum("n").alias("n"))
+    # Summed up in the tasks already, so they are dealt once, by word; a word has few rows from each task.
+    often = training.select("codes").mapInArrow(in_head, "code int, cell int, n long").repartition("code").groupBy("code", "cell").agg(F.sum("n").alias("n"))
     often = often.groupBy("code").agg(F.sum("n").alias("c"), F.collect_list(F.struct("cell", "n")).alias("seen"))
     # A word beyond the head is rare enough to list its places one by one.
     rare = training.select("codes", "tails").mapInArrow(beyond, "token long, cell int").groupBy("token").agg(F.count("*").alias("c"), F.collect_list(F.struct("cell", F.lit(1).cast("long").alias("n"))).alias("seen"))
