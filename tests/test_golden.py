@@ -278,5 +278,7 @@ def test_generator(spark):
 
 def test_a_placed_join_has_one_exchange_a_side(spark):
     rows = spark.range(1000).select(F.col("id").alias("seq"), (F.col("id") % 50).alias("key"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     plan = joins.placed(rows, rows, "grouped", 8, m=2)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange") == 2 == plan.count("shufflepartitionidpassthrough")
