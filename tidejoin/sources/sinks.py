@@ -28,7 +28,8 @@ def stream_lines(lines: DataFrame, path: str | None, checkpoint: str, **trigger)
 
 
 def settings_lines(spark: SparkSession, settings: dict) -> DataFrame:
-    return spark.createDataFrame([(f"{k} = {v}",) for k, v in sorted(settings.items())], "value string")
+    """A row per setting, in order and in one file: they are few."""
+    return spark.createDataFrame([(f"{k} = {v}",) for k, v in sorted(settings.items())], "value string").coalesce(1)
 
 
 def pair_line(relation: str, r: Column, s: Column) -> Column:
