@@ -62,19 +62,23 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def parse(args: list[str]) -> argparse.Namespace:
-    o = parser().parse_args(args)
+def parse(args: list[str], by: argparse.ArgumentParser | None = None) -> argparse.Namespace:
+    o = (by or parser()).parse_args(args)
     o.jr, o.js = o.jr or scalars.parse_schema(o.R)[0], o.js or scalars.parse_schema(o.S)[0]
     o.join_field_r, o.join_field_s = scalars.field_index(o.R, o.jr), scalars.field_index(o.S, o.js)
     o.window = (o.wr, o.ws) if o.win else None
     if o.op not in joins.OPERATORS:
         raise ValueError(f"-op {o.op}: no such comparison")
-    for name in ("n", "ks", "f1", "f2", "pr", "ps", "g", "trs", "tr", "ts", "index_size", "dedup_size", "ai", "lrt", "i", "rm", "sm"):
+    for name in ("n", "ks", "f1", "f2", "pr", "ps", "g", "index_size", "ai", "lrt", "i", "rm", "sm"):
         if getattr(o, name) <= 0:
             raise ValueError(f"-{name} must be above 0")
-    for name in ("wr", "ws", "st", "c"):
+    for name in ("trs", "tr", "ts", "st", "c"):
         if getattr(o, name) < 0:
             raise ValueError(f"-{name} must not be below 0")
+    if o.win and min(o.wr, o.ws) <= 0:
+        raise ValueError("-wr and -ws must be above 0")
+    if not o.no_dedup and o.dedup_size <= 0:
+        raise ValueError("--dedup-size must be above 0")
     if o.t < 1:
         raise ValueError("-t must be 1 or more")
     if o.il >= o.iu or o.dl >= o.du:
@@ -88,9 +92,15 @@ def settings(o: argparse.Namespace) -> dict:
     return {**vars(o), "name": f"{o.name}-{o.strategy}"}
 
 
+def placement_options(o: argparse.Namespace) -> dict:
+    return {} if o.strategy == "hash" else {"n": o.pr, "m": o.rm}
+
+
 def plan(o: argparse.Namespace, r: DataFrame, s: DataFrame, routes: DataFrame | None = None) -> DataFrame:
     """The join that the options ask for, of relations with key, ts and seq."""
-    extra = {} if o.strategy == "hash" else {"n": o.pr, "m": o.rm} | ({"routes": routes} if o.strategy == "routed" else {})
+    if o.strategy == "routed" and routes is None:
+        routes = r.sparkSession.createDataFrame([], "relation string, key string, target int").withColumn("key", F.col("key").cast(r.schema["key"].dataType))
+    extra = placement_options(o) | ({"routes": routes} if o.strategy == "routed" else {})
     out = joins.join(r, s, o.op, o.window, o.strategy, dedup=not o.no_dedup, **extra)
     if o.agg:
         return metrics.result_aggregate(out.withColumn("ts", F.greatest("ts_r", "ts_s")), "seq_r", o.ai)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidejoin.functions import geo, scalars
 from tidejoin.operators import joins, metrics, migration, monitor, ordered, placement
+from tidejoin.operators.shared import shared_folder
+from tidejoin.plans import app
 from tidejoin.sources import records, sinks
 from tidejoin.streaming import joins as streams
 from tidejoin.streaming.engine import Engine
@@ -558,6 +560,21 @@ def index_size(spark, sf):
     return ordered.size(i).join(ordered.size(i, 100, 300).withColumnRenamed("size", "between"))
 
 
+@query(f"SELECT o_orderkey, c_custkey, r.h AS key FROM (SELECT o_orderkey, {GEO_SQL('o_orderkey')} AS h FROM orders) r JOIN (SELECT c_custkey, {GEO_SQL('c_custkey')} AS h FROM customer) s USING (h)")
+def app_records(spark, sf):
+    """Comma-separated records in two folders, through the application: streams of lines, topics told apart, keys from coordinates, placement that moves keys, pairs."""
+    folder = shared_folder(spark, "records")
+    topics = records.topics_for("10G")
+    for topic, name, key in zip(topics, ("orders", "customer"), ("o_orderkey", "c_custkey")):
+        fields = ("x", F.col(key), "", _lon(key), _lat(key))
+        line = F.concat_ws(",", *(F.lit(x) if isinstance(x, str) else x.cast("string") for x in fields))
+        table(spark, sf, name).select(line.alias("value")).write.text(f"{folder}/{topic}")
+    tagged = records.tagged(app.text_streams(spark, {topic: f"{folder}/{topic}" for topic in topics}), topics)
+    pairs = app.join_records(spark, app.parse(["--s", "routed", "-st", "0"]), tagged)
+    number = lambda c: F.get(F.split(c, ","), F.lit(1)).cast("long")
+    return pairs.select(number("value_r").alias("o_orderkey"), number("value_s").alias("c_custkey"), F.col("key_r").alias("key"))
+
+
 # --- streams -------------------------------------------------------------------------------------------------------
 
 
