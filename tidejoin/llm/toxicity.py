@@ -35,8 +35,6 @@ from .ngram_join import _functions as functions_of
 from .ngram_join import minima, ngrams
 
 TRAIN_ROWS = 20_000
-#: Most lexemes that are kept, by likelihood ratio.
-LEXEMES = 2000
 STEMS = (3, 4, 5, 6, 7, 8)
 LEAST_ODDS = 4.5
 #: How many times the documents of its most frequent word a stem must have.
@@ -218,8 +216,8 @@ def without_copies(rows: DataFrame) -> DataFrame:
     return rows.join(firsts.where("first >= 3").select("row"), "row", "left_semi").select("text", "toxic")
 
 
-def learn_lexicon(rows: DataFrame, most: int = LEXEMES) -> Lexicon:
-    """rows: text, toxic."""
+def learn_lexicon(rows: DataFrame) -> Lexicon:
+    """rows: text, toxic; no more than `fit` takes, so what passes the test is bounded by its parameter."""
 
     def count(batches):
         found = (Counter(), Counter())
@@ -245,7 +243,7 @@ def learn_lexicon(rows: DataFrame, most: int = LEXEMES) -> Lexicon:
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     counts = checkpointed(counts.select("lexeme", "toxic", ratio.alias("ratio"), odds.alias("odds")))
     bar = 2 * np.log(max(counts.count(), 1)) + 8
-    kept = counts.where((F.col("ratio") > bar) & (F.col("odds") > LEAST_ODDS)).orderBy(F.desc("ratio"), "lexeme").limit(most).collect()
+    kept = counts.where((F.col("ratio") > bar) & (F.col("odds") > LEAST_ODDS)).collect()
     weights = {r["lexeme"]: min(r["odds"], 8.0) / 8 for r in kept}
     # A stem says more than a word only if documents have it in different words.
     largest: Counter = Counter()
