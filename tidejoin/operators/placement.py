@@ -63,13 +63,13 @@ def latest_routes(routes: DataFrame) -> DataFrame:
     return routes.groupBy("relation", "key").agg(F.max_by("target", "version").alias("target"))
 
 
-def by_routes(rows: DataFrame, key: str, routes: DataFrame, n: int, relation: str = "R", limit: int = 100_000) -> DataFrame:
+def by_routes(rows: DataFrame, key: str, routes: DataFrame, n: int, relation: str = "R", limit: int = 100_000, few: bool | None = None) -> DataFrame:
     """By hash, but for keys with a route. One table of the storing relation decides both for its stores and for the probes of them.
 
-    The routes are broadcast if no more than `limit` are there, else joined by key.
+    The routes are broadcast if no more than `limit` are there, else joined by key. few: whether that is so, where the caller has counted them.
     """
     own = routes.where(F.col("relation") == relation).select(F.col("key").alias("_route_key"), F.col("target").alias("_target"))
-    few = own.limit(limit + 1).count() <= limit
+    few = own.limit(limit + 1).count() <= limit if few is None else few
     joined = rows.join(F.broadcast(own) if few else own, F.col(key) == F.col("_route_key"), "left")
     return joined.withColumn("target", F.coalesce("_target", F.lit(-1))).withColumn("inst", F.when(F.col("target") >= 0, F.col("target")).otherwise(home(F.col(key), n)).cast("int")).drop("_route_key", "_target")
 

@@ -429,7 +429,8 @@ def migration_apply(spark, sf):
     return monitor.load_table(*again)
 
 
-@query(f"{PLAN} SELECT (SELECT count(*) FROM orders JOIN walk ON o_orderkey = taken) AS moved_rows, (SELECT count(DISTINCT taken) FROM walk JOIN orders ON o_orderkey = taken) AS moved_keys")
+@query(f"""{PLAN}, moves AS MATERIALIZED (SELECT f.key FROM walk w JOIN factors f ON f.key = w.taken)
+SELECT count(*) AS moved_rows, count(DISTINCT o_orderkey) AS moved_keys FROM orders WHERE o_orderkey IN (SELECT key FROM moves)""")
 def migration_moved(spark, sf):
     keys, ends = _factors(spark, sf)
     row = ends.first()
