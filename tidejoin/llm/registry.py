@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL that gives the same rows where there is any."""
 
-from . import brown_lm, cover_tree, exact_dedup, language_id, licenses, line_dedup, mixing, ngram_join, sentencepiece_dropout, toxicity
+from . import brown_lm, collocations, cover_tree, exact_dedup, language_id, licenses, line_dedup, mixing, ngram_join, sentencepiece_dropout, simhash, source_divergence, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_dropout.op1_sentencepiece,
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_line_dedup_50_words": line_dedup.op8_line_dedup_50_words,
     "op9_licenses": licenses.op9_licenses,
     "op10_brown_lm": brown_lm.op10_brown_lm,
+    "op11_source_divergence": source_divergence.op11_source_divergence,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_simhash": simhash.op13_simhash,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op6_mixing": mixing.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op8_line_dedup_50_words": line_dedup.ORACLE_50_WORDS,
+    "op11_source_divergence": source_divergence.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
