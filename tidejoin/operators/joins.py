@@ -5,12 +5,12 @@ A relation here is a DataFrame with `key`, and, where a window or duplicates mat
 
 from __future__ import annotations
 
-import math
 import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bands
 from . import placement as P
 
 OPERATORS = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
@@ -41,48 +41,47 @@ def equi(r: DataFrame, s: DataFrame, hint: str | None = None) -> DataFrame:
 
 
 def windowed(r: DataFrame, s: DataFrame, window_r: float, window_s: float) -> DataFrame:
-    """Equal keys within the window. Time is cut into steps as long as the window: R keeps its own step and S goes to its neighbours too, so a key with a long history isn't paired with all of it."""
-    step = max(1, int(max(window_r, window_s) * 1000)) * 1000
-    at = F.floor(F.unix_micros("ts") / F.lit(step)).cast("bigint")
+    """Equal keys within the window. Time is cut into steps as long as the window, so a key with a long history isn't paired with all of it."""
     own = lambda rows, side: F.struct(*(F.col(f"`{c}`").alias(f"{c}_{side}") for c in rows.columns if c != "key")).alias(side)
-    left = r.select("key", at.alias("step"), own(r, "r"))
-    right = s.select("key", F.explode(F.sequence(at - 1, at + 1)).alias("step"), own(s, "s"))
+    left, right = (x.select("key", "step", own(rows, side)) for x, rows, side in zip(_stepped(r, s, window_r, window_s), (r, s), "rs"))
     return left.join(right, ["key", "step"]).where(in_window(F.col("r.ts_r"), F.col("s.ts_s"), window_r, window_s)).select("key", "r.*", "s.*")
 
 
-#: Pairs that one tile of a comparison join looks at, and most rows of tiles.
-TILE_PAIRS, TILES = 10_000_000, 512
+def theta(r: DataFrame, s: DataFrame, op: str, window: tuple[float, float] | None = None, **options) -> DataFrame:
+    """Pairs whose keys compare so, within the window if one is given: by order, see bands; equality is a plain join."""
+    if op == "=" and window is None:
+        left, right = _sided(r, "r"), _sided(s, "s")
+        return left.join(right, F.col("key_r") == F.col("key_s"))
+    return bands.ordered_join(r, s, op, window, **options)
 
 
-def theta(r: DataFrame, s: DataFrame, op: str, tiles: int | None = None) -> DataFrame:
-    """Pairs whose keys compare so. Both sides are dealt over a square of tiles, R by rows and S by columns, so that a pair meets on one tile and the work is spread evenly whatever the keys.
+def _stepped(r: DataFrame, s: DataFrame, window_r: float, window_s: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `step`, a time step that a pair within the window shares: R keeps its own, S goes to its neighbours too."""
+    length = max(1, int(max(window_r, window_s) * 1000)) * 1000
+    at = F.floor(F.unix_micros("ts") / F.lit(length)).cast("bigint")
+    return r.withColumn("step", at), s.withColumn("step", F.explode(F.sequence(at - 1, at + 1)))
 
-    tiles: rows of the square; by default as many as the counted sizes call for.
-    """
-    if op == "=":
-        left, right = _sided(r, "r"), _sided(s, "s")
-        return left.join(right, F.col("key_r") == F.col("key_s"))
-    tiles = tiles or max(1, min(TILES, math.ceil(math.sqrt(r.count() * s.count() / TILE_PAIRS))))
-    whole = lambda rows, side: F.struct(*(F.col(f"`{c}`").alias(f"{c}_{side}") for c in rows.columns)).alias(side)
-    own = lambda rows: F.pmod(F.xxhash64(*rows.columns), F.lit(tiles)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    left = r.select(whole(r, "r"), own(r).alias("i"), every.alias("j"))
-    right = s.select(whole(s, "s"), own(s).alias("j"), every.alias("i"))
-    return left.join(right, ["i", "j"]).where(OPERATORS[op](F.col("r.key_r"), F.col("s.key_s"))).select("r.*", "s.*")
+
+def _within(pairs: DataFrame, window: tuple[float, float] | None) -> DataFrame:
+    return pairs.where(in_window(F.col("ts_r"), F.col("ts_s"), *window)).drop("step") if window else pairs
 
 
-def placed(r: DataFrame, s: DataFrame, strategy: str = "hash", n: int = 8, m: int = 2, row_id: str = "seq", routes: DataFrame | None = None, small: int = 100_000) -> DataFrame:
+def placed(r: DataFrame, s: DataFrame, strategy: str = "hash", n: int = 8, m: int = 2, row_id: str = "seq", routes: DataFrame | None = None, small: int = 100_000, window: tuple[float, float] | None = None) -> DataFrame:
     """The equi-join with `inst`, the instance on which a pair meets; R is stored and S probes. Both sides are dealt so that each instance's rows are in the partition of
     its number, and the join takes them there: one exchange a side. So the placement is what balances the tasks; n is the number of tasks.
 
-    random: R's rows lie anywhere and S visits all instances. Where S has no more than `small` rows, that is a broadcast join.
+    random: R's rows lie anywhere and S visits all instances. Where S has no more than `small` rows, that is a broadcast join. With a window a key's rows meet by time steps, as in `windowed`.
     """
+    on = ["key", "inst"] + (["step"] if window else [])
+    if window:
+        r, s = _stepped(r, s, *window)
     if strategy == "hash":
         stored, probes = P.by_hash(r, "key", n), P.by_hash(s, "key", n)
     elif strategy == "random":
         stored = P.store_random(r, row_id, n)
         if s.limit(small + 1).count() <= small:
-            return _sided(stored, "r", ("key", "inst")).join(F.broadcast(_sided(s, "s", ("key",))), "key")
+            few = [c for c in on if c != "inst"]
+            return _within(_sided(stored, "r", (*on,)).join(F.broadcast(_sided(s, "s", (*few,))), few), window)
         probes = P.probe_all(s, n)
     elif strategy == "grouped":
         stored, probes = P.store_grouped(r, "key", row_id, n, m), P.probe_grouped(s, "key", n, m)
@@ -92,8 +91,8 @@ def placed(r: DataFrame, s: DataFrame, strategy: str = "hash", n: int = 8, m: in
         stored, probes = (P.by_routes(x, "key", routes, n).drop("target") for x in (r, s))
     else:
         raise ValueError(f"no strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
-    left, right = _sided(P.deal(stored, n), "r", ("key", "inst")), _sided(P.deal(probes, n), "s", ("key", "inst"))
-    return left.join(right, ["key", "inst"])
+    left, right = (_sided(P.deal(x, n), side, (*on,)) for x, side in ((stored, "r"), (probes, "s")))
+    return _within(left.join(right, on), window)
 
 
 def join(r: DataFrame, s: DataFrame, op: str = "=", window: tuple[float, float] | None = None, strategy: str = "hash", dedup: bool = False, ids: tuple[str, ...] = ("seq_r", "seq_s"), **options) -> DataFrame:
@@ -101,15 +100,13 @@ def join(r: DataFrame, s: DataFrame, op: str = "=", window: tuple[float, float]
     if op not in OPERATORS:
         raise ValueError(f"no operator {op!r}; there are {', '.join(OPERATORS)}")
     if op != "=":
-        out = theta(r, s, op)
-        out = out.where(in_window(F.col("ts_r"), F.col("ts_s"), *window)) if window else out
+        out = theta(r, s, op, window)
     elif window and strategy == "hash":
         out = windowed(r, s, *window)
     elif strategy == "hash" and not options:
         out = equi(r, s)
     else:
-        out = placed(r, s, strategy, **options)
-        out = out.where(in_window(F.col("ts_r"), F.col("ts_s"), *window)) if window else out
+        out = placed(r, s, strategy, window=window, **options)
     return out.dropDuplicates(list(ids)) if dedup else out
 
 

@@ -178,6 +178,21 @@ for _op, _name in (("!=", "ne"), (">", "gt"), (">=", "ge"), ("<", "lt"), ("<=",
     _theta(_op, _name)
 
 
+THETA_WINDOW_SQL = """SELECT r.event_id AS seq_r, s.event_id AS seq_s FROM events r JOIN events s ON r.user_id {} s.user_id
+AND s.ts BETWEEN r.ts - INTERVAL 1 HOUR AND r.ts + INTERVAL 2 HOUR WHERE r.event_type = 'click' AND s.event_type = 'purchase'"""
+
+
+def _theta_window(op: str, name: str) -> None:
+    @query(THETA_WINDOW_SQL.format(op), name=name)
+    def run(spark, sf):
+        """Clicks and purchases near in time whose users compare so: only slices near in time meet."""
+        return joins.join(events(spark, sf, "click"), events(spark, sf, "purchase"), op, WINDOW).select("seq_r", "seq_s")
+
+
+for _op, _name in ((">", "join_theta_window"), ("!=", "join_theta_window_ne"), ("<=", "join_theta_window_le")):
+    _theta_window(_op, _name)
+
+
 @query(f"SELECT DISTINCT * FROM ({FULL_SQL})")
 def join_dedup(spark, sf):
     """Each purchase comes twice; repeats of a pair's ids go."""
@@ -644,8 +659,7 @@ def events_raw(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("""SELECT r.event_id AS seq_r, s.event_id AS seq_s FROM events r JOIN events s ON r.user_id > s.user_id
-AND s.ts BETWEEN r.ts - INTERVAL 1 HOUR AND r.ts + INTERVAL 2 HOUR WHERE r.event_type = 'click' AND s.event_type = 'purchase'""")
+@query(THETA_WINDOW_SQL.format(">"))
 def stream_join_theta(spark, sf):
     engine = Engine(spark, op=">", window=WINDOW, lateness=3600.0, compact=2)
     return engine.run(_both(event_stream(spark, sf))).select("seq_r", "seq_s")
