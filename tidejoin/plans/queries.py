@@ -16,6 +16,7 @@ from tidejoin.operators.shared import shared_folder
 from tidejoin.plans import app
 from tidejoin.sources import records, sinks
 from tidejoin.streaming import joins as streams
+from tidejoin.streaming import monitor as live
 from tidejoin.streaming.engine import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -382,6 +383,16 @@ def load_decay(spark, sf):
     return monitor.decayed(log, starts)
 
 
+@query(ORACLES["load_decay"])
+def stream_load_decay(spark, sf):
+    """The same counters from a stream of four batches, by state and timers."""
+    rows = event_stream(spark, sf).where("event_type IN ('click', 'purchase')")
+    rows = placement.by_hash(rows.select(F.col("user_id").alias("key"), (F.col("event_type") == "click").alias("stored"), "ts"), "key", N)
+    folder = shared_folder(spark, "load")
+    live.write_batches(live.live_load(rows, 86400, "3 days"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return live.current(spark, f"{folder}/out")
+
+
 @query(f"""
 SELECT date_trunc('day', ts)::TIMESTAMP AS at, {HOME.format('user_id')} AS inst, count(*) FILTER (event_type = 'click') AS stored, count(*) FILTER (event_type = 'purchase') AS probes
 FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2""")
