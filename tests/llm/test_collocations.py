@@ -74,10 +74,12 @@ def test_small_filter_and_hands(spark, monkeypatch):
 
 
 def test_filter_finds_all_pairs(spark):
-    pairs = [("en", f"a{i} b{i}") for i in range(500)] + [("é", "ü ß")]
-    bits, chunk, mask = C._pair_filter(spark.createDataFrame(pairs, "lang string, phrase string"))
-    of = C._long(bits, chunk, mask)
-    assert of("é", "ü ß".encode().split()) == []
-    two = [("en", "a b"), ("en", "b c")]
-    of = C._long(*C._pair_filter(spark.createDataFrame(two, "lang string, phrase string")))
-    assert of("en", b"a b c x".split()) == [(3, [b"a b c"]), (4, [])]
+    def phrases(pairs, lang, *pieces):
+        held = defaultdict(Counter)
+        C._add_long(C._pair_filter(spark.createDataFrame(pairs, "lang string, phrase string")))(held, [lang] * len(pieces), [p.encode().split() for p in pieces], [1, 5][: len(pieces)])
+        return {(key, phrase.decode()): n for key, own in held.items() for phrase, n in own.items()}
+
+    assert phrases([("en", f"a{i} b{i}") for i in range(500)] + [("é", "ü ß")], "é", "ü ß") == {}
+    two = [("en", "a b"), ("en", "b c"), ("é", "ü ß"), ("é", "ß ü")]
+    assert phrases(two, "en", "a b c x", "b c a b c") == {(("en", 3), "a b c"): 6}
+    assert phrases(two, "é", "ü ß ü ß", "ß ü") == {(("é", 3), "ü ß ü"): 1, (("é", 3), "ß ü ß"): 1, (("é", 4), "ü ß ü ß"): 1}

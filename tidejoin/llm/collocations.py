@@ -17,8 +17,9 @@ import re
 import tempfile
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,9 +32,12 @@ SCALE = 2_000_000
 #: Most bits of the filter of frequent pairs, which is broadcast (16 MB); with more pairs than it can tell apart, more rows are counted, with the same result.
 FILTER_BITS = 1 << 27
 #: Different phrases that a task holds before it hands on their sums; memory of a bucket's duckdb.
-HELD, MEMORY = 400_000, "256MB"
+HELD, MEMORY = 1_200_000, "256MB"
 CUT = re.compile(rb"[.,;:!?\n-\r]")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: A task's sums, by language and number of words; what adds pieces (languages, words, multiplicities) to them and tells how many phrases it added.
+Held = dict[tuple[str, int], Counter]
+Add = Callable[[Held, list[str], list[list[bytes]], list[int]], int]
 PIECES, PARTS = "lang string, piece string, times long", "lang string, phrase string, words int, n long"
 
 
@@ -55,7 +59,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 64)
             for lang, text in zip(part.column(0).to_pylist(), utf8(part.column(1))):
                 held[lang].update(filter(None, (b" ".join(x.split()) for x in CUT.split(text.translate(LOWER)))))
-            if sum(map(len, held.values())) > HELD // 4:
+            if sum(map(len, held.values())) > HELD // 12:
                 yield from rows()
     yield from rows()
 
@@ -66,9 +70,9 @@ def pieces(docs: DataFrame) -> DataFrame:
     return docs.select(lang, text).mapInArrow(_pieces, PIECES).groupBy("lang", "piece").agg(F.sum("times").alias("times"))
 
 
-def _phrase_sums(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
-    """lang, piece, times in; rows of PARTS out: sums of a task's phrases. of(lang, words) gives a piece's phrases by their number of words."""
-    held: dict[tuple[str, int], Counter] = defaultdict(Counter)
+def _phrase_sums(batches: Iterator[pa.RecordBatch], add: Add) -> Iterator[pa.RecordBatch]:
+    """lang, piece, times in; rows of PARTS out: sums of a task's phrases."""
+    held: Held = defaultdict(Counter)
 
     def rows() -> Iterator[pa.RecordBatch]:
         for (lang, words), own in held.items():
@@ -77,15 +81,9 @@ def _phrase_sums(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBat
 
     seen = 0
     for batch in batches:
-        for lang, piece, times in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
-            for words, found in of(lang, piece.split()):
-                own = held[lang, words]
-                if times == 1:
-                    own.update(found)
-                else:
-                    for phrase in found:
-                        own[phrase] += times
-                seen += len(found)
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            seen += add(held, part.column(0).to_pylist(), [x.split() for x in utf8(part.column(1))], part.column(2).to_pylist())
             if seen > HELD:  # as many phrases as may be new have been added since the last look
                 seen = sum(map(len, held.values()))
                 if seen > HELD // 2:
@@ -94,29 +92,45 @@ def _phrase_sums(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBat
     yield from rows()
 
 
-def _short(lang: str, words: list[bytes]) -> list[tuple[int, list[bytes]]]:
-    return [(1, words), (2, [a + b" " + b for a, b in zip(words, words[1:])])]
-
-
-def _long(bits: list[bytes], chunk: int, mask: int):
-    """The phrases of three and more words whose every pair is in the filter."""
-
-    def of(lang: str, words: list[bytes]) -> list[tuple[int, list[bytes]]]:
-        if len(words) < 3:
-            return []
-        start, out = xxhash.xxh64(lang.encode() + b"\t", 42), [(n, []) for n in range(3, LONGEST + 1)]
-        run = 1  # words in a row up to here whose pairs are all in the filter
-        for i in range(1, len(words)):
-            h = start.copy()
-            h.update(words[i - 1] + b" " + words[i])
-            at = h.intdigest() & mask
-            run = run + 1 if bits[at // chunk][at % chunk >> 3] >> (at & 7) & 1 else 1
-            for n, found in out:
-                if run >= n:
-                    found.append(b" ".join(words[i - n + 1 : i + 1]))
-        return out
-
-    return of
+def _add_short(held: Held, langs: list[str], pieces: list[list[bytes]], times: list[int]) -> int:
+    """Words and word pairs of the pieces; how many."""
+    seen = 0
+    for lang, words, n in zip(langs, pieces, times):
+        for size, found in ((1, words), (2, [a + b" " + b for a, b in zip(words, words[1:])])):
+            own = held[lang, size]
+            seen += len(found)
+            if n == 1:
+                own.update(found)
+            else:
+                for phrase in found:
+                    own[phrase] += n
+    return seen
+
+
+def _add_long(bits: bytes) -> Add:
+    """Phrases of three and more words whose every pair is in the filter."""
+    filled, mask, digest = np.frombuffer(bits, np.uint8), np.uint64(8 * len(bits) - 1), xxhash.xxh64_intdigest
+
+    def add(held: Held, langs: list[str], pieces: list[list[bytes]], times: list[int]) -> int:
+        own = [i for i, words in enumerate(pieces) if len(words) > 2]
+        starts = {lang: lang.encode() + b"\t" for lang in set(langs)}
+        pairs = [digest(start + a + b" " + b, 42) for i in own for start in (starts[langs[i]],) for a, b in zip(pieces[i], pieces[i][1:])]
+        at = np.array(pairs, np.uint64) & mask
+        run = (filled[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        lengths = np.array([len(pieces[i]) - 1 for i in own], np.int64)
+        piece = np.repeat(np.array(own, np.int64), lengths)
+        place = np.arange(len(piece)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        seen = 0
+        for n in range(3, LONGEST + 1):
+            # Pairs from which on n - 1 in a row are in the filter.
+            run = run[:-1] & run[1:] & (piece[: len(run) - 1] == piece[n - 2 : n - 2 + len(run) - 1])
+            first = np.flatnonzero(run)
+            seen += len(first)
+            for i, j in zip(piece[first].tolist(), place[first].tolist()):
+                held[langs[i], n][b" ".join(pieces[i][j : j + n])] += times[i]
+        return seen
+
+    return add
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,19 +152,19 @@ def bucket_counts(parts: DataFrame) -> DataFrame:
     return parts.repartition("lang", "phrase").mapInArrow(_bucket_counts, PARTS)
 
 
-def _pair_filter(pairs: DataFrame) -> tuple[list[bytes], int, int]:
-    """Bits of the hashes of `pairs` in chunks, bits of a chunk, and the mask that gives a hash's bit: at least 16 bits for each pair, up to FILTER_BITS."""
+def _pair_filter(pairs: DataFrame) -> bytes:
+    """Bits of the hashes of `pairs`: at least 16 for each pair, up to FILTER_BITS, a power of two."""
     size = 1 << 15
     while size < min(FILTER_BITS, 16 * pairs.count()):
         size *= 2
     at = F.xxhash64(F.concat_ws("\t", "lang", "phrase")).bitwiseAND(F.lit(size - 1).cast("long"))
     # The built-in bitmaps count positions from 1 and buckets of 32768 bits.
     numbered = pairs.select(at.alias("at")).select(F.bitmap_bucket_number(F.col("at") + 1).alias("chunk"), F.bitmap_bit_position(F.col("at") + 1).alias("bit"))
-    chunk = 1 << 15
-    bits = [bytes(chunk // 8)] * (size // chunk)
+    chunk = 1 << 12
+    bits = bytearray(size // 8)
     for row in numbered.groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
-        bits[row["chunk"] - 1] = bytes(row["bits"])
-    return bits, chunk, size - 1
+        bits[(row["chunk"] - 1) * chunk : row["chunk"] * chunk] = row["bits"]
+    return bytes(bits)
 
 
 def phrase_counts(docs: DataFrame) -> DataFrame:
@@ -159,9 +173,9 @@ def phrase_counts(docs: DataFrame) -> DataFrame:
     folder = f"{shared_folder(spark)}/pieces-{uuid.uuid4().hex}"
     pieces(docs).write.option("compression", "zstd").parquet(folder)
     cut = spark.read.parquet(folder)
-    short = checkpointed(bucket_counts(cut.mapInArrow(lambda batches: _phrase_sums(batches, _short), PARTS)), 200_000)
+    short = checkpointed(bucket_counts(cut.mapInArrow(lambda batches: _phrase_sums(batches, _add_short), PARTS)), 200_000)
     shared = spark.sparkContext.broadcast(_pair_filter(short.where("words = 2")))
-    long = checkpointed(bucket_counts(cut.mapInArrow(lambda batches: _phrase_sums(batches, _long(*shared.value)), PARTS)), 200_000)
+    long = checkpointed(bucket_counts(cut.mapInArrow(lambda batches: _phrase_sums(batches, _add_long(shared.value)), PARTS)), 200_000)
     return short.unionByName(long.where("words > 2"))
 
 
