@@ -42,13 +42,13 @@ CELLS, RUN = 1024, 4096
 PREFIX_ROWS = 50_000
 
 
-def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size in words, the shuffling hash, and a row number (the documents' own, if they have one) that tells repeated rows apart."""
+def sized(docs: DataFrame, seed: str = SEED, row: str | None = None) -> DataFrame:
+    """doc_id, source, size in words, the shuffling hash, and a row number that tells repeated rows apart: that of the column `row` names, if it is given."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5(text)), F.lit(f":{seed}")))
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row")
-    return docs.select("doc_id", "source", size.alias("size"), order.alias("order"), row)
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    return docs.select("doc_id", "source", size.alias("size"), order.alias("order"), number.alias("row"))
 
 
 def source_targets(words: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
@@ -100,10 +100,10 @@ def schedule(spark: SparkSession, sources: DataFrame, n_sources: int, slots: int
     return ranked.withColumn("words", F.least(left, length)).where("words > 0").select(F.col("id").alias("slot"), "n", "block", "pass", "words")
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
-    """A row per document: doc_id, source, row, size, source_size, target (its source's), taken (its words that the mix takes, repeats counted), first_slot, last_slot (null if none)."""
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, row: str | None = None) -> DataFrame:
+    """A row per document (numbered by the column that `row` names, if it is given): doc_id, source, row, size, source_size, target (its source's), taken (its words that the mix takes, repeats counted), first_slot, last_slot (null if none)."""
     spark = docs.sparkSession
-    words = checkpointed(sized(docs.select("doc_id", "source", "text", *(["row"] if "row" in docs.columns else [])), seed))
+    words = checkpointed(sized(docs, seed, row))
     sources = checkpointed(shares(source_targets(words, weights, share, most), block_words))
     n_sources, slots = sources.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
     digits = max(3, math.ceil(math.log(max(1, words.count() / PREFIX_ROWS), 16)))
@@ -137,7 +137,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = SEED, weigh
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: a row for each time that a document is taken, to the nearest whole number, in the schedule's order (a first time by its first slot, a second by its last); columns stay."""
     held = checkpointed(docs.select(whole_rows(docs), F.monotonically_increasing_id().alias("row")), 5_000)
-    mixed = checkpointed(mix(held.select("doc.doc_id", "doc.source", "doc.text", "row")).where("taken > 0"), 1_000_000)
+    mixed = checkpointed(mix(held.select("doc.doc_id", "doc.source", "doc.text", "row"), row="row").where("taken > 0"), 1_000_000)
     slots = F.slice(F.array("first_slot", "last_slot"), 1, F.round(F.col("taken") / F.col("size")).cast("int"))
     times = mixed.select("row", F.explode(slots).alias("slot"))
     # Slots are even numbers of what is to be written, so parts of equal length of them are parts of the order.
