@@ -108,3 +108,18 @@ def test_labels_of_phrases_against_brute_force():
 
 def test_empty_table(spark):
     assert L.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_notice_inside_a_longer_one_is_part_of_it():
+    find = L.automaton()
+    scan = lambda t: L.scan(t.encode(), find)
+    for text, permissive in (
+        ("apache license or gnu general public license", True), ("mit license or general public license", True),
+        ("gnu general public license or apache license", True), ("apache license and gnu general public license", False),
+        ("gnu general public license", False), ("mit license", True),
+    ):
+        got = scan(text)
+        assert got[7] is permissive, text
+        assert got[1:5] == brute(text)[1:5]
+        # As much evidence as there are notices, however they are worded.
+        assert abs(got[6] - (1 - (1 - L.PHRASE_WEIGHT) ** text.count("license"))) < 1e-9

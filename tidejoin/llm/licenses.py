@@ -258,7 +258,12 @@ def scan(text: bytes, find) -> tuple:
         places.append((seen, n, phrase))
     base = [(w, p) for w, _, p in places if p in BASE]
     labels, left, permissive = {BASE[p] for _, p in base}, 1.0, []
-    named = [(w, n, BASE.get(p) or NOTICES[p]) for w, n, p in places if p != TAG]
+    # A notice inside a longer one is part of it to the expressions and the score; its places still count as base.
+    named, end = [], 0
+    for w, n, p in sorted((x for x in places if x[2] != TAG), key=lambda x: (x[0], -x[1])):
+        if w + n > end:
+            named.append((w, n, BASE.get(p) or NOTICES[p]))
+            end = w + n
     for w, n, label in named:
         labels.add(label)
         left *= 1 - PHRASE_WEIGHT
