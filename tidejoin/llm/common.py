@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.storagelevel import StorageLevel
 
 #: Documents that one Python step holds as objects at a time.
@@ -51,7 +52,7 @@ def with_bounded(big: DataFrame, small: DataFrame, on: list[str], rows: int, lim
     return big.join(F.broadcast(small) if rows <= limit else small, on, how)
 
 
-def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = SLICE) -> DataFrame:
+def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = SLICE) -> DataFrame:
     """f over slices of `rows` rows, so that Python holds few texts at a time, whatever the Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, map_slices, salted_join, table, utf8, whole_rows
 
@@ -119,7 +120,7 @@ def cut_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -
     per_doc = copies.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     whole = docs.select(whole_rows(docs), F.col("doc_id"), F.col(text).cast("string").alias("text"))
     rows = _keyed(whole, "text").join(per_doc, KEY, "left").select("doc", "text", "runs")
-    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, text string, n_lines int, removed array<int>"
+    schema = T.StructType([rows.schema["doc"]]).add("text", T.StringType()).add("n_lines", T.IntegerType()).add("removed", T.ArrayType(T.IntegerType()))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, counts, removed = [], [], []

@@ -347,7 +347,9 @@ def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 part = batch.slice(i, 256)
                 yield part.filter(pa.array(model.scores(part.column(at).to_pylist()) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    # By number, as a column may have any name.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
