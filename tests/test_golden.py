@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidejoin.functions import geo, scalars
 from tidejoin.operators import joins, metrics, migration, monitor, ordered, placement
 from tidejoin.plans import options
-from tidejoin.plans import queries as q
 from tidejoin.sources import records, sinks
 from tidejoin.streaming.engine import Engine
 
@@ -266,8 +265,9 @@ def test_ordered_index_of_other_keys(spark):
 
 def test_generator(spark):
     """Both relations, about half each; a rate that fluctuates by batches; what was emitted, by relation."""
-    r = q.QUERIES["random_source"](spark, "").first()
-    assert r.n == 2000 and 850 < r.r_like < 1150 and r.in_range and r.lengths
+    made = records.random_tuples(spark, 2000).collect()
+    assert 850 < sum(r.relation == "R" for r in made) < 1150 and len({r.seq for r in made}) == 2000
+    assert all(0 <= r.payload.f1 < 20000 and 0 <= r.payload.f2 < 20000 and len(r.payload.f3) == (20 if r.relation == "R" else 15) for r in made)
     rows = spark.range(1000).withColumnRenamed("id", "seq")
     by_batch = {r.b: r.n for r in records.fluctuating(rows, "seq", 100).groupBy(F.expr("seq div 100").alias("b")).agg(F.count("*").alias("n")).collect()}
     assert len(set(by_batch.values())) > 3 and all(0 < n <= 100 for n in by_batch.values())

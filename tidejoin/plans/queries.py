@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidejoin.functions import geo, scalars
-from tidejoin.operators import joins, metrics, migration, monitor, ordered, placement
+from tidejoin.operators import counters, joins, kept_index, metrics, migration, monitor, ordered, placement
 from tidejoin.operators.shared import shared_folder
 from tidejoin.plans import app
 from tidejoin.sources import records, sinks
 from tidejoin.streaming import joins as streams
 from tidejoin.streaming import monitor as live
+from tidejoin.streaming import observed, results
 from tidejoin.streaming.engine import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,10 +227,15 @@ def result_lines(spark, sf):
     return pairs.select(sinks.pair_line("R", F.col("key"), F.col("seq_s")).alias("line"), sinks.value_line(F.col("key"), F.col("seq_s")).alias("short"))
 
 
-@query("SELECT 'R: ' || o_orderkey || ' ---- ' || l_linenumber AS line, o_orderkey || ' | ' || l_linenumber AS short FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+@query("""SELECT CASE WHEN o_orderdate > l_shipdate THEN 'R: ' || o_orderkey || ' ---- ' || l_linenumber ELSE 'S: ' || l_linenumber || ' ---- ' || o_orderkey END AS line,
+o_orderkey || ' | ' || l_linenumber AS short FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
 def result_lines_all(spark, sf):
-    pairs = joins.join(orders(spark, sf), lines(spark, sf))
-    return pairs.select(sinks.pair_line("R", F.col("key"), F.col("seq_s")).alias("line"), sinks.value_line(F.col("key"), F.col("seq_s")).alias("short"))
+    """Lines of all pairs by the side that came later, which has found the pair."""
+    r = joins.relation(table(spark, sf, "orders"), "o_orderkey", "o_orderkey", F.col("o_orderdate").cast("timestamp"))
+    s = joins.relation(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp"))
+    k, n = F.col("key"), F.col("seq_s")
+    found = F.when(F.col("ts_r") > F.col("ts_s"), sinks.pair_line("R", k, n)).otherwise(sinks.pair_line("S", n, k))
+    return joins.join(r, s).select(found.alias("line"), sinks.value_line(k, n).alias("short"))
 
 
 # --- geohash and scalars -------------------------------------------------------------------------------------------
@@ -278,16 +284,6 @@ def schema_field_idx(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", scalars.field_index_column(F.lit("s1, s2, s3, s4"), field).alias("place"))
 
 
-@query()
-def random_source(spark, sf):
-    """What the generator makes, by its ranges and lengths; no SQL gives its draws."""
-    rows = records.random_tuples(spark, 2000)
-    r = F.count_if(F.col("relation") == "R")
-    fits = (F.col("payload.f1") >= 0) & (F.col("payload.f1") < 20000) & (F.col("payload.f2") >= 0) & (F.col("payload.f2") < 20000)
-    length = F.length("payload.f3") == F.when(F.col("relation") == "R", 20).otherwise(15)
-    return rows.agg(F.count("*").alias("n"), r.alias("r_like"), F.bool_and(fits).alias("in_range"), F.bool_and(length).alias("lengths"))
-
-
 # --- placement, load, migration ------------------------------------------------------------------------------------
 
 
@@ -682,3 +678,124 @@ def stream_dedup(spark, sf):
     folder = event_files(spark, sf)
     rows, again = (event_stream(spark, sf, folder).select("event_id", "user_id", "ts") for _ in range(2))
     return streams.run_available(streams.deduplicated(rows.unionAll(again), ["event_id"], "ts", DELAY).select("event_id", "user_id"))
+
+
+def closed_stream(spark: SparkSession, sf: str) -> str:
+    """The files of event_files, and end marks of both kinds, each with a user of its own."""
+    marks = spark.createDataFrame([("click", -1), ("purchase", -2)], "event_type string, user_id long")
+    columns = [F.col(f.name) if f.name in marks.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in events_raw(spark, sf).schema]
+    return streams.closed(event_files(spark, sf), marks.select(*columns), "ts")
+
+
+def _pairs_of(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    r, s = (_kind(event_stream(spark, sf, folder), x) for x in ("click", "purchase"))
+    return streams.windowed(r, s, *WINDOW, DELAY)
+
+
+@query("SELECT date_trunc('hour', s.ts)::TIMESTAMP AS at, count(*) AS n, round(sum(s.value), 4) AS total, min(s.value) AS least, max(s.value) AS most FROM events r JOIN events s ON r.user_id = s.user_id AND s.ts BETWEEN r.ts - INTERVAL 1 HOUR AND r.ts + INTERVAL 2 HOUR WHERE r.event_type = 'click' AND s.event_type = 'purchase' GROUP BY 1")
+def stream_result_agg(spark, sf):
+    """A window join and the aggregate of its results by the hour, in one stream."""
+    out = results.aggregated(_pairs_of(spark, sf, closed_stream(spark, sf)), "value_s", 3600)
+    return streams.run_available(out.withColumn("total", F.round("total", 4)).withColumn("at", F.col("at").cast("timestamp_ntz")))
+
+
+@query(f"""
+WITH p AS (SELECT date_trunc('day', ts)::TIMESTAMP AS at, {HOME.format('user_id')} AS inst, count(*) AS tuples, count(*) FILTER (event_type = 'click') AS stored, sum(value) AS latency FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2)
+SELECT p.at AS at, sum(tuples)::BIGINT AS tuples, sum(stored)::BIGINT AS stored, round(sum(latency), 4) AS latency FROM p GROUP BY p.at HAVING count(*) = {N}""")
+def stream_metrics_aligned(spark, sf):
+    """Profiles of each instance and day, and their sums where all instances have one: two aggregates one after the other in one stream."""
+    rows = event_stream(spark, sf, closed_stream(spark, sf)).where("event_type IN ('click', 'purchase')")
+    # The marks are far from all intervals, and no more than two instances report in theirs.
+    rows = placement.by_hash(rows.withColumnRenamed("user_id", "key"), "key", N).select("inst", (F.col("event_type") == "click").alias("stored"), F.col("value").alias("latency"), "ts")
+    out = results.aligned_profiles(rows, 86400, N, DELAY)
+    return streams.run_available(out.select(F.col("at").cast("timestamp_ntz").alias("at"), "tuples", "stored", F.round("latency", 4).alias("latency")))
+
+
+@query("""
+WITH again AS (SELECT * FROM events UNION ALL SELECT event_id, ts + INTERVAL 20 MINUTE, user_id, event_type, value, props FROM events UNION ALL SELECT event_id, ts + INTERVAL 3 DAY, user_id, event_type, value, props FROM events WHERE event_id % 2 = 0),
+pairs AS (SELECT r.event_id AS seq_r, s.event_id AS seq_s, s.ts AS ts_s, r.ts AS ts_r FROM events r JOIN again s ON r.user_id = s.user_id AND s.ts BETWEEN r.ts - INTERVAL 1 HOUR AND r.ts + INTERVAL 96 HOUR WHERE r.event_type = 'click' AND s.event_type = 'purchase'),
+ordered AS (SELECT seq_r, seq_s, ts_s, lag(ts_s) OVER (PARTITION BY seq_r, seq_s ORDER BY ts_s) AS before FROM pairs)
+SELECT seq_r, seq_s, ts_s::TIMESTAMP AS ts_s FROM ordered WHERE before IS NULL OR ts_s > before + INTERVAL 1 HOUR""")
+def stream_result_dedup(spark, sf):
+    """Each purchase comes again after 20 minutes, and half of them after three days: results that repeat within an hour go, later ones are new."""
+    raw = events_raw(spark, sf)
+    later = lambda hours, rows: rows.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {hours} MINUTES"))
+    twice = raw.unionAll(later(20, raw)).unionAll(later(3 * 1440, raw.where("event_id % 2 = 0")))
+    r = _kind(event_stream(spark, sf), "click")
+    s = _kind(event_stream(spark, sf, streams.in_files(twice, "ts", BATCHES)), "purchase")
+    pairs = streams.windowed(r, s, 96 * 3600.0, 3600.0, "10 days").select("seq_r", "seq_s", "ts_s")
+    with streams.rocksdb(spark):
+        out = streams.run_available(results.first_sights(pairs, ["seq_r", "seq_s"], 3600.0, "ts_s"))
+    return out.withColumn("ts_s", F.col("ts_s").cast("timestamp_ntz"))
+
+
+@query(f"""
+WITH span AS (SELECT min(epoch_us(ts)) AS first, (max(epoch_us(ts)) - min(epoch_us(ts))) // {BATCHES} + 1 AS step FROM events)
+SELECT ((epoch_us(ts) - first) // step)::INT AS batch, count(*) AS tuples, count(*) FILTER (event_type = 'click') AS r, count(*) FILTER (event_type = 'purchase') AS s, count(*) AS read FROM events, span GROUP BY 1""")
+def observed_counts(spark, sf):
+    """Tuples and those of either relation, by batch, as the run itself has counted them on its way to the sink."""
+    kind = lambda name: F.count_if(F.col("event_type") == name)
+    state = shared_folder(spark, "state")
+    rows = observed.run(event_stream(spark, sf), lambda w: w.format("noop").option("checkpointLocation", state).start(), F.count(F.lit(1)).alias("tuples"), kind("click").alias("r"), kind("purchase").alias("s"))
+    return spark.createDataFrame([(x["batch"], x["tuples"], x["r"], x["s"], x["read"]) for x in rows if x["read"]], "batch int, tuples long, r long, s long, read long")
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, event_id % 3 = 0 AS held FROM events) WHERE NOT held OR ts >= (SELECT max(ts) - INTERVAL 5 DAY FROM events WHERE event_id % 3 <> 0)")
+def stream_late_rows(spark, sf):
+    """A third of the events come in a last file; the native watermark drops those of them that are more than five days behind the newest. A repeat of the newest one comes before, as the bar is that of the batch before the last."""
+    raw = events_raw(spark, sf)
+    folder = streams.in_files(raw.where("event_id % 3 <> 0"), "ts", BATCHES)
+    newest = raw.where("event_id % 3 <> 0").orderBy(F.desc("ts"), "event_id").limit(1)
+    newest.coalesce(1).write.mode("append").parquet(folder)
+    raw.where("event_id % 3 = 0").coalesce(1).write.mode("append").parquet(folder)
+    rows = event_stream(spark, sf, folder)
+    return streams.run_available(streams.deduplicated(rows, ["event_id"], "ts", "5 days").select("event_id", "user_id"))
+
+
+def _kept_index(spark: SparkSession, sf: str) -> kept_index.KeptIndex:
+    """Parts by key, kept; then a third of the keys are removed, others put (some of them removed before), and one value of some is removed; compacted between."""
+    part = table(spark, sf, "part").select((F.col("p_partkey") * 7 % 1009).alias("key"), F.col("p_partkey").alias("value"))
+    i = kept_index.build(spark, shared_folder(spark, "index"), part, 200)
+    i.remove(part.where("key % 3 = 0"))
+    i.put(part.where("key % 5 = 0").select((F.col("key") + 1).alias("key"), (F.col("value") * 10).alias("value")))
+    i.compact()
+    i.remove_values(part.where("value % 4 = 0"))
+    i.put(part.where("key % 9 = 0").select("key", "value"))
+    return i
+
+
+KEPT = """, gone AS (SELECT key, value FROM i WHERE key % 3 <> 0), more AS (SELECT * FROM gone UNION ALL SELECT key + 1, value * 10 FROM i WHERE key % 5 = 0),
+less AS (SELECT key, value, n - CASE WHEN EXISTS (SELECT 1 FROM i WHERE i.key = c.key AND i.value = c.value AND i.value % 4 = 0) THEN 1 ELSE 0 END AS n FROM (SELECT key, value, count(*) AS n FROM more GROUP BY ALL) c),
+kept AS (SELECT key, value FROM less, range(n) WHERE n > 0 UNION ALL SELECT key, value FROM i WHERE key % 9 = 0)"""
+
+
+@query(f"WITH {INDEX}{KEPT} SELECT q.key, list(value ORDER BY value) FILTER (value IS NOT NULL) AS values FROM q LEFT JOIN kept USING (key) GROUP BY q.key")
+def index_log_get(spark, sf):
+    return _kept_index(spark, sf).get(probes(spark, sf))
+
+
+@query(f"WITH {INDEX}{KEPT} SELECT q.key, (SELECT max(key) FROM kept WHERE kept.key <= q.key) AS found FROM q")
+def index_log_floor(spark, sf):
+    return _kept_index(spark, sf).floor(probes(spark, sf))
+
+
+@query(f"WITH {INDEX}{KEPT} SELECT q.key, (SELECT count(DISTINCT kept.key) FROM kept WHERE kept.key < q.key) AS rank FROM q")
+def index_log_rank(spark, sf):
+    return _kept_index(spark, sf).rank(probes(spark, sf))
+
+
+@query(f"{PLAN} SELECT f.key, f.factor FROM walk w JOIN factors f ON f.key = w.taken")
+def migration_plan_counters(spark, sf):
+    """The plan from counters that four batches have added to and a summary of heavy keys, without a look at the tuples."""
+    r, s = (x.drop("inst") for x in placed_tables(spark, sf))
+    kept_counts, heavy = counters.KeyCounters(spark, shared_folder(spark, "counts"), compact=2), counters.Heavy([])
+    for batch in range(4):
+        own = lambda rows: rows.where(F.col("key") % 4 == batch)  # noqa: E731, B023
+        counts = counters.counted(own(r), own(s)).persist()
+        kept_counts.add(batch, counts)
+        heavy = heavy.merge(counts, 1000)
+        counts.unpersist()
+    keys = counters.by_instance(kept_counts.read(4), spark.createDataFrame([], "relation string, key string, target int"), N, "R")
+    keys = keys.withColumn("key", F.col("key").cast("long"))
+    loads = keys.groupBy("inst").agg(F.sum("stored").alias("stored"), F.sum("probes").alias("probes")).withColumn("load", F.col("stored") * F.col("probes"))
+    return counters.plan(keys, loads, heavy)[0]

@@ -38,6 +38,15 @@ def in_files(rows: DataFrame, ts: str, files: int) -> str:
     return folder
 
 
+def closed(folder: str, marks: DataFrame, ts: str) -> str:
+    """The folder with end marks after its files: rows as `marks` has them, far in the future, in two files one after the other. They pass the sources' filters and join with nothing, and their time moves the watermark beyond all that came before, so every interval is closed."""
+    spark = marks.sparkSession
+    last = spark.read.parquet(folder).agg(F.max(ts)).first()[0]
+    for days in (1000, 2000):
+        marks.withColumn(ts, F.lit(last) + F.expr(f"INTERVAL {days} DAYS")).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
     """A stream of a Parquet table's files; the path, of a file or a folder, is given as a pattern, as the source takes a plain one for a folder."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
@@ -63,10 +72,6 @@ def deduplicated(rows: DataFrame, ids: list[str], ts: str, delay: str) -> DataFr
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(ids)
 
 
-def aggregated(rows: DataFrame, value: str, seconds: int, ts: str, delay: str) -> DataFrame:
-    return rows.withWatermark(ts, delay).groupBy(F.window(ts, f"{seconds} seconds")).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"))
-
-
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that is there now, through a Parquet sink: its rows, read again."""
     spark = stream.sparkSession
