@@ -35,7 +35,7 @@ def test_random_source_to_sink(spark, tmp_path, strategy):
     assert app.run(spark, app.parse(["--local", "-lrt", "1", "--no-output", "--out", str(tmp_path / "none")])) is None
 
 
-@pytest.mark.parametrize("strategy", ["routed", "grouped"])
+@pytest.mark.parametrize("strategy", ["hash", "random", "grouped", "routed"])
 def test_records_of_files(spark, tmp_path, strategy):
     place = {"a": "30.703971", "b": "-10.5"}
     for name, rows in (("r", "ab"), ("s", "aab")):
@@ -49,8 +49,10 @@ def test_records_of_files(spark, tmp_path, strategy):
 
 def test_option_bounds():
     options.parse(["-trs", "0", "-tr", "0", "-ts", "0", "--no-dedup", "--dedup-size", "0"])
-    for bad in (["-win", "-wr", "0"], ["--dedup-size", "0"], ["-tr", "-1"], ["-ai", "0"]):
+    for bad in (["-win", "-wr", "0"], ["--dedup-size", "0"], ["-tr", "-1"], ["-ai", "0"], ["-c", "0"]):
         with pytest.raises(ValueError):
             options.parse(bad)
     with pytest.raises(SystemExit):
         app.parse(["--source", "files"])
+    with pytest.warns(UserWarning, match="-ks, --dedup-size"):
+        options.parse(["-ks", "3", "--dedup-size", "7"])

@@ -66,36 +66,35 @@ def _within(pairs: DataFrame, window: tuple[float, float] | None) -> DataFrame:
     return pairs.where(in_window(F.col("ts_r"), F.col("ts_s"), *window)).drop("step") if window else pairs
 
 
-def placed(r: DataFrame, s: DataFrame, strategy: str = "hash", n: int = 8, m: int = 2, row_id: str = "seq", routes: DataFrame | None = None, small: int = 100_000, window: tuple[float, float] | None = None) -> DataFrame:
+def placement_of(strategy: str, n: int = 8, m: int = 2, row_id: str = "seq", routes: DataFrame | None = None) -> P.Placement:
+    """The placement that a strategy's name stands for."""
+    if strategy == "routed" and routes is None:
+        raise ValueError("a routed join needs routes")
+    made = {"hash": lambda: P.hashed(n), "random": lambda: P.replicated(n, row_id), "grouped": lambda: P.grouped(n, m, row_id), "routed": lambda: P.routed(n, routes)}
+    if strategy not in made:
+        raise ValueError(f"no strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
+    return made[strategy]()
+
+
+def placed(r: DataFrame, s: DataFrame, strategy: str | P.Placement = "hash", n: int = 8, m: int = 2, row_id: str = "seq", routes: DataFrame | None = None, small: int = 100_000, window: tuple[float, float] | None = None) -> DataFrame:
     """The equi-join with `inst`, the instance on which a pair meets; R is stored and S probes. Both sides are dealt so that each instance's rows are in the partition of
-    its number, and the join takes them there: one exchange a side. So the placement is what balances the tasks; n is the number of tasks.
+    its number, and the join takes them there: one exchange a side. So the placement is what balances the tasks; their number is that of the instances. strategy: one of STRATEGIES, or a placement of the caller's own.
 
     random: R's rows lie anywhere and S visits all instances. Where S has no more than `small` rows, that is a broadcast join. With a window a key's rows meet by time steps, as in `windowed`.
     """
+    where = strategy if isinstance(strategy, P.Placement) else placement_of(strategy, n, m, row_id, routes)
     on = ["key", "inst"] + (["step"] if window else [])
     if window:
         r, s = _stepped(r, s, *window)
-    if strategy == "hash":
-        stored, probes = P.by_hash(r, "key", n), P.by_hash(s, "key", n)
-    elif strategy == "random":
-        stored = P.store_random(r, row_id, n)
-        if s.limit(small + 1).count() <= small:
-            few = [c for c in on if c != "inst"]
-            return _within(_sided(stored, "r", (*on,)).join(F.broadcast(_sided(s, "s", (*few,))), few), window)
-        probes = P.probe_all(s, n)
-    elif strategy == "grouped":
-        stored, probes = P.store_grouped(r, "key", row_id, n, m), P.probe_grouped(s, "key", n, m)
-    elif strategy == "routed":
-        if routes is None:
-            raise ValueError("a routed join needs routes")
-        stored, probes = (P.by_routes(x, "key", routes, n).drop("target") for x in (r, s))
-    else:
-        raise ValueError(f"no strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
-    left, right = (_sided(P.deal(x, n), side, (*on,)) for x, side in ((stored, "r"), (probes, "s")))
+    stored = where.store(r)
+    if strategy == "random" and s.limit(small + 1).count() <= small:
+        few = [c for c in on if c != "inst"]
+        return _within(_sided(stored, "r", (*on,)).join(F.broadcast(_sided(s, "s", (*few,))), few), window)
+    left, right = (_sided(P.deal(x, where.n), side, (*on,)) for x, side in ((stored, "r"), (where.probe(s), "s")))
     return _within(left.join(right, on), window)
 
 
-def join(r: DataFrame, s: DataFrame, op: str = "=", window: tuple[float, float] | None = None, strategy: str = "hash", dedup: bool = False, ids: tuple[str, ...] = ("seq_r", "seq_s"), **options) -> DataFrame:
+def join(r: DataFrame, s: DataFrame, op: str = "=", window: tuple[float, float] | None = None, strategy: str | P.Placement = "hash", dedup: bool = False, ids: tuple[str, ...] = ("seq_r", "seq_s"), **options) -> DataFrame:
     """Every qualifying pair once: the operator of `op`, inside the window if one is given, under the strategy."""
     if op not in OPERATORS:
         raise ValueError(f"no operator {op!r}; there are {', '.join(OPERATORS)}")

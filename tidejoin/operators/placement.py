@@ -5,6 +5,9 @@ A placement adds `inst`, from 0 to n - 1; the probing side of a replicating stra
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +85,46 @@ def deal(rows: DataFrame, n: int) -> DataFrame:
 def number_rows(rows: DataFrame, *order: str) -> DataFrame:
     """rows with `seq`, their place by `order` within their key's partition of the order; for tuples without a number of their own."""
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy(order[0]).orderBy(*order)))
+
+
+@dataclass(frozen=True)
+class Placement:
+    """Where rows lie among n instances: store adds `inst` to stored rows; probe adds it to probing rows, one for each instance that a row visits. Each pair of equal keys meets on exactly one instance."""
+
+    n: int
+    store: Callable[[DataFrame], DataFrame]
+    probe: Callable[[DataFrame], DataFrame]
+
+
+def hashed(n: int, key: str = "key") -> Placement:
+    place = lambda rows: by_hash(rows, key, n)
+    return Placement(n, place, place)
+
+
+def replicated(n: int, row_id: str = "seq") -> Placement:
+    return Placement(n, lambda rows: store_random(rows, row_id, n), lambda rows: probe_all(rows, n))
+
+
+def grouped(n: int, m: int, row_id: str = "seq", key: str = "key") -> Placement:
+    return Placement(n, lambda rows: store_grouped(rows, key, row_id, n, m), lambda rows: probe_grouped(rows, key, n, m))
+
+
+def routed(n: int, routes: DataFrame, storing: str = "R", key: str = "key", few: bool | None = None) -> Placement:
+    place = lambda rows: by_routes(rows, key, routes, n, storing, few=few).drop("target")
+    return Placement(n, place, place)
+
+
+def own(n: int, store: Callable[[Column, Column], Column], probe: Callable[[Column], Column], row_id: str = "seq", key: str = "key") -> Placement:
+    """A caller's placement: store gives a stored row's instance by its key and row_id, probe the array of instances that a key's probes visit.
+
+    Every stored row is checked on its way: its instance must be from 0 to n - 1, and exactly once among those that its key's probes visit, so that no pair is lost or made twice; the query fails otherwise. Rows without a key match nothing and aren't checked.
+    """
+    wrong = lambda rows_key, inst, visits: F.concat(F.lit("placement: key "), rows_key.cast("string"), F.lit(" is stored on "), F.coalesce(inst.cast("string"), F.lit("none")), F.lit(" and probed on "), F.coalesce(F.to_json(visits), F.lit("none")))
+
+    def stored(rows: DataFrame) -> DataFrame:
+        inst, visits = store(F.col(key), F.col(row_id)).cast("int"), probe(F.col(key)).cast("array<int>")
+        once = F.size(F.filter(visits, lambda v: v == inst)) == 1
+        fits = F.coalesce(once & inst.between(0, n - 1), F.lit(False))
+        return rows.where(F.col(key).isNotNull()).withColumn("inst", F.when(fits, inst).otherwise(F.raise_error(wrong(F.col(key), inst, visits)).cast("int")))
+
+    return Placement(n, stored, lambda rows: rows.withColumn("inst", F.explode(probe(F.col(key)).cast("array<int>"))))

@@ -4,8 +4,8 @@
     python -m tidejoin --source files --r-path trips --s-path tracks --s routed -t 2.2 --out results
     python -m tidejoin --source kafka --brokers host:9092 --size 30G --s routed --out results
 
-Generated tuples join on the fields that -jr and -js name. Records of files and topics join on the geohash of their coordinates; under hash and routed placement they are
-a stream, joined by micro-batches, in which `routed` moves keys when the imbalance passes -t after the warm-up of -st milliseconds, in checks of -i milliseconds.
+Generated tuples join on the fields that -jr and -js name. Records of files and topics are streams that join on the geohash of their coordinates: by Spark's own stream join for equality under hash placement, else
+by micro-batches, in which `routed` moves keys when the imbalance passes -t after the warm-up of -st milliseconds, in checks of -i milliseconds.
 Without --out results are computed and thrown away.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tidejoin.operators import joins
 from tidejoin.plans import options
 from tidejoin.sources import records, sinks
+from tidejoin.streaming import joins as streams
 from tidejoin.streaming.engine import Engine
 
 FIELDS = 4
@@ -64,14 +65,24 @@ def text_streams(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
     return out
 
 
+def _native(o: argparse.Namespace, tuples: DataFrame) -> DataFrame:
+    """Equality under hash placement is Spark's own stream join, by whose state no key moves."""
+    r, s = (tuples.where(F.col("relation") == x).select("key", "ts", "value") for x in "RS")
+    pairs = streams.windowed(r, s, *o.window, "10 seconds") if o.window else streams.full_history(r, s)
+    with streams.rocksdb(tuples.sparkSession):
+        out = streams.run_available(pairs.select(F.col("key").alias("key_r"), F.col("key").alias("key_s"), "value_r", "value_s", "ts_r", "ts_s"))
+    return out if o.no_dedup else out.dropDuplicates(["value_r", "value_s"])
+
+
 def join_records(spark: SparkSession, o: argparse.Namespace, tagged: DataFrame) -> DataFrame:
     """The pairs of tagged records (relation, value), a stream or a table: key_r, key_s, value_r, value_s, ts_r, ts_s. Two pairs with the same two records are repeats."""
     tuples = records.geo_tuples(tagged)
     if tuples.isStreaming:
-        if o.strategy not in ("hash", "routed"):
-            raise ValueError("a stream of records is placed by hash or routes")
-        engine = Engine(spark, o.op, o.window, o.pr, o.t, math.ceil(o.st / o.i), rebalance=o.strategy == "routed")
-        out = engine.run(tuples)
+        if o.op == "=" and o.strategy == "hash":
+            return _native(o, tuples)
+        moving = o.strategy == "routed"
+        where = joins.placement_of(o.strategy, o.pr, o.rm, "value") if o.strategy in ("random", "grouped") else None
+        out = Engine(spark, o.op, o.window, o.pr, o.t, math.ceil(o.st / o.i), rebalance=moving, placement=where).run(tuples)
     else:
         r, s = (tuples.where(F.col("relation") == x).select("key", "ts", "value", F.col("value").alias("seq")) for x in "RS")
         out = joins.join(r, s, o.op, o.window, o.strategy, **options.placement_options(o))
@@ -109,13 +120,7 @@ def run(spark: SparkSession, o: argparse.Namespace) -> str | None:
     if o.source == "kafka":
         tagged = records.kafka(spark, o.brokers, topics, o.z)
     else:
-        paths = dict(zip(topics, (o.r_path, o.s_path)))
-        if o.strategy in ("hash", "routed"):
-            rows = text_streams(spark, paths)
-        else:
-            r, s = (records.lines(spark, path).select(F.lit(topic).alias("topic"), "value") for topic, path in paths.items())
-            rows = r.unionByName(s)
-        tagged = records.tagged(rows, topics)
+        tagged = records.tagged(text_streams(spark, dict(zip(topics, (o.r_path, o.s_path)))), topics)
     return write(spark, o, result_lines(o, join_records(spark, o, tagged), F.col("value_r"), F.col("value_s")))
 
 

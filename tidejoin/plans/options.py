@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from tidejoin.functions import scalars
 from tidejoin.operators import joins, metrics
 
 
+#: Options that are checked and shown in the settings only; README says why.
+WITHOUT_EFFECT = ("-ks", "-f1", "-f2", "-g", "-n", "-ps", "-sm", "--index-size", "--dedup-size", "-x")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidejoin", description="Joins two streams or tables, R and S.", allow_abbrev=False)
     add = p.add_argument
@@ -69,10 +74,10 @@ def parse(args: list[str], by: argparse.ArgumentParser | None = None) -> argpars
     o.window = (o.wr, o.ws) if o.win else None
     if o.op not in joins.OPERATORS:
         raise ValueError(f"-op {o.op}: no such comparison")
-    for name in ("n", "ks", "f1", "f2", "pr", "ps", "g", "index_size", "ai", "lrt", "i", "rm", "sm"):
+    for name in ("n", "ks", "f1", "f2", "pr", "ps", "g", "index_size", "ai", "lrt", "i", "rm", "sm", "c"):
         if getattr(o, name) <= 0:
             raise ValueError(f"-{name} must be above 0")
-    for name in ("trs", "tr", "ts", "st", "c"):
+    for name in ("trs", "tr", "ts", "st"):
         if getattr(o, name) < 0:
             raise ValueError(f"-{name} must not be below 0")
     if o.win and min(o.wr, o.ws) <= 0:
@@ -85,6 +90,8 @@ def parse(args: list[str], by: argparse.ArgumentParser | None = None) -> argpars
         raise ValueError("a range of generated values is empty")
     if o.rm > o.pr or o.sm > o.ps:
         raise ValueError("a group has more members than there are instances")
+    if given := [name for name in WITHOUT_EFFECT if name in args]:
+        warnings.warn(f"without an effect here: {', '.join(given)}", stacklevel=2)
     return o
 
 

@@ -123,6 +123,13 @@ for _strategy in joins.STRATEGIES:
     _skewed_join(_strategy)
 
 
+@query(PAIRS)
+def join_custom_placement(spark, sf):
+    """A placement of the caller's own: stored orders lie on two instances by key and parity, and every line of a key visits both."""
+    two = placement.own(N, lambda key, seq: key % 4 * 2 + F.pmod(F.xxhash64(seq), F.lit(2)), lambda key: F.array(key % 4 * 2, key % 4 * 2 + 1))
+    return joins.join(orders(spark, sf), lines(spark, sf), strategy=two).select(*COLUMNS)
+
+
 def _lat(c: str) -> Column:
     return (F.col(c) * 7919 % 180000) / F.lit(1e3) - 90
 
