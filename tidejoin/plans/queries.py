@@ -14,7 +14,7 @@ from tidejoin.functions import geo, scalars
 from tidejoin.operators import counters, joins, kept_index, metrics, migration, monitor, ordered, placement
 from tidejoin.operators.shared import shared_folder
 from tidejoin.plans import app
-from tidejoin.sources import records, sinks
+from tidejoin.sources import committed, records, replay, sinks
 from tidejoin.streaming import joins as streams
 from tidejoin.streaming import monitor as live
 from tidejoin.streaming import observed, results
@@ -806,3 +806,24 @@ def migration_plan_counters(spark, sf):
     keys = keys.withColumn("key", F.col("key").cast("long"))
     loads = keys.groupBy("inst").agg(F.sum("stored").alias("stored"), F.sum("probes").alias("probes")).withColumn("load", F.col("stored") * F.col("probes"))
     return counters.plan(keys, loads, heavy)[0]
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def source_replay(spark, sf):
+    """The events replayed in their order at a rate that fluctuates, a tick a batch; the reader is lost after some ticks and another one goes on."""
+    folder, rows = shared_folder(spark, "replay"), events_raw(spark, sf).select("event_id", "user_id", "event_type", "value", "ts")
+    ticks = max(rows.count() // 6, 1) * 10  # a second has ten ticks
+    replay.prepare(rows, f"{folder}/in", F.col("ts"), F.col("event_id"))
+    for _ in range(2):
+        replay.run_all(replay.replay(spark, f"{folder}/in", ticks, True), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "event_type", "value")
+
+
+@query("""SELECT value FROM (SELECT 'R: ' || r.event_id || ' ---- ' || s.event_id AS value FROM events r JOIN events s ON r.user_id = s.user_id
+AND s.ts BETWEEN r.ts - INTERVAL 1 HOUR AND r.ts + INTERVAL 2 HOUR WHERE r.event_type = 'click' AND s.event_type = 'purchase')""")
+def sink_commit(spark, sf):
+    """Lines of a window join's pairs, from a stream to a target and its tee, batch by batch; what both have, read back, by the tee."""
+    folder = shared_folder(spark, "committed")
+    pairs = _pairs_of(spark, sf, event_files(spark, sf)).select(sinks.pair_line("R", F.col("seq_r"), F.col("seq_s")).alias("line"))
+    committed.write_stream(pairs, f"{folder}/out", f"{folder}/state", f"{folder}/tee").awaitTermination()
+    return committed.committed(spark, f"{folder}/out").intersectAll(committed.committed(spark, f"{folder}/tee"))
