@@ -89,10 +89,16 @@ def select(index: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def rank(index: DataFrame, probes: DataFrame) -> DataFrame:
-    """key (of the probe), rank: how many keys are below it."""
-    at = ranks(index)
-    above = ceiling(index, probes).withColumnRenamed("key", "probe").join(at, F.col("found") == F.col("key"), "left")
-    return above.join(F.broadcast(index.agg(F.countDistinct("key").alias("n")))).select(F.col("probe").alias("key"), F.coalesce("rank", "n").cast("bigint").alias("rank"))
+    """key (of the probe), rank: how many keys are below it. Keys and probes are ordered together, once."""
+    both = index.select("key", F.lit(1).alias("own")).distinct().unionAll(probes.select("key", F.lit(0)))
+    parts = ranged(both, F.col("key"))
+    before = lambda *order: F.coalesce(F.sum("own").over(Window.partitionBy("slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = parts.groupBy("slice").agg(F.sum("own").alias("own"))
+    below = F.coalesce(F.sum("own").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("slice", below.alias("below"))
+    # A probe comes before the key that is equal to it.
+    out = parts.withColumn("within", before("key", "own")).where("own = 0").join(counts, "slice")
+    return out.select("key", (F.col("below") + F.col("within")).cast("bigint").alias("rank"))
 
 
 def key_range(index: DataFrame, low, high) -> DataFrame:

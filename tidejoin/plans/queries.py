@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidejoin.functions import geo, scalars
 from tidejoin.operators import counters, joins, kept_index, metrics, migration, monitor, ordered, placement
-from tidejoin.operators.shared import shared_folder
+from tidejoin.operators.shared import kept, shared_folder
 from tidejoin.plans import app
 from tidejoin.sources import committed, records, replay, sinks
 from tidejoin.streaming import joins as streams
@@ -446,26 +446,30 @@ def migration_plan(spark, sf):
     return migration.greedy_plan(keys.select("key", "factor"), ends.first()["gap"])
 
 
+def _planned_routes(spark: SparkSession, sf: str) -> tuple[DataFrame, bool]:
+    """The plan's routes, computed and kept once, and whether they are few enough to be broadcast."""
+    keys, ends = _factors(spark, sf)
+    row = ends.first()
+    routes = kept(placement.latest_routes(migration.routes_for(migration.greedy_plan(keys.select("key", "factor"), row["gap"]), "R", row["min_inst"], 1)))
+    return routes, routes.count() <= 100_000
+
+
 @query(f"""{PLAN}, moves AS (SELECT taken AS key FROM walk WHERE taken IS NOT NULL),
 after AS (SELECT CASE WHEN m.key IS NULL THEN k.inst ELSE (SELECT min_inst FROM ends) END AS inst, k.stored, k.probes FROM keys k LEFT JOIN moves m ON m.key = k.key)
 SELECT inst, sum(stored)::BIGINT AS stored, sum(probes)::BIGINT AS probes, (sum(stored) * sum(probes))::BIGINT AS load FROM after GROUP BY inst""")
 def migration_apply(spark, sf):
     """Loads after the plan's keys have gone to the least loaded instance."""
-    keys, ends = _factors(spark, sf)
-    row = ends.first()
-    routes = migration.routes_for(migration.greedy_plan(keys.select("key", "factor"), row["gap"]), "R", row["min_inst"], 1)
-    again = [placement.by_routes(x.select("key"), "key", placement.latest_routes(routes), N) for x in placed_tables(spark, sf)]
+    routes, few = _planned_routes(spark, sf)
+    again = [placement.by_routes(x.select("key"), "key", routes, N, few=few) for x in placed_tables(spark, sf)]
     return monitor.load_table(*again)
 
 
 @query(f"""{PLAN}, moves AS MATERIALIZED (SELECT f.key FROM walk w JOIN factors f ON f.key = w.taken)
 SELECT count(*) AS moved_rows, count(DISTINCT o_orderkey) AS moved_keys FROM orders WHERE o_orderkey IN (SELECT key FROM moves)""")
 def migration_moved(spark, sf):
-    keys, ends = _factors(spark, sf)
-    row = ends.first()
-    routes = migration.routes_for(migration.greedy_plan(keys.select("key", "factor"), row["gap"]), "R", row["min_inst"], 1)
+    routes, few = _planned_routes(spark, sf)
     before = placed_tables(spark, sf)[0].withColumn("id", F.col("key"))
-    after = placement.by_routes(before.drop("inst"), "key", placement.latest_routes(routes), N)
+    after = placement.by_routes(before.drop("inst"), "key", routes, N, few=few)
     return migration.moved(before, after, "id")
 
 

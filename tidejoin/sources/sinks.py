@@ -39,3 +39,8 @@ def pair_line(relation: str, r: Column, s: Column) -> Column:
 
 def value_line(seq: Column, value: Column) -> Column:
     return F.concat_ws(" | ", seq.cast("string"), value.cast("string"))
+
+
+def latency_line(seq: Column, latency: Column) -> Column:
+    """'<seq> | <seconds>', for a result's latency."""
+    return F.concat_ws(" | ", seq.cast("string"), F.format_string("%.3f", latency))
