@@ -83,3 +83,18 @@ def test_filter_finds_all_pairs(spark):
     two = [("en", "a b"), ("en", "b c"), ("é", "ü ß"), ("é", "ß ü")]
     assert phrases(two, "en", "a b c x", "b c a b c") == {(("en", 3), "a b c"): 6}
     assert phrases(two, "é", "ü ß ü ß", "ß ü") == {(("é", 3), "ü ß ü"): 1, (("é", 3), "ß ü ß"): 1, (("é", 4), "ü ß ü ß"): 1}
+
+
+def test_buckets_larger_than_memory(spark, tmp_path, monkeypatch):
+    """A bucket of more than duckdb's memory is counted all the same, and leaves nothing behind."""
+    monkeypatch.setattr(C, "MEMORY", "40MB")
+    schema = C.pa.schema([("lang", C.pa.string()), ("phrase", C.pa.string()), ("words", C.pa.int32()), ("n", C.pa.int64())])
+
+    def batches():
+        for turn in range(30):
+            for at in range(0, 400_000, 20_000):
+                yield C.pa.record_batch([["en"] * 20_000, [f"a phrase of several words, number {i}" for i in range(at, at + 20_000)], [2] * 20_000, [1] * 20_000], schema=schema)
+
+    found = C.pa.Table.from_batches(list(C._bucket_counts(batches(), str(tmp_path / "spilled"))))
+    assert found.num_rows == 400_000 and set(found["n"].to_pylist()) == {30}
+    assert not list((tmp_path / "spilled").iterdir())

@@ -13,6 +13,7 @@ ties of score go by count, then by the phrase's bytes; a very long text or piece
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -133,11 +134,20 @@ def _add_long(bits: bytes) -> Add:
     return add
 
 
-def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The frequent phrases of a hash bucket, and for each language the sum of its words in the bucket, as a phrase of no words. The folder is the task's own, for what duckdb spills, and goes with it."""
+def _spills(spark: SparkSession) -> str | None:
+    """Where tasks spill: below the shared folder, if that is a path; None for the disks that Spark itself spills to."""
+    path = shared_folder(spark)
+    return f"/{path.removeprefix('file:').lstrip('/')}/spilled" if path.startswith(("file:", "/")) else None
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch], spills: str | None) -> Iterator[pa.RecordBatch]:
+    """The frequent phrases of a hash bucket, and for each language the sum of its words in the bucket, as a phrase of no words. What duckdb spills lies in a folder of the task's own and goes with it."""
     import duckdb
 
-    with tempfile.TemporaryDirectory() as folder, duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": folder, "preserve_insertion_order": False}) as db:
+    spills = spills or os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+    if spills:
+        os.makedirs(spills, exist_ok=True)
+    with tempfile.TemporaryDirectory(dir=spills) as folder, duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": folder, "preserve_insertion_order": False}) as db:
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
         parts = pa.RecordBatchReader.from_batches(schema, (b.cast(schema) for b in batches))
         db.register("parts", parts)
@@ -149,7 +159,8 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def bucket_counts(parts: DataFrame) -> DataFrame:
     """lang, phrase, words, n of frequent phrases, from partial sums."""
-    return parts.repartition("lang", "phrase").mapInArrow(_bucket_counts, PARTS)
+    spills = _spills(parts.sparkSession)
+    return parts.repartition("lang", "phrase").mapInArrow(lambda batches: _bucket_counts(batches, spills), PARTS)
 
 
 def _pair_filter(pairs: DataFrame) -> bytes:
