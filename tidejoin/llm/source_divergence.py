@@ -26,7 +26,7 @@ from .common import checkpointed, table, utf8, with_bounded
 
 LEAST_DOCUMENTS, SHARES, TOP = 10, 1_000_000_000, 10
 #: Different terms of its groups that a task counts before it hands them on.
-HELD = 300_000
+HELD = 700_000
 SPACED = bytes(c if c >= 0x80 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 COUNTS = "lang string, source string, term string, n long, docs long"
 
