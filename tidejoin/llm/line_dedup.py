@@ -3,19 +3,19 @@
 Each document is a sequence of line IDs (128-bit hashes of its lines without white space at their end) that ends in a mark of its own. At level j
 every suffix is ranked by its first 2^j lines: distinct pairs of (rank of the first half, rank of the second half) are
 sorted across the cluster, and a pair's place in that order is its rank. Suffixes whose first 2^j lines occur nowhere else are settled and
-leave the table, as their place is final and they share no longer prefix with any other; so the levels shrink to what is repeated.
+leave the table, as they share no longer prefix with any other; levels are added until none is left.
 
-A longest-common-prefix interval of the suffix array that reaches n lines is the set of suffixes that share their first n lines; it is
-named by n and the ranks, at the highest level within n, of the two windows that cover the n lines. A run of lines counts as
-repeated if it has `min_words` words or more. Two kinds of intervals decide about every such run, however long: the
-shortest run of enough words from each line on, and the shortest that ends at each line. Any line of a repeated run lies in
-one or the other within that run, so the union of both is the union of all maximal repeated runs. In each interval the first suffix
-in (doc_id, line) order is kept, and the lines of the later copies are deleted.
+A longest-common-prefix interval of the suffix array is the set of suffixes that share their first n lines. It is named by n and its first
+suffix in (doc_id, line) order, which is kept. As n falls, intervals merge: where one loses to another whose first suffix is earlier, its own first suffix has found the
+longest run of lines that it shares with an earlier place. So only the first suffixes of intervals are looked at, and n is found
+for all at once, bit by bit, by splitting each span of lengths at its middle with the ranks of that level. A place's run is a maximal repeated run
+if it can't be extended: not to the right by its length, and not to the left if the place before has no run that holds it. These runs, with `min_words` words or more, are listed with their first copy and
+deleted, so a later copy of any repeated run goes whole.
 
 Defined results: lines are parted by newlines; empty lines have no words and go only inside a deleted run. A null text has no lines and
 stays null. Rows with the same doc_id and text are one document to the operator, so each keeps what the others keep. A null doc_id
-comes after all others. A text all of whose lines go becomes empty. A very long text is a row for each line, until it is cut. Extra columns pass through untouched; `line_dedup`
-puts its report in place of columns named n_lines or removed, `cut_lines` and the pipeline keep these too.
+comes after all others. A text all of whose lines go becomes empty. A later copy may overlap the place that it copies (a line said thrice). A very long text is a row for each line, until it is cut. Extra columns pass through untouched; `line_dedup`
+puts its report in place of columns named n_lines, removed or runs, `cut_lines` and the pipeline keep these too.
 """
 
 from __future__ import annotations
@@ -35,26 +35,25 @@ MIN_WORDS = 1
 BLANK = b" \t\n\x0b\x0c\r"
 #: A document: its doc_id (null as the largest long) and a hash of its text.
 KEY = ["d", "h"]
-LINES = "d long, h long, at int, id binary, ahead int, back int"
+LINES = "d long, h long, at int, id binary, ahead int"
+#: An interval: the lines that its suffixes share, and its first suffix.
+INTERVAL = ["n", "fd", "fh", "fat"]
+RUNS = "array<struct<at: int, n_lines: int, first_doc_id: bigint, first_at: int, copies: bigint>>"
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("h", F.xxhash64(text))
 
 
-def _shortest(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each line, how many lines from it on, and how many up to and with it, have `least` words; 0 where the text ends before."""
+def _shortest(words: np.ndarray, least: int) -> np.ndarray:
+    """For each line, how many lines from it on have `least` words; 0 where the text ends before."""
     ends = np.cumsum(words)
-    before = ends - words
-    last = np.searchsorted(ends, before + least)
-    at = np.arange(len(words))
-    ahead = np.where(last < len(words), last - at + 1, 0)
-    first = np.searchsorted(before, ends - least, side="right") - 1
-    return ahead, np.where(first >= 0, at - first + 1, 0)
+    last = np.searchsorted(ends, ends - words + least)
+    return np.where(last < len(words), last - np.arange(len(words)) + 1, 0)
 
 
 def sequences(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per line, as LINES says: its document, place and ID, and the lengths of the shortest runs of min_words words from it on and up to it."""
+    """A row per line, as LINES says: its document, place and ID, and the length of the shortest run of min_words words from it on."""
 
     def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [x.split(b"\n") for x in utf8(batch.column(2))]
@@ -63,7 +62,7 @@ def sequences(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -
         runs = [_shortest(np.fromiter((len(line.split()) for line in x), np.int64, len(x)), min_words) for x in parts]
         flat = lambda xs: pa.array(np.concatenate([*xs, np.zeros(0, np.int64)]).astype(np.int32))
         own = np.repeat(np.arange(len(parts)), n)
-        columns = [batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), flat([np.arange(k) for k in n]), pa.array(ids, pa.binary()), flat([a for a, _ in runs]), flat([b for _, b in runs])]
+        columns = [batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), flat([np.arange(k) for k in n]), pa.array(ids, pa.binary()), flat(runs)]
         return pa.record_batch(columns, [x.split()[0] for x in LINES.split(", ")])
 
     rows = _keyed(docs.select("doc_id", F.col(text).cast("string").alias("text")).where("text IS NOT NULL"), "text").select("d", "h", "text")
@@ -71,71 +70,101 @@ def sequences(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -
 
 
 def _ranked(suffixes: DataFrame, by: list[str]) -> DataFrame:
-    """The suffixes whose `by` occurs more than once, with the place of `by` in its sorted order as rank. Salted by document, as a line (the empty one, say) may be in all of them."""
-    pairs = suffixes.groupBy(*by).agg(F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    """The suffixes whose `by` occurs more than once, with the place of `by` in its sorted order as rank, its first suffix and its copies. Salted by document, as a line (the empty one, say) may be in all of them."""
+    pairs = suffixes.groupBy(*by).agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "at")).alias("f")).where("copies > 1")
+    pairs = pairs.select(*by, "copies", F.col("f.d").alias("fd"), F.col("f.h").alias("fh"), F.col("f.at").alias("fat"))
     order = checkpointed(pairs.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), 100_000)
     return checkpointed(salted_join(suffixes, order, by, "h", salts=4).drop(*by), 100_000)
 
 
-def suffix_levels(lines: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Level by level, (d, h, at, rank) of the suffixes whose first 2^level lines occur elsewhere too, up to the longest deciding run; and the deciding runs (d, h, at, n)."""
-    first = checkpointed(_ranked(lines, ["id"]).dropDuplicates([*KEY, "at"]))
-    runs = first.select(*KEY, "at", F.col("ahead").alias("n")).union(first.select(*KEY, F.col("at") - F.col("back") + 1, "back")).where("n > 0").distinct()
-    longest = first.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
-    levels = [first.select(*KEY, "at", "rank")]
-    while 2 ** len(levels) <= longest:
-        half = levels[-1]
+def suffix_levels(lines: DataFrame) -> list[DataFrame]:
+    """Level by level, (d, h, at, rank, copies, fd, fh, fat) of the suffixes whose first 2^level lines occur elsewhere too, until there are none."""
+    places = _ranked(lines.select(*KEY, "at", "id"), ["id"]).dropDuplicates([*KEY, "at"]).select(*KEY, "at", F.col("rank").alias("line"))
+    levels, level = [], _ranked(places, ["line"])
+    while not level.isEmpty():
+        levels.append(level)
         step = 2 ** (len(levels) - 1)
-        then = half.select(*KEY, (F.col("at") - step).alias("at"), F.col("rank").alias("rank2"))
-        levels.append(_ranked(half.withColumnRenamed("rank", "rank1").join(then, [*KEY, "at"]), ["rank1", "rank2"]))
-    return levels, runs
+        then = level.select(*KEY, (F.col("at") - step).alias("at"), F.col("rank").alias("rank2"))
+        level = _ranked(level.select(*KEY, "at", F.col("rank").alias("rank1")).join(then, [*KEY, "at"]), ["rank1", "rank2"])
+    return levels
+
+
+def _is_first() -> Column:
+    return F.struct(*KEY, "at") == F.struct("fd", "fh", "fat")
+
+
+def _merging(members: DataFrame) -> DataFrame:
+    """The members of intervals with others than their first."""
+    names = members.where(~_is_first()).select(*INTERVAL).distinct()
+    return salted_join(members, names, INTERVAL, "h", salts=4, how="left_semi")
+
+
+def _entering(level: DataFrame, longer: DataFrame | None, n: int) -> DataFrame:
+    """The intervals of n lines: of each, the first suffixes of its intervals of 2n lines, and the suffixes that share 2n lines with no other."""
+    own = level.select(*KEY, "at", F.lit(n).alias("n"), "fd", "fh", "fat", "copies", F.lit(1).cast("long").alias("members"))
+    if longer is None:
+        return own
+    up = longer.select(*KEY, "at", F.struct("fd", "fh", "fat").alias("up"), F.col("copies").alias("of_up"))
+    first = F.col("up").isNull() | (F.struct(*KEY, "at") == F.col("up"))
+    out = own.join(up, [*KEY, "at"], "left").where(first)
+    return out.select(*KEY, "at", *INTERVAL, "copies", F.coalesce("of_up", "members").alias("members"))
+
+
+def _split(members: DataFrame, level: DataFrame, half: int) -> DataFrame:
+    """Members of intervals of n lines, each the first of those that share n + 2 half lines, by n + half: those that meet there with their new interval, and the first of each with the old one."""
+    then = level.select(*KEY, F.col("at").alias("tail"), "rank")
+    ranked = checkpointed(members.withColumn("tail", F.col("at") + F.col("n")).join(then, [*KEY, "tail"], "left").drop("tail"), 100_000)
+    alone = ranked.where("rank IS NULL").drop("rank")
+    met = ranked.where("rank IS NOT NULL").groupBy(*INTERVAL, "rank").agg(F.min(F.struct(*KEY, "at")).alias("first"), F.sum("members").alias("together"), F.first("copies").alias("copies"), F.count("*").alias("rows"))
+    met = checkpointed(met, 100_000)
+    longer = salted_join(ranked.drop("copies"), met.where("rows > 1").drop("copies", "rows"), [*INTERVAL, "rank"], "h", salts=4)
+    longer = longer.select(*KEY, "at", (F.col("n") + half).alias("n"), F.col("first.d").alias("fd"), F.col("first.h").alias("fh"), F.col("first.at").alias("fat"), F.col("together").alias("copies"), "members")
+    firsts = met.select("first.d", "first.h", "first.at", *INTERVAL, "copies", F.col("together").alias("members"))
+    return longer.unionByName(_merging(alone.unionByName(firsts)))
+
+
+def longest_earlier(levels: list[DataFrame]) -> DataFrame:
+    """d, h, at, n, fd, fh, fat, copies: for each place, the most lines from it on that an earlier place has too, their first place and how many places have them."""
+    members = None
+    for j in reversed(range(len(levels))):
+        entering = _merging(_entering(levels[j], levels[j + 1] if j + 1 < len(levels) else None, 2**j))
+        members = checkpointed(entering if members is None else _split(members, levels[j], 2**j).unionByName(entering), 100_000)
+    return members.where(~_is_first()).drop("members")
 
 
 def later_copies(lines: DataFrame) -> DataFrame:
-    """d, h, at, n: the deciding runs of which an earlier suffix has a copy."""
-    levels, runs = suffix_levels(lines)
-    named = []
-    for level, ranks in enumerate(levels):
-        span = 2**level
-        own = runs.where((F.col("n") >= span) & (F.col("n") < 2 * span)).withColumn("tail", F.col("at") + F.col("n") - span)
-        head = ranks.withColumnRenamed("rank", "rank1")
-        tail = ranks.select(*KEY, F.col("at").alias("tail"), F.col("rank").alias("rank2"))
-        named.append(own.join(head, [*KEY, "at"]).join(tail, [*KEY, "tail"]).select(*KEY, "at", "n", "rank1", "rank2"))
-    intervals = named[0]
-    for more in named[1:]:
-        intervals = intervals.union(more)
-    intervals = checkpointed(intervals)
-    name = ["n", "rank1", "rank2"]
-    firsts = intervals.groupBy(*name).agg(F.min(F.struct(*KEY, "at")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    # The salt parts the copies of a run that many documents have.
-    salts = 8
-    firsts = firsts.select(*name, "first", F.explode(F.array(*map(F.lit, range(salts)))).alias("salt"))
-    salted = intervals.withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(salts)).cast("int"))
-    return salted.join(firsts, [*name, "salt"]).where(F.struct(*KEY, "at") > F.col("first")).select(*KEY, "at", "n")
+    """d, h, at, n, fd, fh, fat, copies: the maximal repeated runs of enough words that an earlier place has too, with their first place."""
+    levels = suffix_levels(lines)
+    if not levels:
+        return lines.sparkSession.createDataFrame([], "d long, h long, at int, n int, fd long, fh long, fat int, copies long")
+    runs = longest_earlier(levels)
+    before = runs.select(*KEY, (F.col("at") + 1).alias("at"), (F.col("n") - 1).alias("left"))
+    maximal = runs.join(before, [*KEY, "at"], "left").where("left IS NULL OR left < n").drop("left")
+    return maximal.join(lines.select(*KEY, "at", "ahead").dropDuplicates([*KEY, "at"]), [*KEY, "at"]).where("ahead BETWEEN 1 AND n").drop("ahead")
 
 
 def cut_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc (a struct of the document's columns as they were), text (without the lines of later copies), n_lines, removed (places of the deleted lines)."""
+    """doc (a struct of the document's columns as they were), text (without the lines of later copies), n_lines, removed (places of the deleted lines), runs (the maximal repeated runs that went, with their first copy)."""
     copies = later_copies(checkpointed(sequences(docs, text, min_words), 100_000))
-    per_doc = copies.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    per_doc = copies.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("at", F.col("n").alias("n_lines"), F.when(F.col("fd") < 2**63 - 1, F.col("fd")).alias("first_doc_id"), F.col("fat").alias("first_at"), "copies"))).alias("runs"))
     whole = docs.select(whole_rows(docs), F.col("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = _keyed(whole, "text").join(per_doc, KEY, "left").select("doc", "text", "runs")
-    schema = T.StructType([rows.schema["doc"]]).add("text", T.StringType()).add("n_lines", T.IntegerType()).add("removed", T.ArrayType(T.IntegerType()))
+    rows = _keyed(whole, "text").join(per_doc, KEY, "left").select("doc", "text", F.coalesce("runs", F.array()).cast(RUNS).alias("runs"))
+    schema = T.StructType([rows.schema["doc"]]).add("text", T.StringType()).add("n_lines", T.IntegerType()).add("removed", T.ArrayType(T.IntegerType())).add(rows.schema["runs"])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, counts, removed = [], [], []
         for whole, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             lines = whole.split("\n") if whole is not None else []
             edges = np.zeros(len(lines) + 1, np.int64)
-            for run in runs or ():
+            for run in runs:
                 edges[run["at"]] += 1
-                edges[run["at"] + run["n"]] -= 1
+                edges[run["at"] + run["n_lines"]] -= 1
             gone = np.flatnonzero(np.cumsum(edges)[:-1] > 0).tolist()
             drop = set(gone)
             texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else whole)
             counts.append(len(lines))
             removed.append(gone)
-        return pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32()))], ["doc", "text", "n_lines", "removed"])
+        return pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32())), batch.column(2)], ["doc", "text", "n_lines", "removed", "runs"])
 
     return map_slices(rows, cut, schema)
 
@@ -146,9 +175,9 @@ def own_columns(docs: DataFrame, **instead: Column) -> list[Column]:
 
 
 def line_dedup(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with the lines of later copies deleted from their text, and n_lines, removed (places of the deleted lines) after their own columns."""
+    """The documents with the lines of later copies deleted from their text, and n_lines, removed (places of the deleted lines), runs (at, n_lines, first_doc_id, first_at, copies of each run that went) after their own columns."""
     out = cut_lines(docs, text, min_words)
-    return out.select(*own_columns(docs.drop("n_lines", "removed"), **{text: F.col("text")}), "n_lines", "removed")
+    return out.select(*own_columns(docs.drop("n_lines", "removed", "runs"), **{text: F.col("text")}), "n_lines", "removed", "runs")
 
 
 def without_line_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -160,13 +189,17 @@ def without_line_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     return out.select(*own_columns(docs, **changed))
 
 
+#: A query's columns for the fields of its runs.
+LISTED = {"at": "run_at", "n_lines": "run_lines", "first_doc_id": "run_first_doc", "first_at": "run_first_at", "copies": "run_copies"}
+
+
 def _report(spark: SparkSession, sf_dir: str, min_words: int) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=min_words)
-    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "text")
+    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "text", *(F.col(f"runs.{c}").alias(name) for c, name in LISTED.items()))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (places of the deleted lines), text that stays."""
+    """doc_id, n_lines, n_removed, removed (places of the deleted lines), text that stays, and of each run that went run_at, run_lines, run_first_doc, run_first_at, run_copies."""
     return _report(spark, sf_dir, MIN_WORDS)
 
 
@@ -175,35 +208,43 @@ def op8_line_dedup_50_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir, 50)
 
 
-#: Every run of lines with at least 50 words that occurs earlier too, by its shortest runs from each line on and up to each line.
-ORACLE_50_WORDS = r"""
+#: Places with the same line, along each diagonal of two documents, give the lines that two places share; a place's longest run with an earlier place counts if the place before has none that holds it.
+ORACLE = r"""
 WITH lines AS (
-  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos,
-         rtrim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
-  FROM documents),
-counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines),
-summed AS (
-  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS ends,
-         (sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words)::BIGINT AS before
-  FROM counted),
-docs AS (SELECT doc_id, list(ends ORDER BY pos) AS ends, list(before ORDER BY pos) AS befores, list(line ORDER BY pos) AS all_lines FROM summed GROUP BY doc_id),
-shortest AS (
-  SELECT s.doc_id, s.pos, len(list_filter(d.ends, lambda e: e < s.before + 50)) AS last, len(list_filter(d.befores, lambda b: b <= s.ends - 50)) - 1 AS first, len(d.ends) AS n
-  FROM summed s JOIN docs d USING (doc_id)),
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS raw FROM documents),
+counted AS (
+  SELECT *, rtrim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS words FROM lines),
+summed AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS ends FROM counted),
+met AS (
+  SELECT s.doc_id, s.pos, t.doc_id AS t_doc, t.pos AS t_pos,
+         s.pos - row_number() OVER (PARTITION BY s.doc_id, t.doc_id, s.pos - t.pos ORDER BY s.pos) AS island
+  FROM counted s JOIN counted t ON s.line = t.line AND (s.doc_id, s.pos) <> (t.doc_id, t.pos)),
+shared AS (SELECT *, max(pos) OVER (PARTITION BY doc_id, t_doc, pos - t_pos, island) - pos + 1 AS n FROM met),
+longest AS (SELECT doc_id, pos, max(n) AS n FROM shared WHERE (t_doc, t_pos) < (doc_id, pos) GROUP BY ALL),
+maximal AS (
+  SELECT l.* FROM longest l LEFT JOIN longest b ON b.doc_id = l.doc_id AND b.pos = l.pos - 1
+  WHERE b.n IS NULL OR b.n <= l.n),
 runs AS (
-  SELECT doc_id, pos AS a, last AS b FROM shortest WHERE last < n
-  UNION SELECT doc_id, first, pos FROM shortest WHERE first >= 0),
-named AS (SELECT r.*, array_to_string(d.all_lines[r.a + 1 : r.b + 1], chr(10)) AS content FROM runs r JOIN docs d USING (doc_id)),
-later AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, a) > 1),
-gone AS (SELECT DISTINCT s.doc_id, s.pos FROM summed s JOIN later l ON s.doc_id = l.doc_id AND s.pos BETWEEN l.a AND l.b)
+  SELECT m.doc_id, m.pos, m.n, min({'d': s.t_doc, 'p': s.t_pos}) AS first, count(*) + 1 AS copies
+  FROM maximal m JOIN shared s ON s.doc_id = m.doc_id AND s.pos = m.pos AND s.n >= m.n
+  JOIN summed a ON a.doc_id = m.doc_id AND a.pos = m.pos JOIN summed z ON z.doc_id = m.doc_id AND z.pos = m.pos + m.n - 1
+  WHERE z.ends - a.ends + a.words >= 1
+  GROUP BY ALL),
+listed AS (
+  SELECT doc_id, list(pos::INT ORDER BY pos) AS run_at, list(n::INT ORDER BY pos) AS run_lines, list(first.d ORDER BY pos) AS run_first_doc,
+         list(first.p::INT ORDER BY pos) AS run_first_at, list(copies ORDER BY pos) AS run_copies
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT s.doc_id, s.pos FROM counted s JOIN runs r ON s.doc_id = r.doc_id AND s.pos BETWEEN r.pos AND r.pos + r.n - 1)
 SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::INT AS n_lines, coalesce(len(g.removed), 0)::INT AS n_removed, coalesce(g.removed, []) AS removed,
-       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.kept, '') END AS text
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.kept, '') END AS text,
+       coalesce(run_at, []) AS run_at, coalesce(run_lines, []) AS run_lines, coalesce(run_first_doc, []) AS run_first_doc,
+       coalesce(run_first_at, []) AS run_first_at, coalesce(run_copies, []) AS run_copies
 FROM documents d
 LEFT JOIN (SELECT doc_id, list(pos::INT ORDER BY pos) AS removed FROM gone GROUP BY doc_id) g USING (doc_id)
 LEFT JOIN (SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.pos) AS kept
-           FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS raw FROM documents) l
-           ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id) k USING (doc_id)
+           FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id) k USING (doc_id)
+LEFT JOIN listed USING (doc_id)
 """
 
-#: The same with at least one word.
-ORACLE = ORACLE_50_WORDS.replace("s.before + 50", "s.before + 1").replace("s.ends - 50", "s.ends - 1")
+#: The same with at least 50 words.
+ORACLE_50_WORDS = ORACLE.replace("a.words >= 1", "a.words >= 50")
