@@ -80,6 +80,20 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: str, salts:
     return salted.join(small.select("*", each), [*on, "_salt"], how).drop("_salt")
 
 
+def possible(big: DataFrame, small: DataFrame, on: list[str], most: int = 2**27) -> DataFrame:
+    """The rows of big that may have a partner in small: all that have one, and of the others the few whose hash is a partner's.
+
+    small is counted; its hashes are bits of a bitmap, 64 to a row and `most` in all, which is broadcast in pieces of 4096 bytes.
+    """
+    bits = min(most, 1 << max(15, (64 * small.count() - 1).bit_length()))
+    place = F.pmod(F.xxhash64(*on), F.lit(bits))
+    bit = place.bitwiseAND(32767)
+    pieces = small.groupBy(F.shiftright(place, 15).alias("_piece")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    own = F.expr("CAST(conv(hex(substring(_bits, CAST(_bit DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)")
+    asked = big.withColumn("_piece", F.shiftright(place, 15)).withColumn("_bit", bit).join(F.broadcast(pieces), "_piece")
+    return asked.where(F.getbit(own, F.pmod("_bit", F.lit(8)).cast("int")) == 1).select(*big.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its connected component) for every node of edges (u, v), by label propagation and pointer jumping.
 

@@ -4,10 +4,11 @@ A document's set is its different word n-grams, as 64-bit hashes. Documents with
 their number. The minima of b * r hash functions over the set make b bands of r; b and r are chosen for the target recall at the threshold.
 Band hashes are shuffled; texts that share one are candidates, kept as a star around the smallest text of the band, never as all pairs.
 
-The stars' connected components hold every candidate pair. A small component is one group's work; a large one is cut into blocks of texts, each pair of blocks a
-group of its own, so no task has more than two blocks. A group computes its texts' full n-gram sets from their whole texts and verifies all its pairs,
+The stars' connected components hold every candidate pair. A small component is one group's work. A large one is cut into blocks of texts that have the smallest text of
+their bands in common; each pair of blocks that meet in a band is a group of its own, so no task has more than two blocks, and a long chain of candidates takes what its links
+take, not all its pairs. A group computes its texts' full n-gram sets from their whole texts and verifies all its pairs,
 by counting common n-grams; it hands on, for each text, its number of links and one link into its linked part, never the pairs. Components over the
-verified links are the classes.
+verified links are the classes. Only candidates' texts are shuffled: the others are left out where they are read, by a bitmap of the candidates that is 16 MB at most.
 
 Results: class_id is the smallest doc_id of the class; n_links is the number of other documents with a similarity of at least the threshold, those with the same set among them.
 
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, map_slices, salted_join, table, utf8, whole_rows
+from .common import checkpointed, components, map_slices, possible, salted_join, table, utf8, whole_rows
 
 N = 5
 THRESHOLD = 0.8
@@ -170,6 +171,27 @@ def candidates(texts: DataFrame) -> DataFrame:
     return components(stars)
 
 
+def tiles_of(texts: DataFrame, placed: DataFrame, block: int) -> DataFrame:
+    """The columns of placed, with block, i, j and group, for the texts of large components: a row for each pair (i, j) of blocks that its own block is in, of those that share a band.
+
+    Texts with the same centre (the smallest text that one shares a band with) make blocks of their own if they are many, and share some otherwise.
+    """
+    members = texts.join(placed.select("node", "root", "blocks"), "node").select("node", "root", "blocks", F.explode("bands").alias("band"))
+    shared = members.groupBy("root", "band").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
+    met = checkpointed(salted_join(members, shared, ["root", "band"], "node", salts=4), 200_000)
+    centres = met.groupBy("node", "root", "blocks").agg(F.min("least").alias("centre"))
+    often = centres.groupBy("root", "centre").agg(F.count("*").alias("often"))
+    many = F.xxhash64("centre", F.pmod(F.xxhash64("node"), F.ceil(F.col("often") / block)))
+    few = F.xxhash64("root", F.pmod(F.xxhash64("centre"), F.col("blocks")), F.lit("few"))
+    cut = F.when(F.col("often") >= block, many).otherwise(few).alias("block")
+    cut = checkpointed(salted_join(centres, often, ["root", "centre"], "node").select("node", cut), 200_000)
+    seats = met.join(cut, "node").select("root", "band", "block").distinct()
+    i, j = (seats.withColumnRenamed("block", x) for x in "ij")
+    pairs = checkpointed(i.join(j, ["root", "band"]).where("i <= j").select("root", "i", "j").distinct())
+    sides = pairs.withColumn("block", F.col("i")).unionByName(pairs.where("i < j").withColumn("block", F.col("j")))
+    return placed.join(cut, "node").join(sides, ["root", "block"]).withColumn("group", -1 - F.col("root"))
+
+
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """A row per document: d and h (its doc_id, null as the largest long, and text hash), class_id, n_links, first (whether it is its class's first)."""
     b, r = bands_for(threshold, recall)
@@ -183,25 +205,25 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     roots = candidates(texts)
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     placed = salted_join(roots, sizes, ["root"], "node").join(texts.select("node", "d", "h", "copies"), "node")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    placed = checkpointed(placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    placed = checkpointed(placed.withColumn("blocks", F.ceil(F.col("size") / block)))
     bins = max(1, -(-placed.where("blocks = 1").count() // block))
-    # Small components share groups; each block of a large one goes to a group with every block.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = placed.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    tiles = tiles.withColumn("group", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(-1 - F.col("root")))
-    tiles = tiles.select("node", "copies", "root", "block", "i", "j", "group", "d", "h")
-    # A row for each doc_id and text; repeats go before the shuffle.
-    tiles = tiles.join(_keyed(docs).groupBy("d", "h").agg(F.first("text").alias("text")), ["d", "h"]).drop("d", "h")
+    # Small components share groups.
+    zero = F.lit(0).cast("long")
+    small = placed.where("blocks = 1").withColumns({"block": zero, "i": zero, "j": zero, "group": F.pmod(F.xxhash64("root"), F.lit(bins))})
+    tiles = small.unionByName(tiles_of(texts, placed.where("blocks > 1"), block)).select("node", "copies", "root", "block", "i", "j", "group", "d", "h")
+    # A row for each doc_id and text that may be a candidate's; repeats go before the shuffle.
+    own = possible(_keyed(docs), placed, ["d", "h"]).groupBy("d", "h").agg(F.first("text").alias("text"))
+    tiles = tiles.join(own, ["d", "h"]).drop("d", "h")
     checked = checkpointed(tiles.groupBy("group", "i", "j").applyInPandas(lambda rows: _verify(rows, n, threshold), "node long, links long, to long"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(checked.select(F.col("node").alias("u"), F.col("to").alias("v")))
     # Classes of texts, then of documents.
     known = texts.select("key", "node", "d", "copies").join(links, "node", "left").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = checkpointed(known.select("key", "node", "d", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    # A text without a link and a copy is a class of its own, as one without words.
+    known = checkpointed(known.select("key", "node", "d", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).where("n_links > 0"))
     classes = known.groupBy("root").agg(F.min(F.struct("d", "node")).alias("head"))
     known = salted_join(known, classes, ["root"], "node").select("key", "n_links", F.col("head.d").alias("class_id"), F.col("head.node").alias("head"))
-    out = signed.select("d", "h", "row", "key").join(known, "key", "left")
+    out = salted_join(signed.select("d", "h", "row", "key"), known, ["key"], "row", how="left")
     return out.select("d", "h", F.coalesce("class_id", "d").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("head", "row") == F.col("row")).alias("first"))
 
 
