@@ -72,12 +72,36 @@ def test_index_inserts_and_deletes(spark):
 
 
 def test_step_verifies_hits():
-    empty, columns = pd.DataFrame(columns=["bucket", "digest", "size", "filter"]), ["bucket", "digest", "size"]
-    state = D._step(empty, pd.DataFrame([(0, b"a" * 32, 1)], columns=columns))
+    empty, columns = pd.DataFrame(columns=D.COLUMNS), ["bucket", "digest", "size", "points", "none", "doc_id"]
+    state = D._step(empty, pd.DataFrame([(0, b"a" * 32, 1, 3, False, 5)], columns=columns))
     # The same fingerprint and place, but other content: a new key.
     other = b"a" * 31 + b"b"
-    state = D._step(state, pd.DataFrame([(0, other, 1)], columns=columns))
+    state = D._step(state, pd.DataFrame([(0, other, 1, 3, False, 2**62 + 1)], columns=columns))
     assert set(state["digest"].dropna()) == {b"a" * 32, other}
+    # More code points stay, then the smaller doc_id, then any before null; the bucket names the one that stays.
+    state = D._step(state, pd.DataFrame([(0, other, 1, 3, True, 0), (0, other, 1, 3, False, 2**62 + 2), (0, b"a" * 32, 2, 4, False, 9)], columns=columns))
+    kept = {r.digest: (r.size, r.points, r.none, r.doc_id) for r in state.dropna(subset=["digest"]).itertuples()}
+    assert kept == {other: (3, 3, False, 2**62 + 1), b"a" * 32: (3, 4, False, 9)}
+
+
+def test_a_change_writes_the_buckets_that_it_touches(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(300)], "doc_id long, text string")
+    keys = D.content_keys(docs).persist()
+    index = D.CuckooIndex(spark, 30, keys_per_bucket=10).insert(keys)
+    written, kept = [], D.checkpointed
+
+    def counted(df, *args):
+        out = kept(df, *args)
+        if "filter" in out.columns:
+            written.append(out.select("bucket").distinct().count())
+        return out
+
+    monkeypatch.setattr(D, "checkpointed", counted)
+    few = keys.where("doc_id < 3")
+    for change in range(D.CHANGES):
+        index = index.delete(few) if change % 2 == 0 else index.insert(few)
+        assert index.live().count() == (297 if change % 2 == 0 else 300)
+    assert written[:-1] == [written[0]] * (len(written) - 1) and written[0] <= 3 and written[-1] == 30
 
 
 @pytest.mark.parametrize("block_words", [1024, 7])

@@ -2,10 +2,13 @@
 
 Each document becomes a content key (SHA-256 of its text without white space). Keys are dealt to buckets by their
 first bits; a bucket holds a cuckoo filter of the live keys' fingerprints and, as the content to verify against, the
-keys themselves. A key that the filter doesn't know is new, without a look at the stored keys. A hit is verified
+keys themselves, each with its copies and the document that stays. A key that the filter doesn't know is new, without a look at the stored keys. A hit is verified
 against the bucket's keys, so a false positive never merges different texts. Where a filter overflows, it is built
 anew, twice as large, from the stored keys; where buckets fill up, the index is dealt to more of them, from the stored keys too. Copies are summed up per key and salt before the shuffle, so that a key that a third
-of all documents share reaches its bucket as `salts` rows. The documents of each key are a table beside the index, never in a bucket.
+of all documents share reaches its bucket as `salts` rows. An insertion or deletion writes the buckets that it touches, and every eighth one all of them.
+
+The documents of each key are a log beside the index, never in a bucket: rows come with their number, and go with a negative one. Only a deletion reads it, for its own keys, to find the next
+best document of each.
 
 Defined results: a null text is the empty text; empty texts equal one another; of equal texts, the one with most code
 points stays, then the smallest doc_id (null last), rows alike in both are one and the same choice; a very long text is one digest, of all of it; an empty table gives
@@ -29,8 +32,13 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 SLOTS = 4
 KICKS = 200
 KEYS_PER_BUCKET = 1000
-STATE = "bucket int, digest binary, size long, filter binary"
-MEMBERS = "digest binary, points int, doc_id long, size long"
+#: Changes between two that write all buckets.
+CHANGES = 8
+#: best: code points, whether doc_id is null, doc_id (0 where it is), of the document that stays; a filter's row has zeros there.
+BEST = "points long, none boolean, doc_id long"
+STATE = f"bucket int, digest binary, size long, {BEST}, filter binary"
+MEMBERS = f"digest binary, {BEST}, size long"
+COLUMNS = [x.split()[0] for x in STATE.split(", ")]
 
 
 class CuckooFilter:
@@ -115,44 +123,65 @@ def _bucket(buckets: int) -> F.Column:
 
 
 def _step(state: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's state after the batch: rows with size > 0 insert, those with size < 0 delete."""
+    """A bucket's state after the batch: rows with size > 0 insert a document, those with size < 0 delete and name the one that stays then."""
     bucket = int((state if len(state) else batch)["bucket"].iloc[0])
-    keys = {bytes(d): int(n) for d, n in state[["digest", "size"]].itertuples(index=False) if d is not None}
-    filters = [x for x in state["filter"] if x is not None] if len(state) else []
+    held, filters = state[state["filter"].isna()], state["filter"].dropna()
+    keys = {bytes(d): (int(n), (-int(p), bool(x), int(i))) for d, n, p, x, i in held[["digest", "size", "points", "none", "doc_id"]].itertuples(index=False)}
     # A bucket that was split has keys and no filter yet.
-    known = CuckooFilter.read(filters[0]) if filters else CuckooFilter.grown(list(keys), 64)
-    for digest, size in batch[["digest", "size"]].itertuples(index=False):
-        digest = bytes(digest)
+    known = CuckooFilter.read(filters.iloc[0]) if len(filters) else CuckooFilter.grown(list(keys), 64)
+    for digest, size, points, none, doc_id in batch[["digest", "size", "points", "none", "doc_id"]].itertuples(index=False):
+        digest, size, best = bytes(digest), int(size), (-int(points), bool(none), int(doc_id))
+        # The filter first: what it doesn't know needs no look at the keys, what it knows is held against them.
         if digest in known and digest in keys:
-            keys[digest] += int(size)
-            if keys[digest] <= 0:
+            copies, before = keys[digest]
+            if copies + size > 0:
+                keys[digest] = copies + size, min(before, best) if size > 0 else best
+            else:
                 del keys[digest]
                 known.delete(digest)
         elif size > 0:
-            keys[digest] = int(size)
+            keys[digest] = size, best
             if not known.insert(digest):
                 known = CuckooFilter.grown(list(keys), 2 * len(known.table))
-    rows = [(bucket, k, n, None) for k, n in keys.items()] + [(bucket, None, None, bytes(known))]
-    return pd.DataFrame(rows, columns=["bucket", "digest", "size", "filter"]).astype({"size": "Int64"})
+    rows = [(bucket, k, n, -p, x, i, None) for k, (n, (p, x, i)) in keys.items()] + [(bucket, None, 0, 0, False, 0, bytes(known))]
+    return pd.DataFrame(rows, columns=COLUMNS)
+
+
+def _best() -> F.Column:
+    """Of a group's rows, the document that stays."""
+    return F.min(F.struct((-F.col("points")).alias("p"), F.col("none"), F.col("doc_id"))).alias("best")
+
+
+def _documents(keys: DataFrame) -> DataFrame:
+    return keys.select("digest", F.col("points").cast("long").alias("points"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
 
 
 class CuckooIndex:
-    """Live content keys in buckets; `state` has a row for each key (its copies) and one for each bucket's filter. `members` has the documents of each key, from which the next best one
-    takes the place of one that is deleted. Buckets are split when they come to hold twice `keys_per_bucket` keys on average."""
+    """Live content keys in buckets; `state` has a row for each key (its copies, and the document that stays) and one for each bucket's filter. `members` is the log of the documents
+    of each key. Buckets are split when they come to hold twice `keys_per_bucket` keys on average. `changes` counts those since all buckets were written."""
 
-    def __init__(self, spark: SparkSession, buckets: int = 1, keys_per_bucket: int = KEYS_PER_BUCKET, state: DataFrame | None = None, members: DataFrame | None = None):
-        self.spark, self.buckets, self.keys_per_bucket = spark, buckets, keys_per_bucket
+    def __init__(self, spark: SparkSession, buckets: int = 1, keys_per_bucket: int = KEYS_PER_BUCKET, state: DataFrame | None = None, members: DataFrame | None = None, changes: int = 0):
+        self.spark, self.buckets, self.keys_per_bucket, self.changes = spark, buckets, keys_per_bucket, changes
         self.state, self.members = state, members if members is not None else spark.createDataFrame([], MEMBERS)
 
     def _apply(self, batch: DataFrame, members: DataFrame) -> CuckooIndex:
-        """batch: digest, size; a hot key's few rows are its sums by salt."""
-        batch = batch.withColumn("bucket", _bucket(self.buckets)).select("bucket", "digest", "size")
+        """batch: digest, size, best; a hot key's few rows are its sums by salt. members: what comes to the log."""
+        batch = batch.select(_bucket(self.buckets).alias("bucket"), "digest", "size", (-F.col("best.p")).alias("points"), "best.none", "best.doc_id")
         if self.state is None:
-            empty = pd.DataFrame(columns=["bucket", "digest", "size", "filter"])
-            out = batch.groupBy("bucket").applyInPandas(lambda rows: _step(empty, rows), STATE)
-        else:
-            out = self.state.groupBy("bucket").cogroup(batch.groupBy("bucket")).applyInPandas(_step, STATE)
-        return CuckooIndex(self.spark, self.buckets, self.keys_per_bucket, checkpointed(out), checkpointed(members, 200_000))
+            empty = pd.DataFrame(columns=COLUMNS)
+            out = checkpointed(batch.groupBy("bucket").applyInPandas(lambda rows: _step(empty, rows), STATE))
+            return CuckooIndex(self.spark, self.buckets, self.keys_per_bucket, out, checkpointed(members, 200_000))
+        batch = checkpointed(batch)
+        touched = batch.select("bucket").distinct()
+        of_touched = self.state.join(touched, "bucket", "left_semi")
+        out = checkpointed(of_touched.groupBy("bucket").cogroup(batch.groupBy("bucket")).applyInPandas(_step, STATE))
+        out = self.state.join(touched, "bucket", "left_anti").unionByName(out)
+        log = self.members.unionByName(checkpointed(members, 200_000))
+        changes = (self.changes + 1) % CHANGES
+        if not changes:
+            by = ["digest", "points", "none", "doc_id"]
+            out, log = checkpointed(out), checkpointed(log.groupBy(*by).agg(F.sum("size").alias("size")).where("size > 0"), 200_000)
+        return CuckooIndex(self.spark, self.buckets, self.keys_per_bucket, out, log, changes)
 
     def _split(self) -> CuckooIndex:
         """The index in as many buckets as its keys call for; filters of new buckets are made from the stored keys at the next step."""
@@ -160,32 +189,33 @@ class CuckooIndex:
         if live <= 2 * self.keys_per_bucket * self.buckets:
             return self
         buckets = -(-live // self.keys_per_bucket)
-        keys = self.state.where("digest IS NOT NULL").select(_bucket(buckets).alias("bucket"), "digest", "size", "filter")
-        return CuckooIndex(self.spark, buckets, self.keys_per_bucket, keys, self.members)
+        keys = self.state.where("digest IS NOT NULL").withColumn("bucket", _bucket(buckets))
+        return CuckooIndex(self.spark, buckets, self.keys_per_bucket, keys, self.members, self.changes)
 
     def insert(self, keys: DataFrame, salts: int = 8) -> CuckooIndex:
         """The index with the documents of `keys` (from `content_keys`) in it."""
-        fresh = keys.groupBy("digest", "points", "doc_id").agg(F.count("*").alias("size"))
-        members = self.members.unionByName(fresh).groupBy("digest", "points", "doc_id").agg(F.sum("size").alias("size")) if self.state is not None else fresh
-        salted = keys.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.count("*").alias("size"))
-        return self._apply(salted.select("digest", "size"), members)._split()
+        documents = _documents(keys)
+        members = documents.groupBy("digest", "points", "none", "doc_id").agg(F.count("*").alias("size"))
+        salted = documents.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.count("*").alias("size"), _best())
+        return self._apply(salted, members)._split()
 
     def delete(self, keys: DataFrame) -> CuckooIndex:
         """The index without one copy for each row of `keys` that it has; a key whose last copy goes leaves the filter too, and where the document that stayed goes, the next best stays."""
         if self.state is None:
             return self
-        asked = keys.groupBy("digest", "points", "doc_id").agg(F.count("*").alias("less"))
-        same = F.col("m.digest").eqNullSafe(F.col("a.digest")) & F.col("m.points").eqNullSafe(F.col("a.points")) & F.col("m.doc_id").eqNullSafe(F.col("a.doc_id"))
-        left = self.members.alias("m").join(asked.alias("a"), same, "left").select("m.*", F.least("size", F.coalesce("less", F.lit(0))).alias("less"))
-        left = checkpointed(left, 200_000)
+        by = ["digest", "points", "none", "doc_id"]
+        asked = checkpointed(_documents(keys).groupBy(*by).agg(F.count("*").alias("less")))
+        had = self.members.join(asked.select("digest").distinct(), "digest", "left_semi").groupBy(*by).agg(F.sum("size").alias("size")).where("size > 0")
+        left = checkpointed(had.join(asked, by, "left").withColumn("less", F.least("size", F.coalesce("less", F.lit(0)))), 200_000)
         gone = left.where("less > 0").groupBy("digest").agg((-F.sum("less")).alias("size"))
-        return self._apply(gone, left.where("size > less").select("digest", "points", "doc_id", (F.col("size") - F.col("less")).alias("size")))
+        # A key of which nothing is left names any document: it goes.
+        rest = left.withColumn("rest", F.col("size") > F.col("less")).groupBy("digest", "rest").agg(_best())
+        rest = rest.groupBy("digest").agg(F.max_by("best", "rest").alias("best"))
+        return self._apply(gone.join(rest, "digest"), left.where("less > 0").select(*by, (-F.col("less")).alias("size")))
 
     def live(self) -> DataFrame:
-        """digest, points, keep_id (the document that stays), group_size of each key of the index."""
-        best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))).alias("best")
-        kept = self.members.groupBy("digest").agg(best).select("digest", (-F.col("best.p")).alias("points"), F.col("best.d").alias("keep_id"))
-        return self.state.where("digest IS NOT NULL").select("digest", F.col("size").alias("group_size")).join(kept, "digest").select("digest", "points", "keep_id", "group_size")
+        """digest, points, keep_id (the document that stays), group_size of each key, as the buckets have them."""
+        return self.state.where("digest IS NOT NULL").select("digest", "points", F.when(~F.col("none"), F.col("doc_id")).alias("keep_id"), F.col("size").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, keys_per_bucket: int = KEYS_PER_BUCKET) -> DataFrame:
