@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Buckets of the ids of first sights, and the columns of a row's time in microseconds, of its ids as text and of its bucket.
-BUCKETS = 2048
+BUCKETS = 256
 AT, ID, BUCKET = "_at", "_id", "_bucket"
 
 
