@@ -21,14 +21,16 @@ puts its report in place of columns named n_lines, removed or runs, `cut_lines`
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
-from .common import checkpointed, map_slices, salted_join, table, utf8, whole_rows
+from .common import checkpointed, map_slices, salted_join, shared_folder, table, utf8, whole_rows
 
 #: Fewest words of a repeated run: with 1 every maximal repeated run counts that has a line that isn't empty.
 MIN_WORDS = 1
@@ -39,17 +41,36 @@ LINES = "d long, h long, at int, id binary, ahead int"
 #: An interval: the lines that its suffixes share, and its first suffix.
 INTERVAL = ["n", "fd", "fh", "fat"]
 RUNS = "array<struct<at: int, n_lines: int, first_doc_id: bigint, first_at: int, copies: bigint>>"
+#: Rows of suffixes that a task makes and writes.
+TASK_ROWS = 100_000
+
+
+class Kept(NamedTuple):
+    """A table in the folder that all executors share, and how many rows it has."""
+
+    rows: DataFrame
+    n: int
+
+
+def _kept(df: DataFrame, most: int) -> Kept:
+    """df, computed once and read again from the shared folder, as `checkpointed` does. It has `most` rows at most, so small partitions of a shuffle, which a cache keeps as they are, are made in as few tasks as that takes."""
+    shared_folder(df.sparkSession)
+    held = df.coalesce(max(1, -(-most // TASK_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
+    n = held.count()
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return Kept(out, n)
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("h", F.xxhash64(text))
 
 
-def _shortest(words: np.ndarray, least: int) -> np.ndarray:
-    """For each line, how many lines from it on have `least` words; 0 where the text ends before."""
+def _shortest(words: np.ndarray, least: int, stop: np.ndarray) -> np.ndarray:
+    """For each line, how many lines from it on have `least` words; 0 where its text, whose lines lie before `stop`, ends before."""
     ends = np.cumsum(words)
     last = np.searchsorted(ends, ends - words + least)
-    return np.where(last < len(words), last - np.arange(len(words)) + 1, 0)
+    return np.where(last < stop, last - np.arange(len(words)) + 1, 0)
 
 
 def sequences(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -57,35 +78,40 @@ def sequences(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -
 
     def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [x.split(b"\n") for x in utf8(batch.column(2))]
-        n = [len(x) for x in parts]
-        ids = [hashlib.blake2b(line.rstrip(BLANK), digest_size=16).digest() for x in parts for line in x]
-        runs = [_shortest(np.fromiter((len(line.split()) for line in x), np.int64, len(x)), min_words) for x in parts]
-        flat = lambda xs: pa.array(np.concatenate([*xs, np.zeros(0, np.int64)]).astype(np.int32))
-        own = np.repeat(np.arange(len(parts)), n)
-        columns = [batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), flat([np.arange(k) for k in n]), pa.array(ids, pa.binary()), flat(runs)]
+        n = np.array([len(x) for x in parts], np.int64)
+        bare = [line.rstrip(BLANK) for x in parts for line in x]
+        ids = [hashlib.blake2b(line, digest_size=16).digest() for line in bare]
+        words = np.fromiter((len(x.split()) if min_words > 1 else len(x) > 0 for x in bare), np.int64, len(bare))
+        own, stop = np.repeat(np.arange(len(parts)), n), np.cumsum(n)
+        at, ahead = np.arange(len(bare)) - (stop - n)[own], _shortest(words, min_words, stop[own])
+        columns = [batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(at.astype(np.int32)), pa.array(ids, pa.binary()), pa.array(ahead.astype(np.int32))]
         return pa.record_batch(columns, [x.split()[0] for x in LINES.split(", ")])
 
     rows = _keyed(docs.select("doc_id", F.col(text).cast("string").alias("text")).where("text IS NOT NULL"), "text").select("d", "h", "text")
     return map_slices(rows, lines, LINES)
 
 
-def _ranked(suffixes: DataFrame, by: list[str]) -> DataFrame:
-    """The suffixes whose `by` occurs more than once, with the place of `by` in its sorted order as rank, its first suffix and its copies. Salted by document, as a line (the empty one, say) may be in all of them."""
+def _ranked(suffixes: DataFrame, by: list[str], most: int) -> Kept:
+    """The suffixes, `most` at most, whose `by` occurs more than once, with the place of `by` in its sorted order as rank, its first suffix and its copies. Salted by document, as a line (the empty one, say) may be in all of them."""
     pairs = suffixes.groupBy(*by).agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "at")).alias("f")).where("copies > 1")
     pairs = pairs.select(*by, "copies", F.col("f.d").alias("fd"), F.col("f.h").alias("fh"), F.col("f.at").alias("fat"))
-    order = checkpointed(pairs.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), 100_000)
-    return checkpointed(salted_join(suffixes, order, by, "h", salts=4).drop(*by), 100_000)
-
-
-def suffix_levels(lines: DataFrame) -> list[DataFrame]:
-    """Level by level, (d, h, at, rank, copies, fd, fh, fat) of the suffixes whose first 2^level lines occur elsewhere too, until there are none."""
-    places = _ranked(lines.select(*KEY, "at", "id"), ["id"]).dropDuplicates([*KEY, "at"]).select(*KEY, "at", F.col("rank").alias("line"))
-    levels, level = [], _ranked(places, ["line"])
-    while not level.isEmpty():
+    order = _kept(pairs.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), most // 2)
+    return _kept(salted_join(suffixes, order.rows, by, "h", salts=4).drop(*by), most)
+
+
+def suffix_levels(lines: DataFrame) -> list[Kept]:
+    """Level by level, (d, h, at, rank, copies, fd, fh, fat) of the suffixes whose first 2^level lines occur elsewhere too, until there are none; the first level with `ahead` too."""
+    places = lines.select(*KEY, "at", "id", "ahead")
+    start = lambda c: F.when(F.col("at") == 0, F.col(c))
+    n, starts, documents = places.agg(F.count("*"), F.count(start("d")), F.countDistinct(*map(start, KEY))).first()
+    if starts > documents:
+        places = places.dropDuplicates([*KEY, "at"])
+    levels, level = [], _ranked(places, ["id"], n)
+    while level.n:
         levels.append(level)
         step = 2 ** (len(levels) - 1)
-        then = level.select(*KEY, (F.col("at") - step).alias("at"), F.col("rank").alias("rank2"))
-        level = _ranked(level.select(*KEY, "at", F.col("rank").alias("rank1")).join(then, [*KEY, "at"]), ["rank1", "rank2"])
+        then = level.rows.select(*KEY, (F.col("at") - step).alias("at"), F.col("rank").alias("rank2"))
+        level = _ranked(level.rows.select(*KEY, "at", F.col("rank").alias("rank1")).join(then, [*KEY, "at"]), ["rank1", "rank2"], level.n)
     return levels
 
 
@@ -110,26 +136,30 @@ def _entering(level: DataFrame, longer: DataFrame | None, n: int) -> DataFrame:
     return out.select(*KEY, "at", *INTERVAL, "copies", F.coalesce("of_up", "members").alias("members"))
 
 
-def _split(members: DataFrame, level: DataFrame, half: int) -> DataFrame:
+def _split(members: Kept, level: DataFrame, half: int) -> DataFrame:
     """Members of intervals of n lines, each the first of those that share n + 2 half lines, by n + half: those that meet there with their new interval, and the first of each with the old one."""
     then = level.select(*KEY, F.col("at").alias("tail"), "rank")
-    ranked = checkpointed(members.withColumn("tail", F.col("at") + F.col("n")).join(then, [*KEY, "tail"], "left").drop("tail"), 100_000)
+    ranked = _kept(members.rows.withColumn("tail", F.col("at") + F.col("n")).join(then, [*KEY, "tail"], "left").drop("tail"), members.n).rows
     alone = ranked.where("rank IS NULL").drop("rank")
     met = ranked.where("rank IS NOT NULL").groupBy(*INTERVAL, "rank").agg(F.min(F.struct(*KEY, "at")).alias("first"), F.sum("members").alias("together"), F.first("copies").alias("copies"), F.count("*").alias("rows"))
-    met = checkpointed(met, 100_000)
+    met = _kept(met, members.n).rows
     longer = salted_join(ranked.drop("copies"), met.where("rows > 1").drop("copies", "rows"), [*INTERVAL, "rank"], "h", salts=4)
     longer = longer.select(*KEY, "at", (F.col("n") + half).alias("n"), F.col("first.d").alias("fd"), F.col("first.h").alias("fh"), F.col("first.at").alias("fat"), F.col("together").alias("copies"), "members")
     firsts = met.select("first.d", "first.h", "first.at", *INTERVAL, "copies", F.col("together").alias("members"))
     return longer.unionByName(_merging(alone.unionByName(firsts)))
 
 
-def longest_earlier(levels: list[DataFrame]) -> DataFrame:
+def longest_earlier(levels: list[Kept]) -> DataFrame:
     """d, h, at, n, fd, fh, fat, copies: for each place, the most lines from it on that an earlier place has too, their first place and how many places have them."""
     members = None
     for j in reversed(range(len(levels))):
-        entering = _merging(_entering(levels[j], levels[j + 1] if j + 1 < len(levels) else None, 2**j))
-        members = checkpointed(entering if members is None else _split(members, levels[j], 2**j).unionByName(entering), 100_000)
-    return members.where(~_is_first()).drop("members")
+        level = levels[j]
+        entering = _merging(_entering(level.rows, levels[j + 1].rows if j + 1 < len(levels) else None, 2**j))
+        if members is None:
+            members = _kept(entering, level.n)
+        else:  # a member stays, and may be the first of those that it meets
+            members = _kept(_split(members, level.rows, 2**j).unionByName(entering), 2 * members.n + level.n)
+    return members.rows.where(~_is_first()).drop("members")
 
 
 def later_copies(lines: DataFrame) -> DataFrame:
@@ -140,30 +170,28 @@ def later_copies(lines: DataFrame) -> DataFrame:
     runs = longest_earlier(levels)
     before = runs.select(*KEY, (F.col("at") + 1).alias("at"), (F.col("n") - 1).alias("left"))
     maximal = runs.join(before, [*KEY, "at"], "left").where("left IS NULL OR left < n").drop("left")
-    return maximal.join(lines.select(*KEY, "at", "ahead").dropDuplicates([*KEY, "at"]), [*KEY, "at"]).where("ahead BETWEEN 1 AND n").drop("ahead")
+    return maximal.join(levels[0].rows.select(*KEY, "at", "ahead"), [*KEY, "at"]).where("ahead BETWEEN 1 AND n").drop("ahead")
 
 
 def cut_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc (a struct of the document's columns as they were), text (without the lines of later copies), n_lines, removed (places of the deleted lines), runs (the maximal repeated runs that went, with their first copy)."""
+    """doc (a struct of the document's other columns as they were), text (without the lines of later copies), n_lines, removed (places of the deleted lines), runs (the maximal repeated runs that went, with their first copy)."""
     copies = later_copies(checkpointed(sequences(docs, text, min_words), 100_000))
     per_doc = copies.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("at", F.col("n").alias("n_lines"), F.when(F.col("fd") < 2**63 - 1, F.col("fd")).alias("first_doc_id"), F.col("fat").alias("first_at"), "copies"))).alias("runs"))
-    whole = docs.select(whole_rows(docs), F.col("doc_id"), F.col(text).cast("string").alias("text"))
+    others = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text))
+    whole = docs.select(whole_rows(others), F.col("doc_id"), F.col(text).cast("string").alias("text"))
     rows = _keyed(whole, "text").join(per_doc, KEY, "left").select("doc", "text", F.coalesce("runs", F.array()).cast(RUNS).alias("runs"))
     schema = T.StructType([rows.schema["doc"]]).add("text", T.StringType()).add("n_lines", T.IntegerType()).add("removed", T.ArrayType(T.IntegerType())).add(rows.schema["runs"])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, counts, removed = [], [], []
-        for whole, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            lines = whole.split("\n") if whole is not None else []
-            edges = np.zeros(len(lines) + 1, np.int64)
-            for run in runs:
-                edges[run["at"]] += 1
-                edges[run["at"] + run["n_lines"]] -= 1
-            gone = np.flatnonzero(np.cumsum(edges)[:-1] > 0).tolist()
-            drop = set(gone)
-            texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else whole)
-            counts.append(len(lines))
-            removed.append(gone)
+        runs, edges = batch.column(2).flatten(), batch.column(2).value_lengths().to_numpy(zero_copy_only=False).cumsum().tolist()
+        at, n = runs.field("at").to_pylist(), runs.field("n_lines").to_pylist()
+        for whole, first, last in zip(batch.column(1).to_pylist(), [0, *edges], edges):
+            gone = set().union(*(range(at[k], at[k] + n[k]) for k in range(first, last)))
+            lines = whole.split("\n") if gone else []
+            texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else whole)
+            counts.append(whole.count("\n") + 1 if whole is not None else 0)
+            removed.append(sorted(gone))
         return pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32())), batch.column(2)], ["doc", "text", "n_lines", "removed", "runs"])
 
     return map_slices(rows, cut, schema)
