@@ -52,6 +52,16 @@ class Kept(NamedTuple):
     n: int
 
 
+def _together(df: DataFrame, most: int) -> DataFrame:
+    """df, of `most` rows at most, in one partition if a task takes them all: what is made of such tables needs no shuffle, and the driver, whose memory grows with the jobs and broadcasts of a run, has few to start."""
+    return df.coalesce(1) if most <= TASK_ROWS else df
+
+
+def _beside(df: DataFrame, most: int) -> DataFrame:
+    """df for a join of tables that have `most` rows at most. If these lie together, they are merged where they are, without a broadcast."""
+    return df.hint("merge") if most <= TASK_ROWS else df
+
+
 def _kept(df: DataFrame, most: int) -> Kept:
     """df, computed once and read again from the shared folder, as `checkpointed` does. It has `most` rows at most, so small partitions of a shuffle, which a cache keeps as they are, are made in as few tasks as that takes."""
     shared_folder(df.sparkSession)
@@ -59,7 +69,7 @@ def _kept(df: DataFrame, most: int) -> Kept:
     n = held.count()
     out = held.checkpoint(eager=True)
     held.unpersist()
-    return Kept(out, n)
+    return Kept(_together(out, n), n)
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -95,8 +105,9 @@ def _ranked(suffixes: DataFrame, by: list[str], most: int) -> Kept:
     """The suffixes, `most` at most, whose `by` occurs more than once, with the place of `by` in its sorted order as rank, its first suffix and its copies. Salted by document, as a line (the empty one, say) may be in all of them."""
     pairs = suffixes.groupBy(*by).agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "at")).alias("f")).where("copies > 1")
     pairs = pairs.select(*by, "copies", F.col("f.d").alias("fd"), F.col("f.h").alias("fh"), F.col("f.at").alias("fat"))
-    order = _kept(pairs.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), most // 2)
-    return _kept(salted_join(suffixes, order.rows, by, "h", salts=4).drop(*by), most)
+    ranged = pairs.coalesce(1) if most <= TASK_ROWS else pairs.repartitionByRange(*by)
+    order = _kept(ranged.sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), most // 2)
+    return _kept(salted_join(suffixes, _beside(order.rows, most), by, "h", salts=4).drop(*by), most)
 
 
 def suffix_levels(lines: DataFrame) -> list[Kept]:
@@ -106,12 +117,12 @@ def suffix_levels(lines: DataFrame) -> list[Kept]:
     n, starts, documents = places.agg(F.count("*"), F.count(start("d")), F.countDistinct(*map(start, KEY))).first()
     if starts > documents:
         places = places.dropDuplicates([*KEY, "at"])
-    levels, level = [], _ranked(places, ["id"], n)
+    levels, level = [], _ranked(_together(places, n), ["id"], n)
     while level.n:
         levels.append(level)
         step = 2 ** (len(levels) - 1)
         then = level.rows.select(*KEY, (F.col("at") - step).alias("at"), F.col("rank").alias("rank2"))
-        level = _ranked(level.rows.select(*KEY, "at", F.col("rank").alias("rank1")).join(then, [*KEY, "at"]), ["rank1", "rank2"], level.n)
+        level = _ranked(level.rows.select(*KEY, "at", F.col("rank").alias("rank1")).join(_beside(then, level.n), [*KEY, "at"]), ["rank1", "rank2"], level.n)
     return levels
 
 
@@ -119,34 +130,35 @@ def _is_first() -> Column:
     return F.struct(*KEY, "at") == F.struct("fd", "fh", "fat")
 
 
-def _merging(members: DataFrame) -> DataFrame:
-    """The members of intervals with others than their first."""
+def _merging(members: DataFrame, most: int) -> DataFrame:
+    """The members, `most` at most, of intervals with others than their first."""
+    members = _together(members, most)
     names = members.where(~_is_first()).select(*INTERVAL).distinct()
-    return salted_join(members, names, INTERVAL, "h", salts=4, how="left_semi")
+    return salted_join(members, _beside(names, most), INTERVAL, "h", salts=4, how="left_semi")
 
 
-def _entering(level: DataFrame, longer: DataFrame | None, n: int) -> DataFrame:
+def _entering(level: Kept, longer: DataFrame | None, n: int) -> DataFrame:
     """The intervals of n lines: of each, the first suffixes of its intervals of 2n lines, and the suffixes that share 2n lines with no other."""
-    own = level.select(*KEY, "at", F.lit(n).alias("n"), "fd", "fh", "fat", "copies", F.lit(1).cast("long").alias("members"))
+    own = level.rows.select(*KEY, "at", F.lit(n).alias("n"), "fd", "fh", "fat", "copies", F.lit(1).cast("long").alias("members"))
     if longer is None:
         return own
     up = longer.select(*KEY, "at", F.struct("fd", "fh", "fat").alias("up"), F.col("copies").alias("of_up"))
     first = F.col("up").isNull() | (F.struct(*KEY, "at") == F.col("up"))
-    out = own.join(up, [*KEY, "at"], "left").where(first)
+    out = own.join(_beside(up, level.n), [*KEY, "at"], "left").where(first)
     return out.select(*KEY, "at", *INTERVAL, "copies", F.coalesce("of_up", "members").alias("members"))
 
 
-def _split(members: Kept, level: DataFrame, half: int) -> DataFrame:
+def _split(members: Kept, level: Kept, half: int) -> DataFrame:
     """Members of intervals of n lines, each the first of those that share n + 2 half lines, by n + half: those that meet there with their new interval, and the first of each with the old one."""
-    then = level.select(*KEY, F.col("at").alias("tail"), "rank")
+    then = _beside(level.rows.select(*KEY, F.col("at").alias("tail"), "rank"), max(members.n, level.n))
     ranked = _kept(members.rows.withColumn("tail", F.col("at") + F.col("n")).join(then, [*KEY, "tail"], "left").drop("tail"), members.n).rows
     alone = ranked.where("rank IS NULL").drop("rank")
     met = ranked.where("rank IS NOT NULL").groupBy(*INTERVAL, "rank").agg(F.min(F.struct(*KEY, "at")).alias("first"), F.sum("members").alias("together"), F.first("copies").alias("copies"), F.count("*").alias("rows"))
     met = _kept(met, members.n).rows
-    longer = salted_join(ranked.drop("copies"), met.where("rows > 1").drop("copies", "rows"), [*INTERVAL, "rank"], "h", salts=4)
+    longer = salted_join(ranked.drop("copies"), _beside(met.where("rows > 1").drop("copies", "rows"), members.n), [*INTERVAL, "rank"], "h", salts=4)
     longer = longer.select(*KEY, "at", (F.col("n") + half).alias("n"), F.col("first.d").alias("fd"), F.col("first.h").alias("fh"), F.col("first.at").alias("fat"), F.col("together").alias("copies"), "members")
     firsts = met.select("first.d", "first.h", "first.at", *INTERVAL, "copies", F.col("together").alias("members"))
-    return longer.unionByName(_merging(alone.unionByName(firsts)))
+    return longer.unionByName(_merging(alone.unionByName(firsts), members.n))
 
 
 def longest_earlier(levels: list[Kept]) -> DataFrame:
@@ -154,11 +166,11 @@ def longest_earlier(levels: list[Kept]) -> DataFrame:
     members = None
     for j in reversed(range(len(levels))):
         level = levels[j]
-        entering = _merging(_entering(level.rows, levels[j + 1].rows if j + 1 < len(levels) else None, 2**j))
+        entering = _merging(_entering(level, levels[j + 1].rows if j + 1 < len(levels) else None, 2**j), level.n)
         if members is None:
             members = _kept(entering, level.n)
         else:  # a member stays, and may be the first of those that it meets
-            members = _kept(_split(members, level.rows, 2**j).unionByName(entering), 2 * members.n + level.n)
+            members = _kept(_split(members, level, 2**j).unionByName(entering), 2 * members.n + level.n)
     return members.rows.where(~_is_first()).drop("members")
 
 
